@@ -54,7 +54,7 @@ DIALECTS = {
     },
     "duckdb": {
         "{iso}": "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')",
-        "{epoch_ms}": "epoch_ms(ts)",
+        "{epoch_ms}": "epoch_us(ts) // 1000",
     },
 }
 

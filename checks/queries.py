@@ -63,8 +63,8 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
             .when(n % 43 == 0, F.concat(value, F.lit(" x")))
             .when(n % 47 == 0, F.regexp_replace(value, '"version":"1"', '"version":1'))
             .when(n % 53 == 0, F.regexp_replace(value, '"locale":"en-US"', '"locale":null'))
-            .when(n % 59 == 0, F.regexp_replace(value, '"href":"[^"]*",', ""))
-            .when(n % 61 == 0, F.regexp_replace(value, '"ip":"[^"]*"', '"ip":""'))
+            .when(n % 37 == 0, F.regexp_replace(value, '"href":"[^"]*",', ""))
+            .when(n % 31 == 0, F.regexp_replace(value, '"ip":"[^"]*"', '"ip":""'))
             .otherwise(value)
         )
         return raw.select(n.alias("row_id"), broken.alias("value"))
