@@ -47,25 +47,30 @@ def process_batch(
     """Validate, enrich and write one batch of messages.
 
     Writes below ``out``: ``events`` (NDJSON), ``dead`` and ``counts``, each with one
-    folder per batch. The parsed batch is kept while its outputs are written, so the
+    folder per batch; what is empty is not written. The parsed batch is kept while its outputs are written, so the
     source is read and parsed once.
     """
     checked = rawcheck.validate_raw(messages.select("value")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        batch_counts(checked).write.mode("overwrite").json(
+        counts = batch_counts(checked).first()
+        spark = messages.sparkSession
+        spark.createDataFrame([counts]).write.mode("overwrite").json(
             sinks.batch_path(f"{out}/counts", batch_id)
         )
-        sinks.write_dead_letters(
-            rawcheck.dead_letters(checked), sinks.batch_path(f"{out}/dead", batch_id)
-        )
+        if counts["parse_failures"]:
+            sinks.write_dead_letters(
+                rawcheck.dead_letters(checked), sinks.batch_path(f"{out}/dead", batch_id)
+            )
+        if not counts["events"]:
+            return
         people = rawcheck.valid_events(checked).filter(
             ~agents.is_bot(F.col("meta.`user-agent`"))
         )
         table = store.get_or_create(salts.wanted_keys(people, day))
         processed = enrich.to_processed(people, table, domains, day, settings)
-        sinks.write_events_ndjson(
+        sinks.write_lines(
             processed, sinks.batch_path(f"{out}/events", batch_id), lines_per_file
         )
     finally:
