@@ -14,6 +14,7 @@ from .. import rules, schemas
 from ..config import Settings
 from ..functions import agents, signing, urls
 from ..functions.clock import epoch_seconds_to_millis, timestamp_error
+from ..functions.once import once
 from ..functions.text import none_if_empty
 from . import documents
 from .documents import Members
@@ -65,6 +66,18 @@ REFERRER = Members(
 )
 
 
+@once
+def _described() -> Column:
+    opened = {"/payload": F.col("_payload"), "parsedReferrer": F.col("_parts")}
+    sources = [
+        *[("/" + n, F.col(f"_root.`{n}`")) for n in ROOT_MEMBERS],
+        *[(n, F.col(f"_payload.`{n}`")) for n in PAYLOAD_MEMBERS],
+        *[(f"referrer/{n}", F.col(f"_parts.`{n}`")) for n in REFERRER_MEMBERS],
+    ]
+    members = [documents.Member(value, opened.get(name)) for name, value in sources]
+    return documents.describe_coerced(members, documents.needs_care(F.col("body")))
+
+
 def open_body(df: DataFrame) -> DataFrame:
     """Parse the body and describe its members in ``_members``, with coercion."""
     df = documents.parse_document(df, "body", "_doc")
@@ -77,26 +90,20 @@ def open_body(df: DataFrame) -> DataFrame:
     )
     parts = documents.open_object(F.col("_payload.parsedReferrer"), "$", REFERRER_MEMBERS)
     df = df.withColumn("_parts", parts)
-    opened = {"/payload": F.col("_payload"), "parsedReferrer": F.col("_parts")}
-    sources = [
-        *[("/" + n, F.col(f"_root.`{n}`")) for n in ROOT_MEMBERS],
-        *[(n, F.col(f"_payload.`{n}`")) for n in PAYLOAD_MEMBERS],
-        *[(f"referrer/{n}", F.col(f"_parts.`{n}`")) for n in REFERRER_MEMBERS],
-    ]
-    members = [documents.Member(value, opened.get(name)) for name, value in sources]
     # An event id is kept or replaced by its own JSON type, so it is never coerced.
     event_id = F.col("_payload.event_id")
     is_object = F.when(F.col("_root").isNotNull(), "OBJECT<").otherwise("OTHER")
     return df.withColumns(
         {
             "_body_type": F.when(doc.isNotNull(), is_object),
-            "_members": documents.describe_coerced(members, documents.needs_care(F.col("body"))),
+            "_members": _described(),
             "_event_id_type": F.schema_of_variant(event_id),
             "_event_id_text": F.try_variant_get(event_id, "$", "string"),
         }
     ).drop("_doc", "_root", "_payload", "_parts")
 
 
+@once
 def body_checks() -> list[documents.Check]:
     """V4: rules on the body, in the order in which they are reported."""
     parsed_kind = PAYLOAD.kind("parsedReferrer")
@@ -140,6 +147,7 @@ def body_checks() -> list[documents.Check]:
     ]
 
 
+@once
 def normal_hit() -> Column:
     """The validated payload with defaults for members the client left out.
 
@@ -222,6 +230,7 @@ def open_headers(df: DataFrame) -> DataFrame:
     )
 
 
+@once
 def header_checks() -> list[documents.Check]:
     """V6: site id, exact content type and a non-blank user agent."""
     return [
@@ -306,35 +315,28 @@ def apply_hmac_policy(df: DataFrame, settings: Settings) -> DataFrame:
 # --- verdict --------------------------------------------------------------------
 
 
-def classify_requests(
-    requests: DataFrame, settings: Settings = Settings(), observation: Observation | None = None
-) -> DataFrame:
-    """V7: the first failure of every request, or the normalised hit.
+@once
+def _body_bad() -> Column:
+    return documents.first_broken(body_checks())
 
-    Adds ``client_ip``, ``hmac_status``, ``effective_url``, ``hit`` and the verdict:
-    ``outcome`` (accepted, bot or rejected), ``status``, ``context``, ``path`` and
-    ``message``. Order: size, JSON, signature, body, query string, headers, bot.
-    ``observation`` receives the number of requests per outcome.
-    """
-    kept = requests.columns
-    df = apply_hmac_policy(requests.withColumn("client_ip", client_ip(settings)), settings)
-    df = open_headers(open_body(df))
 
-    body, head = body_checks(), header_checks()
-    # The signature hook rewrites the URL late; the query was taken from the original.
-    pairs = urls.query_pairs(urls.query_of(F.col("url")), decode=urls.lenient_decode)
-    df = df.withColumn("_query", pairs).withColumns(
-        {
-            "_size_bad": too_large(F.col("body")),
-            "_body_bad": documents.first_broken(body),
-            "_head_bad": documents.first_broken(head),
-            "_query_bad": query_failure(F.col("_query")),
-        }
-    )
+@once
+def _head_bad() -> Column:
+    return documents.first_broken(header_checks())
+
+
+@once
+def _query_bad() -> Column:
+    return query_failure(F.col("_query"))
 
+
+@once
+def _stages() -> list[tuple[Column, int, str, Column | str, Column | str]]:
+    """Failed, status, context, path and message of each stage, in order."""
+    body, head = body_checks(), header_checks()
     unparsed = F.col("_body_type").isNull()
     refused = F.col("hmac_status") == "refused"
-    stages: list[tuple[Column, int, str, Column | str, Column | str]] = [
+    return [
         (F.col("_size_bad"), 413, "size", "", "Request body is too large"),
         (unparsed, 400, "json", "", "Body is not valid JSON"),
         (refused, 401, "hmac", "", F.col("hmac_message")),
@@ -353,14 +355,22 @@ def classify_requests(
             documents.message_at(head, F.col("_head_bad"), "headers", "_headers"),
         ),
     ]
-    stage = F
-    for number, (failed, *_) in enumerate(stages):
-        stage = stage.when(failed, F.lit(number))
-    df = df.withColumn("_stage", stage)
 
+
+@once
+def _stage() -> Column:
+    """Number of the first stage that failed."""
+    chain = F
+    for number, (failed, *_) in enumerate(_stages()):
+        chain = chain.when(failed, F.lit(number))
+    return chain
+
+
+@once
+def _verdict() -> list[Column]:
     def pick(position: int, otherwise) -> Column:
         chain = F
-        for number, entry in enumerate(stages):
+        for number, entry in enumerate(_stages()):
             value = entry[position]
             chain = chain.when(F.col("_stage") == number, value)
         return chain.otherwise(otherwise)
@@ -368,17 +378,48 @@ def classify_requests(
     bot = agents.is_bot(HEADERS.text("user-agent"))
     outcome = F.when(F.col("_stage").isNotNull(), "rejected").when(bot, "bot").otherwise("accepted")
     nothing = F.lit(None).cast("string")
+    return [
+        outcome.alias("outcome"),
+        pick(1, F.lit(202)).alias("status"),
+        pick(2, nothing).alias("context"),
+        pick(3, nothing).alias("path"),
+        pick(4, nothing).alias("message"),
+    ]
+
+
+def classify_requests(
+    requests: DataFrame, settings: Settings = Settings(), observation: Observation | None = None
+) -> DataFrame:
+    """V7: the first failure of every request, or the normalised hit.
+
+    Adds ``client_ip``, ``hmac_status``, ``effective_url``, ``hit`` and the verdict:
+    ``outcome`` (accepted, bot or rejected), ``status``, ``context``, ``path`` and
+    ``message``. Order: size, JSON, signature, body, query string, headers, bot.
+    ``observation`` receives the number of requests per outcome.
+    """
+    kept = requests.columns
+    df = apply_hmac_policy(requests.withColumn("client_ip", client_ip(settings)), settings)
+    df = open_headers(open_body(df))
+
+    # The signature hook rewrites the URL late; the query was taken from the original.
+    pairs = urls.query_pairs(urls.query_of(F.col("url")), decode=urls.lenient_decode)
+    df = df.withColumn("_query", pairs).withColumns(
+        {
+            "_size_bad": too_large(F.col("body")),
+            "_body_bad": _body_bad(),
+            "_head_bad": _head_bad(),
+            "_query_bad": _query_bad(),
+        }
+    )
+
+    df = df.withColumn("_stage", _stage())
     verdict = df.select(
         *kept,
         "client_ip",
         "hmac_status",
         "effective_url",
         normal_hit().alias("hit"),
-        outcome.alias("outcome"),
-        pick(1, F.lit(202)).alias("status"),
-        pick(2, nothing).alias("context"),
-        pick(3, nothing).alias("path"),
-        pick(4, nothing).alias("message"),
+        *_verdict(),
     )
     outcomes = ("accepted", "bot", "rejected")
     return counted(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import rules, schemas
+from ..functions.once import once
 from . import documents
 from .documents import Check, Member, Members
 from .metrics import counted
@@ -52,6 +53,15 @@ def _open(df: DataFrame) -> DataFrame:
         "_stamp": documents.open_object(doc, "$.payload.meta", STAMP_MEMBERS),
         "_client": documents.open_object(doc, "$.meta", CLIENT_MEMBERS),
     }
+    return df.withColumns(objects).select(
+        *[c for c in df.columns if c != "_doc"],
+        F.when(doc.isNotNull(), F.when(F.col("_root").isNotNull(), "OBJECT<").otherwise("OTHER")).alias("_type"),
+        _described().alias("_members"),
+    )
+
+
+@once
+def _described() -> Column:
     source = {
         "": "_root", "/payload": "_payload", "/payload/parsedReferrer": "_parts",
         "/payload/meta": "_stamp", "/meta": "_client",
@@ -67,13 +77,10 @@ def _open(df: DataFrame) -> DataFrame:
         )
         for place in _ALL
     ]
-    return df.withColumns(objects).select(
-        *[c for c in df.columns if c != "_doc"],
-        F.when(doc.isNotNull(), F.when(F.col("_root").isNotNull(), "OBJECT<").otherwise("OTHER")).alias("_type"),
-        documents.describe_strict(members).alias("_members"),
-    )
+    return documents.describe_strict(members)
 
 
+@once
 def _checks() -> list[Check]:
     def nullable_optional(name: str) -> list[Check]:
         return PAYLOAD.optional(name, PAYLOAD.nullable(name, PAYLOAD.string(name)))
@@ -119,6 +126,7 @@ def _checks() -> list[Check]:
     ]
 
 
+@once
 def _event() -> Column:
     parsed = F.struct(*[REFERRER.text(name).alias(name) for name in REFERRER_MEMBERS])
     return F.struct(
@@ -139,18 +147,25 @@ def _event() -> Column:
     )
 
 
+@once
+def _error() -> Column:
+    said = documents.message_at(_checks(), F.col("_bad"), "data", "_members")
+    return F.when(F.col("_type").isNull(), "invalid JSON").otherwise(said)
+
+
+@once
+def _first_broken() -> Column:
+    return documents.first_broken(_checks())
+
+
 def validate_raw(messages: DataFrame, observation: Observation | None = None) -> DataFrame:
     """V8: add ``error`` (NULL if valid) and the typed ``event`` to rows with a ``value``.
 
     ``observation`` receives the number of valid messages and of parse failures.
     """
     kept = messages.columns
-    checks = _checks()
-    df = _open(messages).withColumn("_bad", documents.first_broken(checks))
-    error = F.when(F.col("_type").isNull(), "invalid JSON").otherwise(
-        documents.message_at(checks, F.col("_bad"), "data", "_members")
-    )
-    df = df.withColumn("error", error)
+    df = _open(messages).withColumn("_bad", _first_broken())
+    df = df.withColumn("error", _error())
     checked = df.select(*kept, "error", F.when(F.col("error").isNull(), _event()).alias("event"))
     failed = F.col("error").isNotNull()
     return counted(checked, {"valid": ~failed, "parse_failures": failed}, observation)
