@@ -20,14 +20,21 @@ def query_of(url: Column) -> Column:
     return F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
 
 
+def _where_coded(text: Column, decoded: Column) -> Column:
+    """``decoded`` where the text has anything to decode."""
+    return F.when(text.contains("%") | text.contains("+"), decoded).otherwise(text)
+
+
 def form_decode(text: Column) -> Column:
     """Form decoding; a stray ``%`` stands for itself."""
-    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+    escaped = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return _where_coded(text, F.try_url_decode(escaped))
 
 
 def lenient_decode(text: Column) -> Column:
     """Query-string decoding: text with any bad escape stays as it is, ``+`` aside."""
-    return F.coalesce(F.try_url_decode(text), F.translate(text, "+", " "))
+    decoded = F.coalesce(F.try_url_decode(text), F.translate(text, "+", " "))
+    return _where_coded(text, decoded)
 
 
 def query_pairs(query: Column, decode=form_decode) -> Column:
@@ -53,7 +60,8 @@ def write_pairs(pairs: Column) -> Column:
 
 def first_value(pairs: Column, key: str) -> Column:
     """Value of the first pair with this key, NULL if there is none."""
-    return F.get(F.filter(pairs, lambda p: p["key"] == key), F.lit(0))["value"]
+    place = F.array_position(pairs["key"], key).cast("int") - F.lit(1)
+    return F.get(pairs["value"], place)
 
 
 def without_keys(pairs: Column, *keys: str) -> Column:

@@ -67,15 +67,20 @@ REFERRER = Members(
 
 
 @once
-def _described() -> Column:
+def _body_members() -> list[documents.Member]:
     opened = {"/payload": F.col("_payload"), "parsedReferrer": F.col("_parts")}
     sources = [
         *[("/" + n, F.col(f"_root.`{n}`")) for n in ROOT_MEMBERS],
         *[(n, F.col(f"_payload.`{n}`")) for n in PAYLOAD_MEMBERS],
         *[(f"referrer/{n}", F.col(f"_parts.`{n}`")) for n in REFERRER_MEMBERS],
     ]
-    members = [documents.Member(value, opened.get(name)) for name, value in sources]
-    return documents.describe_coerced(members, documents.needs_care(F.col("body")))
+    return [documents.Member(value, opened.get(name)) for name, value in sources]
+
+
+@once
+def _described() -> Column:
+    care = documents.needs_care(F.col("body"))
+    return documents.describe_coerced(_body_members(), F.col("_kinds"), care)
 
 
 def open_body(df: DataFrame) -> DataFrame:
@@ -90,6 +95,7 @@ def open_body(df: DataFrame) -> DataFrame:
     )
     parts = documents.open_object(F.col("_payload.parsedReferrer"), "$", REFERRER_MEMBERS)
     df = df.withColumn("_parts", parts)
+    df = df.withColumn("_kinds", documents.kinds_of(_body_members()))
     # An event id is kept or replaced by its own JSON type, so it is never coerced.
     event_id = F.col("_payload.event_id")
     is_object = F.when(F.col("_root").isNotNull(), "OBJECT<").otherwise("OTHER")
@@ -100,7 +106,7 @@ def open_body(df: DataFrame) -> DataFrame:
             "_event_id_type": F.schema_of_variant(event_id),
             "_event_id_text": F.try_variant_get(event_id, "$", "string"),
         }
-    ).drop("_doc", "_root", "_payload", "_parts")
+    ).drop("_doc", "_root", "_payload", "_parts", "_kinds")
 
 
 @once
@@ -175,16 +181,17 @@ def query_failure(pairs: Column) -> Column:
 
     A repeated key reaches the schema as a list, which is not a string.
     """
-    names = F.filter(pairs, lambda p: p["key"] == "name")
-    tokens = F.filter(pairs, lambda p: p["key"] == "token")
-    others = F.filter(pairs, lambda p: ~p["key"].isin("name", "token"))
-    keys = F.transform(others, lambda p: p["key"])
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    keys = pairs["key"]
+    others = F.array_remove(F.array_remove(keys, "name"), "token")
+    repeated = F.size(F.array_distinct(others)) < F.size(others)
     twice = F.get(
-        F.filter(keys, lambda k: F.size(F.filter(keys, lambda other: other == k)) > 1), F.lit(0)
+        F.filter(others, lambda k: F.size(F.filter(others, lambda other: other == k)) > 1), F.lit(0)
     )
-    token = F.get(tokens, F.lit(0))["value"]
-    name = F.get(names, F.lit(0))["value"]
+    token = urls.first_value(pairs, "token")
+    name = urls.first_value(pairs, "name")
+
+    def count(key: str) -> Column:
+        return F.size(keys) - F.size(F.array_remove(keys, key))
 
     def failure(path: Column | str, message: str) -> Column:
         where = F.lit(path) if isinstance(path, str) else path
@@ -192,15 +199,15 @@ def query_failure(pairs: Column) -> Column:
         return F.struct(where.alias("path"), text.alias("message"))
 
     return (
-        F.when(F.size(names) == 0, failure("", "must have required property 'name'"))
+        F.when(count("name") == 0, failure("", "must have required property 'name'"))
         .when(repeated, failure(F.concat(F.lit("/"), twice), "must be string"))
-        .when(F.size(tokens) > 1, failure("/token", "must be string"))
+        .when(count("token") > 1, failure("/token", "must be string"))
         .when(token == "", failure("/token", "must NOT have fewer than 1 characters"))
         .when(
             ~documents.fields.is_nonblank(token),
             failure("/token", 'must match pattern "^.*\\S.*$"'),
         )
-        .when(F.size(names) > 1, failure("/name", "must be string"))
+        .when(count("name") > 1, failure("/name", "must be string"))
         .when(
             ~name.isin(*rules.EVENT_NAMES),
             failure("/name", "must be equal to one of the allowed values"),

@@ -113,21 +113,26 @@ def needs_care(document: Column) -> Column:
     return document.contains("[") | document.rlike(r":\s*-?[0-9][0-9.]*[eE]")
 
 
-def describe_coerced(members: list[Member], care: Column) -> Column:
+def kinds_of(members: list[Member]) -> Column:
+    """The JSON types alone, in order."""
+    return F.array(*[member.kind() for member in members])
+
+
+def describe_coerced(members: list[Member], kinds: Column, care: Column) -> Column:
     """Type and text of every member, in order, with request coercion.
 
     Null becomes an empty text, numbers and booleans become their text and a
     one-element array stands for its element. Documents without arrays and
-    exponents, nearly all, take a short way that compiles to small methods.
+    exponents, nearly all, take a short way that compiles to small methods. ``kinds``
+    are the types, as a column computed before.
     """
 
-    def short(member: Member) -> Column:
-        kind = member.kind()
+    def short(place: int, member: Member) -> Column:
+        kind = F.get(kinds, F.lit(place))
         text = F.try_variant_get(member.value, "$", "string")
         return _described(kind, F.when(kind == "VOID", "").when(~kind.startswith("OBJECT<"), text))
 
-    def careful(entry: Column) -> Column:
-        kind, member = entry["type"], entry["member"]
+    def careful(member: Column, kind: Column) -> Column:
         inner = F.try_variant_get(member, "$[0]", "variant")
         single = (
             kind.startswith("ARRAY<")
@@ -139,11 +144,9 @@ def describe_coerced(members: list[Member], care: Column) -> Column:
             _described(kind, _scalar_text(kind, member))
         )
 
-    entries = F.array(
-        *[F.struct(m.value.alias("member"), m.kind().alias("type")) for m in members]
-    )
-    return F.when(care, F.transform(entries, careful)).otherwise(
-        F.array(*[short(member) for member in members])
+    values = F.array(*[member.value for member in members])
+    return F.when(care, F.zip_with(values, kinds, careful)).otherwise(
+        F.array(*[short(place, member) for place, member in enumerate(members)])
     )
 
 
