@@ -79,13 +79,15 @@ def _body_members() -> list[documents.Member]:
 
 @once
 def _described() -> Column:
-    care = documents.needs_care(F.col("body"))
+    care = documents.needs_care(F.col("_text"))
     return documents.describe_coerced(_body_members(), F.col("_kinds"), care)
 
 
 def open_body(df: DataFrame) -> DataFrame:
     """Parse the body and describe its members in ``_members``, with coercion."""
-    df = documents.parse_document(df, "body", "_doc")
+    # Bodies over the limit are refused unread.
+    df = df.withColumn("_text", F.when(~too_large(F.col("body")), F.col("body")))
+    df = documents.parse_document(df, "_text", "_doc")
     doc = F.col("_doc")
     df = df.withColumns(
         {
@@ -106,7 +108,7 @@ def open_body(df: DataFrame) -> DataFrame:
             "_event_id_type": F.schema_of_variant(event_id),
             "_event_id_text": F.try_variant_get(event_id, "$", "string"),
         }
-    ).drop("_doc", "_root", "_payload", "_parts", "_kinds")
+    ).drop("_text", "_doc", "_root", "_payload", "_parts", "_kinds")
 
 
 @once

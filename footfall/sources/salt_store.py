@@ -95,7 +95,10 @@ class SaltStore:
         secret = self.spark.createDataFrame([(secrets.token_hex(32),)], "secret string")
         if created_at is None:
             created_at = F.current_timestamp()
-        missing = ops.missing_salts(wanted.select("key").distinct(), self.load())
+        stored = self.load()
+        missing = ops.missing_salts(wanted.select("key").distinct(), stored)
+        if missing.isEmpty():
+            return stored
         self.append(ops.create_salts(missing, secret, created_at))
         return self.load()
 
