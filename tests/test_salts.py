@@ -1,7 +1,7 @@
 """The salt table."""
 
 import os
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
