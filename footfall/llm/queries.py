@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, url_rules
+from . import chat, host_rules, packing, url_rules
 from .store import ready, table
 
 URL_RULES = [
@@ -15,6 +15,17 @@ URL_RULES = [
 ]
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rules."""
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_table(spark, URL_RULES))
