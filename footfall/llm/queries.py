@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, packing, toxicity, url_rules
+from . import chat, host_rules, language, packing, toxicity, url_rules
 from .store import ready, table
 
 URL_RULES = [
@@ -56,6 +56,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(forged)))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, _remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and verdict."""
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("source", "host_rate", "host_kept")
