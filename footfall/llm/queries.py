@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, language, packing, toxicity, url_rules
+from . import chat, host_rules, language, packing, toxicity, url_rules, vectors
 from .store import ready, table
 
 URL_RULES = [
@@ -69,6 +69,11 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("source", "host_rate", "host_kept")
 
 
+def op10_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [value for name, value in globals().items() if name.startswith("op") and callable(value)]
     own.sort(key=lambda f: int(f.__name__[2:].split("_")[0]))
