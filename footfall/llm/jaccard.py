@@ -10,8 +10,9 @@ reach the bound that their sizes set are discarded. Those left are compared exac
 Columns with very many nodes would make all pairs of them. They are left out at first: a
 prefix somewhat longer than needed still finds every pair, unless many of a node's columns
 are such. Those nodes are joined anew among each other, on their whole sets, with the
-rarest columns first. Where even these are frequent, nodes are tied to the first one of
-the column; the pairs that this leaves in different components are then multiplied in full.
+rarest columns first. Where even these are frequent, nodes are compared with the column's
+hub, the node with most such columns; the pairs that this leaves in different components
+are then multiplied in full.
 
 Null texts and texts without words have an empty set and link with nothing. Texts with
 fewer words than a shingle are one shingle. Repeated rows fall into one node; rows without
@@ -45,6 +46,8 @@ EXTRA, TOLERATED = 10, 25
 HELD_PAIRS = 1 << 21
 KEPT_SETS = 100_000
 SALTS = 16
+#: Nodes in a block of rows, about.
+ROW_BLOCK = 1024
 
 
 def shingles(t: Texts) -> list[np.ndarray]:
@@ -179,54 +182,40 @@ class _Product:
             self.held, self.size = [], 0
 
 
-def _multiplying(hot: int | None, star: bool):
-    """Rows (h, fp, n[, root]) sorted by column h and node: partial pair counts.
+def _multiplying(hot: int):
+    """Rows (h, fp, n) sorted by column h and node: partial pair counts.
 
-    Columns of more than ``hot`` nodes give each node's row with b null, and with ``star``
-    also the pair with the column's first node. With a root, only pairs of different roots
-    count. A column's rows are held up to ``hot`` of them (all of them without ``hot``).
+    Columns of more than ``hot`` nodes only give each node's count of them, with b null;
+    no more than ``hot`` rows of a column are held beyond a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         product, counts = _Product(), _Counts()
         carry: list[np.ndarray] | None = None
-        hot_h, leader = None, None
+        hot_h = None
 
-        def heated(h, f, n, first):
-            counts.add(f, n)
-            if star:
-                product.add(np.full(len(f), first[0]), np.full(len(f), first[1]), f, n)
-
-        def finish(h, f, n, r):
+        def finish(h, f, n):
             """Whole columns: cold ones are multiplied, hot ones noted."""
             new = np.ones(len(h), dtype=bool)
             new[1:] = h[1:] != h[:-1]
             at = np.flatnonzero(new)
             size = np.diff(np.append(at, len(h)))
             each = np.repeat(size, size)
-            if hot is not None:
-                for i in np.flatnonzero(size > hot):
-                    own = slice(at[i], at[i] + size[i])
-                    heated(h[own], f[own], n[own], (f[at[i]], n[at[i]]))
-                keep = (each > 1) & (each <= hot)
-            else:
-                keep = each > 1
-            h, f, n, r = h[keep], f[keep], n[keep], r[keep]
-            most = int(each[keep].max()) if len(h) else 0
-            for a, b in _pairs_of(h, most):
-                apart = r[a] != r[b] if len(r) and hot is None else np.ones(len(a), dtype=bool)
-                product.add(f[a][apart], n[a][apart], f[b][apart], n[b][apart])
+            for i in np.flatnonzero(size > hot):
+                counts.add(f[at[i] : at[i] + size[i]], n[at[i] : at[i] + size[i]])
+            keep = (each > 1) & (each <= hot)
+            h, f, n = h[keep], f[keep], n[keep]
+            for a, b in _pairs_of(h, hot):
+                product.add(f[a], n[a], f[b], n[b])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.schema.names
             own = [batch.column(c).to_numpy() for c in ("h", "fp", "n")]
-            own.append(batch.column("root").to_numpy() if "root" in names else np.arange(len(own[0])))
             if hot_h is not None:
                 same = own[0] == hot_h
                 if same.any():
-                    heated(own[0][same], own[1][same], own[2][same], leader)
+                    counts.add(own[1][same], own[2][same])
                     own = [v[~same] for v in own]
                 if not len(own[0]):
                     yield from counts.drain(False)
@@ -235,16 +224,16 @@ def _multiplying(hot: int | None, star: bool):
                 hot_h = None
             if carry is not None:
                 own = [np.concatenate(v) for v in zip(carry, own, strict=True)]
-            h, f, n = own[:3]
+            h, f, n = own
             again = np.zeros(len(h), dtype=bool)
             again[1:] = (h[1:] == h[:-1]) & (f[1:] == f[:-1]) & (n[1:] == n[:-1])
             own = [v[~again] for v in own]
             last = int(np.searchsorted(own[0], own[0][-1], side="left"))
             finish(*[v[:last] for v in own])
             carry = [v[last:] for v in own]
-            if hot is not None and len(carry[0]) > hot:
-                hot_h, leader = carry[0][0], (carry[1][0], carry[2][0])
-                heated(carry[0], carry[1], carry[2], leader)
+            if len(carry[0]) > hot:
+                hot_h = carry[0][0]
+                counts.add(carry[1], carry[2])
                 carry = None
             yield from counts.drain(False)
             yield from product.drain(False)
@@ -281,11 +270,11 @@ _LONG = T.LongType()
 _PAIRS = T.StructType([T.StructField(c, _LONG) for c in _Product.names])
 
 
-def _product(rows: DataFrame, hot: int | None, star: bool = False) -> tuple[DataFrame, DataFrame]:
+def _product(rows: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Pair counts, and how many columns of each node were left out."""
     out = written(
         rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "fp", "n")
-        .mapInArrow(_multiplying(hot, star), _PAIRS),
+        .mapInArrow(_multiplying(hot), _PAIRS),
         "product",
     )
     pairs = out.filter("fb IS NOT NULL").groupBy("fa", "na", "fb", "nb").agg(F.sum("c").alias("c"))
@@ -398,7 +387,7 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     filled = hashed.filter("fp IS NOT NULL")
     members = filled.groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"))
     columns = filled.filter("columns IS NOT NULL").select("fp", "n", F.explode("columns").alias("h"))
-    pairs, left_out = _product(columns, HOT)
+    pairs, left_out = _product(columns)
     na, nb = F.col("na"), F.col("nb")
     rest = F.greatest(na - prefix_length(na), nb - prefix_length(nb))
     bound = _needed(na, nb) - rest - F.floor(F.greatest(na, nb) / TOLERATED)
@@ -419,21 +408,122 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
         .filter("one.many > 1").select("fp", "n", "one.many", "one.h"),
         "rare",
     )
-    again, _ = _product(rare.select("h", "fp", "n"), HOT, star=True)
-    candidates = written(first.unionByName(again).groupBy("fa", "na", "fb", "nb").agg(F.max("c").alias("c")), "candidates")
-
-    links = written(_verified(_first_choice(candidates), node_texts), "links")
-    roots = graph.components(_edges(links))
-    more = written(_verified(_apart(candidates, roots), node_texts), "links")
-    roots = graph.components(_edges(links).unionByName(_edges(more)))
-
-    # Frequent columns that still hold nodes of different roots are multiplied in full.
-    rooted = rare.filter(F.col("many") > HOT).withColumn("node", _node("fp", "n")).join(roots, "node", "left")
-    rooted = rooted.select("h", "fp", "n", F.xxhash64(F.coalesce("root", "node")).alias("root"))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
-    full, _ = _product(rooted.join(mixed, "h", "left_semi"), None)
-    last = written(_verified(_apart(full, roots), node_texts), "links")
-    return graph.components(_edges(links).unionByName(_edges(more)).unionByName(_edges(last)))
+    again, _ = _product(rare.select("h", "fp", "n"))
+    candidates = written(
+        first.unionByName(again).unionByName(_with_hubs(rare))
+        .groupBy("fa", "na", "fb", "nb").agg(F.max("c").alias("c")),
+        "candidates",
+    )
+    links, roots = _linked([], candidates, node_texts)
+
+    # Nodes of frequent columns that still hold different roots are multiplied in full.
+    rooted = rare.withColumn("node", _node("fp", "n")).join(roots, "node", "left").withColumn(
+        "root", F.xxhash64(F.coalesce("root", "node"))
+    )
+    mixed = rooted.filter(F.col("many") > HOT).groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    mixed = written(mixed.filter("x != y").select("h"), "mixed")
+    open_nodes = written(rooted.join(mixed, "h", "left_semi").select("fp", "n").distinct(), "open")
+    last = written(_row_blocks(rooted.join(open_nodes, ["fp", "n"]), open_nodes.count()), "pairs")
+    return _linked(links, last, node_texts)[1]
+
+
+def _row_blocks(rows: DataFrame, nodes: int) -> DataFrame:
+    """Pairs of different roots whose counts reach their bound, from all columns at once.
+
+    Rows (h, fp, n, root) are dealt to pairs of row blocks, so that a task has the whole
+    counts of its pairs and hands on none that is discarded.
+    """
+    blocks = max(1, -(-nodes // ROW_BLOCK))
+    own = F.pmod(F.xxhash64("fp", "n"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.select("h", "fp", "n", "root", own.alias("own"), other.alias("other"))
+    keyed = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return keyed.repartition(partitions(rows.sparkSession), "i", "j").sortWithinPartitions("i", "j", "h").mapInArrow(
+        _crossing, _PAIRS
+    )
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair of blocks; holds the rows of one pair."""
+    key, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in ("i", "j", "own", "h", "fp", "n", "root")]
+        change = np.ones(batch.num_rows + 1, dtype=bool)
+        change[1:-1] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+        at = np.flatnonzero(change)
+        for a, b in zip(at, at[1:], strict=False):
+            now = (columns[0][a], columns[1][a])
+            if now != key:
+                if held:
+                    yield _block_pairs(key, held)
+                key, held = now, []
+            held.append([c[a:b] for c in columns[2:]])
+    if held:
+        yield _block_pairs(key, held)
+
+
+def _block_pairs(key: tuple[int, int], held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    own, h, f, n, root = (np.concatenate(v) for v in zip(*held, strict=True))
+    sides, local = [], np.zeros(len(h), dtype=np.int64)
+    for block in sorted(set(key)):
+        at = np.flatnonzero(own == block)
+        nodes, index, back = np.unique(
+            np.rec.fromarrays([f[at], n[at]], names="f,n"), return_index=True, return_inverse=True
+        )
+        local[at] = back
+        sides.append((nodes["f"], nodes["n"], root[at][index]))
+    (fa, na, ra), (fb, nb, rb) = sides[0], sides[-1]
+    counts = np.zeros((len(fa), len(fb)), dtype=np.int32)
+    edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    for a, b in zip(edges, np.append(edges[1:], len(h)), strict=True):
+        if b - a > 1:
+            x = local[a:b][own[a:b] == key[0]]
+            y = local[a:b][own[a:b] == key[1]]
+            counts[np.ix_(x, y)] += 1
+    size_a, size_b = na[:, None], nb[None, :]
+    needed = -(-(size_a + size_b) * PERCENT // (100 + PERCENT))
+    rest = np.maximum(size_a - size_a // 4 - 1, size_b - size_b // 4 - 1)
+    keep = (counts >= np.maximum(needed - rest, 1)) & (ra[:, None] != rb[None, :])
+    keep &= 4 * np.minimum(size_a, size_b) >= 3 * np.maximum(size_a, size_b)
+    if key[0] == key[1]:
+        keep = np.triu(keep, 1)
+    x, y = np.nonzero(keep)
+    turned = (fa[x] > fb[y]) | ((fa[x] == fb[y]) & (na[x] > nb[y]))
+    columns = [
+        np.where(turned, fb[y], fa[x]), np.where(turned, nb[y], na[x]), np.where(turned, fa[x], fb[y]),
+        np.where(turned, na[x], nb[y]), counts[x, y].astype(np.int64),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(_Product.names))
+
+
+def _with_hubs(rare: DataFrame) -> DataFrame:
+    """Pairs of each node with the hubs of its frequent columns."""
+    hot = rare.filter(F.col("many") > HOT)
+    weighed = hot.join(hot.groupBy("fp", "n").agg(F.count("*").alias("w")), ["fp", "n"])
+    hubs = weighed.groupBy("h").agg(F.max(F.struct("w", "fp", "n")).alias("hub"))
+    pairs = hot.join(hubs, "h").groupBy(_node("fp", "n").alias("x"), F.struct("hub.fp", "hub.n").alias("y")).agg(
+        F.count("*").alias("c")
+    )
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    sized = pairs.filter("x != y AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)").select(a.alias("a"), b.alias("b"), "c")
+    return sized.select(
+        F.col("a.fp").alias("fa"), F.col("a.n").alias("na"), F.col("b.fp").alias("fb"), F.col("b.n").alias("nb"), "c"
+    )
+
+
+def _linked(links: list[DataFrame], candidates: DataFrame, node_texts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The links with those among the candidates, and the roots: a link within a component is not looked for."""
+    links = [*links, written(_verified(_first_choice(candidates), node_texts), "links")]
+    roots = _roots(links)
+    links = [*links, written(_verified(_apart(candidates, roots), node_texts), "links")]
+    return links, _roots(links)
+
+
+def _roots(links: list[DataFrame]) -> DataFrame:
+    edges = _edges(links[0])
+    for own in links[1:]:
+        edges = edges.unionByName(_edges(own))
+    return graph.components(edges)
 
 
 def join(docs: DataFrame) -> DataFrame:
