@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, jaccard, language, packing, toxicity, url_rules, vectors
-from .store import ready, table
+from . import chat, host_rules, jaccard, language, packing, resampling, toxicity, url_rules, vectors
+from .store import ready, table, written
 
 URL_RULES = [
     ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"),
@@ -40,6 +40,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance, its key and whether it is in the sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = resampling.train(docs, table(spark, sf_dir, "labels"))
+    keys = written(resampling.weigh(docs, model).drop("text"), "keys")
+    least = resampling.smallest_kept(keys, keys.filter("log_weight >= 0").count())
+    return keys.withColumn("kept", F.col("sample_key") >= F.lit(least))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component."""
     return jaccard.join(table(spark, sf_dir, "documents"))
