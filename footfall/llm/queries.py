@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, jaccard, language, packing, resampling, toxicity, url_rules, vectors
+from . import chat, host_rules, jaccard, language, packing, resampling, subwords, toxicity, url_rules, vectors
 from .store import ready, table, written
 
 URL_RULES = [
@@ -40,6 +40,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and whether they decode to its text."""
+    path = _tokenizer("piece_bpe_32k.model")
+    decoded = subwords.decode(subwords.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance, its key and whether it is in the sample."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
