@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, host_rules, jaccard, language, packing, resampling, subwords, toxicity, url_rules, vectors
-from .store import ready, table, written
-
-URL_RULES = [
-    ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"),
-]
-
+from .store import ready, table
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -25,6 +20,11 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+URL_RULES = [
+    ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"),
+]
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,11 +49,7 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance, its key and whether it is in the sample."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = resampling.train(docs, table(spark, sf_dir, "labels"))
-    keys = written(resampling.weigh(docs, model).drop("text"), "keys")
-    least = resampling.smallest_kept(keys, keys.filter("log_weight >= 0").count())
-    return keys.withColumn("kept", F.col("sample_key") >= F.lit(least))
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,9 +181,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r[1] for r in ordered], [r[2] for r in ordered], raw_counts(docs))
 
 
-def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``log_weight`` and ``sample_key`` (replaced if there)."""
-    names = ("log_weight", "sample_key")
+def weigh(docs: DataFrame, model: Model, names: tuple[str, str] = ("log_weight", "sample_key")) -> DataFrame:
+    """All columns of ``docs`` with its log weight and key; columns of these names are replaced."""
     docs = docs.drop(*names)
 
     def make():
@@ -204,11 +203,18 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(per_batch(make), schema).withColumn(names[1], F.col(names[0]) + gumbel * TEMPERATURE)
 
 
-def smallest_kept(keys: DataFrame, k: int) -> float:
-    """The ``k``-th greatest ``sample_key``, by ever finer histograms; ``keys`` is read repeatedly."""
+def smallest_kept(keys: DataFrame) -> float:
+    """The least key of the sample, by ever finer histograms; ``keys`` is read repeatedly.
+
+    ``keys`` has ``log_weight`` and ``sample_key``; the sample is as large as the number of
+    documents that are likelier good than not.
+    """
+    k = keys.filter("log_weight >= 0").count()
     low, high, many = keys.agg(F.min("sample_key"), F.max("sample_key"), F.count("sample_key")).first()
-    if k >= many or many == 0:
+    if k >= many:
         return float("-inf")
+    if k == 0:
+        return float("inf")
     above = 0
     for _ in range(8):
         if high <= low:
@@ -229,8 +235,15 @@ def smallest_kept(keys: DataFrame, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """The documents with their weights and keys, written, and the least key that is kept."""
-    weighed = written(weigh(docs, train(docs, labels)), "weighed")
-    k = weighed.filter("log_weight >= 0").count()
-    return weighed, smallest_kept(weighed.select("sample_key"), k)
+def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``log_weight``, ``sample_key`` and ``kept`` of every document."""
+    keys = written(weigh(docs.select("doc_id", "text"), train(docs, labels)).drop("text"), "keys")
+    return keys.withColumn("kept", F.col("sample_key") >= F.lit(smallest_kept(keys)))
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents of the sample, with their own columns."""
+    names = ("_log_weight", "_sample_key")
+    weighed = written(weigh(docs, train(docs, labels), names), "weighed")
+    keys = weighed.select(F.col(names[0]).alias("log_weight"), F.col(names[1]).alias("sample_key"))
+    return weighed.filter(F.col(names[1]) >= F.lit(smallest_kept(keys))).drop(*names)
