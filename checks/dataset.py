@@ -44,7 +44,7 @@ REFERRERS = [
     ("", None, None, None),
 ]
 
-SIGNING_SECRET = "c2c5e6a3e644b6f41b947b1f651a4b569eaece5b"
+SIGNING_SECRET = "signing secret of the derived requests"
 
 # Per dialect: {name} inside an expression is replaced by this.
 DIALECTS = {
@@ -96,7 +96,8 @@ LAYERS: list[dict[str, str]] = [
         "extra_part": "CASE WHEN e % 139 = 0 THEN '&x=1&x=2' WHEN e % 3 = 0 THEN '&x=a+b' ELSE '' END",
     },
     {
-        "url": "'/api/v1/page_hit?' || name_part || token_part || extra_part",
+        "method": "CASE WHEN e % 163 = 0 THEN 'GET' ELSE 'POST' END",
+        "url": "CASE WHEN e % 157 = 0 THEN '/api/v1/nope?' ELSE '/api/v1/page_hit?' END || name_part || token_part || extra_part",
         "href": "'https://site' || CAST(u % 7 AS STRING) || '.example.com' || pathname",
         "payload": " || ".join(
             [
@@ -240,7 +241,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def derive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_requests(_derived(spark, sf_dir), F.lit("POST"), F.col("url"))
+    return _as_requests(_derived(spark, sf_dir), F.col("method"), F.col("url"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from . import dataset
 
 SECRET = Settings(hmac_secret=dataset.SIGNING_SECRET)
 LOG_ONLY = Settings(hmac_secret=dataset.SIGNING_SECRET, hmac_log_only=True)
+# No table fits, few rows of a key make it hot: the way of very large tables.
+SHUFFLED = Settings(broadcast_rows=0, task_rows=50)
 TRACED = Settings(trace_project="shop")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,7 +224,7 @@ def s7_reject_records(spark: SparkSession, sf: str) -> DataFrame:
     return reports.reject_records(_classified(spark, sf)).select(
         F.col("status").cast("bigint").alias("status"), "error", "message", "validation_context",
         "instance_path", "request_method", "request_url", "user_agent", "remote_ip", "referer",
-        "content_type", "site_uuid",
+        "content_type", "site_uuid", "request_body",
     )
 
 
@@ -245,7 +247,7 @@ def v2_client_ip(spark: SparkSession, sf: str) -> DataFrame:
 
 def v3_hmac_verify(spark: SparkSession, sf: str) -> DataFrame:
     df = admission.verify_signature(dataset.signed_requests(spark, sf), dataset.SIGNING_SECRET)
-    return df.filter(~F.col("url").startswith("/local-proxy")).select(
+    return df.select(
         "row_id", "hmac_valid", "hmac_error", "cleaned_url"
     )
 
@@ -426,14 +428,14 @@ def p7_parse_user_agent(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.parse_user_agent(df, F.col("agent")).select("row_id", "os", "browser", "device")
 
 
-def p8_parse_referrer(spark: SparkSession, sf: str) -> DataFrame:
+def _referrers(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
     raw = _raw(spark, sf).select(
         F.col("payload.event_id").alias("event_id"), F.col("payload.parsedReferrer").alias("parsed")
     )
-    df = enrich.parse_referrer(raw, F.col("parsed"), enrich.known_domains(spark))
+    df = enrich.parse_referrer(raw, F.col("parsed"), enrich.known_domains(spark), settings)
     hosts = enrich.parse_referrer(
         df.drop("referrerSource", "referrerMedium").withColumnRenamed("referrerUrl", "referrer_url"),
-        F.col("parsed"), enrich.known_domains(spark), host_only=True,
+        F.col("parsed"), enrich.known_domains(spark), settings, host_only=True,
     )
     return hosts.select(
         "event_id", "referrer_url", F.col("referrerUrl").alias("referrer_host"),
@@ -442,13 +444,29 @@ def p8_parse_referrer(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def p9_session_signature(spark: SparkSession, sf: str) -> DataFrame:
+def p8_parse_referrer(spark: SparkSession, sf: str) -> DataFrame:
+    return _referrers(spark, sf, Settings())
+
+
+def p8_parse_referrer_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return _referrers(spark, sf, SHUFFLED)
+
+
+def _signatures(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
     signed = enrich.attach_signature(
-        _raw(spark, sf), dataset.fixture_salts(spark, sf), enrich.event_day(F.col("timestamp"))
+        _raw(spark, sf), dataset.fixture_salts(spark, sf), enrich.event_day(F.col("timestamp")), settings
     )
     return signed.select(F.col("payload.event_id").alias("event_id"), "session_id")
 
 
+def p9_session_signature(spark: SparkSession, sf: str) -> DataFrame:
+    return _signatures(spark, sf, Settings())
+
+
+def p9_session_signature_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return _signatures(spark, sf, SHUFFLED)
+
+
 def p10_filter_query_params(spark: SparkSession, sf: str) -> DataFrame:
     df = dataset.requests(spark, sf)
     return df.select("row_id", urls.filter_query_params(F.col("url")).alias("filtered"))
@@ -510,7 +528,7 @@ def k2_get_or_create_salts(spark: SparkSession, sf: str) -> DataFrame:
 
 def k3_get_salt(spark: SparkSession, sf: str) -> DataFrame:
     known = dataset.fixture_salts(spark, sf)
-    found = salts.get_salts(known.select("key"), _some(known), Settings().broadcast_rows)
+    found = salts.get_salts(known.select("key"), _some(known))
     return found.select("key", "salt", clock.iso_millis(F.col("created_at")).alias("created"))
 
 

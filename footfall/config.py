@@ -16,7 +16,9 @@ class Settings:
     ``sink_has_token``   the sink authenticates on its own: drop ``token`` when forwarding
     ``sink_wait``        ask the sink to confirm writes
     ``trace_project``    project name for trace links
-    ``broadcast_rows``   largest lookup table that is broadcast; bigger ones are shuffled
+    ``broadcast_rows``   rows of the largest lookup table that is broadcast, and
+    ``broadcast_bytes``  its bytes; tables beyond either are shuffled
+    ``task_rows``        rows of one key that a task of such a shuffle may get
     """
 
     hmac_secret: str | None = None
@@ -27,3 +29,5 @@ class Settings:
     sink_wait: bool = False
     trace_project: str | None = None
     broadcast_rows: int = 500_000
+    broadcast_bytes: int = 64 << 20
+    task_rows: int = 200_000

@@ -346,6 +346,7 @@ def _stages() -> list[tuple[Column, int, str, Column | str, Column | str]]:
     unparsed = F.col("_body_type").isNull()
     refused = F.col("hmac_status") == "refused"
     return [
+        (F.col("_no_route"), 404, "route", "", "Route not found"),
         (F.col("_size_bad"), 413, "size", "", "Request body is too large"),
         (unparsed, 400, "json", "", "Body is not valid JSON"),
         (refused, 401, "hmac", "", F.col("hmac_message")),
@@ -385,7 +386,12 @@ def _verdict() -> list[Column]:
         return chain.otherwise(otherwise)
 
     bot = agents.is_bot(HEADERS.text("user-agent"))
-    outcome = F.when(F.col("_stage").isNotNull(), "rejected").when(bot, "bot").otherwise("accepted")
+    outcome = (
+        F.when(F.col("_stage") == 0, "not_found")
+        .when(F.col("_stage").isNotNull(), "rejected")
+        .when(bot, "bot")
+        .otherwise("accepted")
+    )
     nothing = F.lit(None).cast("string")
     return [
         outcome.alias("outcome"),
@@ -396,14 +402,20 @@ def _verdict() -> list[Column]:
     ]
 
 
+def is_hit_route() -> Column:
+    """Whether a request is for the page-hit route; other routes and methods are no hits."""
+    path = F.regexp_extract("url", r"^([^?#]*)", 1)
+    return F.coalesce((F.col("method") == rules.HIT_METHOD) & (path == rules.HIT_PATH), F.lit(False))
+
+
 def classify_requests(
     requests: DataFrame, settings: Settings = Settings(), observation: Observation | None = None
 ) -> DataFrame:
     """V7: the first failure of every request, or the normalised hit.
 
     Adds ``client_ip``, ``hmac_status``, ``effective_url``, ``hit`` and the verdict:
-    ``outcome`` (accepted, bot or rejected), ``status``, ``context``, ``path`` and
-    ``message``. Order: size, JSON, signature, body, query string, headers, bot.
+    ``outcome`` (accepted, bot, rejected or not_found), ``status``, ``context``, ``path``
+    and ``message``. Order: route, size, JSON, signature, body, query string, headers, bot.
     ``observation`` receives the number of requests per outcome.
     """
     kept = requests.columns
@@ -414,6 +426,7 @@ def classify_requests(
     pairs = urls.query_pairs(urls.query_of(F.col("url")), decode=urls.lenient_decode)
     df = df.withColumn("_query", pairs).withColumns(
         {
+            "_no_route": ~is_hit_route(),
             "_size_bad": too_large(F.col("body")),
             "_body_bad": _body_bad(),
             "_head_bad": _head_bad(),
@@ -430,7 +443,7 @@ def classify_requests(
         normal_hit().alias("hit"),
         *_verdict(),
     )
-    outcomes = ("accepted", "bot", "rejected")
+    outcomes = ("accepted", "bot", "rejected", "not_found")
     return counted(
         verdict, {name: F.col("outcome") == name for name in outcomes}, observation
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import saltkeys, signing
 from . import lookup
 
@@ -33,6 +34,17 @@ def salt_rows(keys: DataFrame, salt: Column, created_at: Column) -> DataFrame:
     )
 
 
+def one_per_key(salts: DataFrame) -> DataFrame:
+    """The salt that counts where callers have stored several for a key: the earliest one,
+    the least among equally early ones."""
+    rest = [name for name in COLUMNS if name not in ("salt_date", "key")]
+    order = ["created_at", "salt", *[name for name in rest if name not in ("created_at", "salt")]]
+    least = salts.groupBy("salt_date", "key").agg(F.min(F.struct(*order)).alias("_least"))
+    return least.select(
+        *[F.col(name) if name in ("salt_date", "key") else F.col(f"_least.{name}").alias(name) for name in COLUMNS]
+    )
+
+
 def wanted_keys(events: DataFrame, day: Column) -> DataFrame:
     """Distinct salt keys of raw events. Grouping is done before the shuffle, so a
     site with very many hits costs one row per task."""
@@ -58,9 +70,10 @@ def create_salts(missing: DataFrame, secret: DataFrame, created_at: Column) -> D
     return salt_rows(missing, salt, created_at)
 
 
-def get_salts(keys: DataFrame, salts: DataFrame, broadcast_rows: int) -> DataFrame:
+def get_salts(keys: DataFrame, salts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """K3: salt and creation time per requested key, NULL where there is none."""
-    return lookup.attach(keys, salts.select("key", "salt", "created_at"), ["key"], broadcast_rows)
+    table = salts.select("key", "salt", "created_at")
+    return lookup.attach(keys, table, ["key"], F.col("key"), settings=settings)
 
 
 def all_salts(salts: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """The two ways a hit gets from request to sink row, and traffic figures on top.
 
-Raw events are written once between admission and enrichment. Enrichment reads them
-twice (for the salts they need, then for the rows), and event ids made on the way
-are random: without the written table requests would be validated twice and a lost
-executor could change ids.
+An event id that has to be made derives from the request, so a task that runs again
+makes the same one. A table of raw events is written once between admission and
+enrichment all the same: planned as one, the two take minutes to optimize.
 """
 
 from __future__ import annotations
@@ -26,10 +25,19 @@ def spool(events: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(RAW).parquet(where)
 
 
+def request_seed() -> Column:
+    """What tells requests apart; requests that agree in all of it share a made event id."""
+    headers = F.to_json(F.array_sort(F.map_entries("http_headers")))
+    parts = ["method", "url", "remote_ip", F.col("received_at").cast("string"), "body", headers]
+    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+
+
 def admit(
     requests: DataFrame, settings: Settings = Settings(), event_id_seed: Column | None = None
 ) -> DataFrame:
-    """Raw events of the accepted requests."""
+    """Raw events of the accepted requests, as a table or as a stream."""
+    if event_id_seed is None:
+        event_id_seed = request_seed()
     return hits.to_raw(admission.classify_requests(requests, settings), settings, event_id_seed)
 
 
@@ -41,8 +49,14 @@ def process_inline(
     event_id_seed: Column | None = None,
     spool_path: str | None = None,
 ) -> DataFrame:
-    """T4: requests to processed events without topic and second validation."""
-    raw = spool(admit(requests, settings, event_id_seed), spool_path)
+    """T4: requests to processed events without topic and second validation.
+
+    Requests may be a stream as long as both lookup tables are within the broadcast
+    bounds; beyond them the keys of a whole table have to be counted first.
+    """
+    raw = admit(requests, settings, event_id_seed)
+    if not requests.isStreaming:
+        raw = spool(raw, spool_path)
     return enrich.to_processed(raw, salts, domains, settings=settings)
 
 

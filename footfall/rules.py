@@ -11,6 +11,9 @@ EVENT_NAMES = ["analytics_events", "analytics_events_test"]
 POST_TYPES = ["null", "post", "page"]
 UNDEFINED = "undefined"
 
+HIT_METHOD = "POST"
+HIT_PATH = "/api/v1/page_hit"
+
 MAX_BODY_BYTES = 20 * 1024
 
 SIGNED_URL_PAST_MS = 5 * 60 * 1000

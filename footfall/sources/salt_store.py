@@ -2,21 +2,27 @@
 
 The table is a folder of versions, ``v=1``, ``v=2`` and so on. A version counts
 once its ``_SUCCESS`` marker is there, and the highest one is the table. New salts
-are appended to the current version; deletions write the survivors as a new version
-and then remove the older ones, since outdated salts must not stay readable.
+are appended to the current version; deletions write the survivors as a new version.
+Older ones are removed at once, as outdated salts must not stay readable; beside jobs
+that still read, ``cleanup`` can leave the version before to a later ``purge``.
 
-There is no lock: one job at a time may write.
+There is no lock. Callers that create a salt for one key at the same time may both store
+one; of several the earliest counts for every reader, and each caller reads the store
+again after it has written. Deletions need the store for themselves, apart from readers.
 """
 
 from __future__ import annotations
 
 import secrets
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import saltkeys
 from ..operators import salts as ops
 from ..schemas import SALTS
+from ..session import workspace
 
 
 class SaltStore:
@@ -58,16 +64,20 @@ class SaltStore:
 
     # --- table ------------------------------------------------------------------
 
-    def load(self) -> DataFrame:
-        """The stored salts; a store that does not exist yet is empty.
+    def load(self, days: list[date] | None = None) -> DataFrame:
+        """The stored salts, one for each key; a store that does not exist yet is empty.
 
+        With ``days`` only salts of those days (and of keys without a day) are read.
         Unreadable files fail the job: reading them as empty would give every visitor
         of the day a second identity.
         """
         version = self.current_version()
         if version is None:
             return self.spark.createDataFrame([], SALTS)
-        return self.spark.read.schema(SALTS).parquet(self._folder(version))
+        stored = self.spark.read.schema(SALTS).parquet(self._folder(version))
+        if days is not None:
+            stored = stored.filter(F.col("salt_date").isin(days) | F.col("salt_date").isNull())
+        return ops.one_per_key(stored)
 
     def append(self, salts: DataFrame) -> None:
         version = self.current_version()
@@ -76,13 +86,20 @@ class SaltStore:
         else:
             self._write(salts, version, "append")
 
-    def replace(self, salts: DataFrame) -> None:
-        """Make ``salts`` the table and remove older versions."""
-        older = self._all_versions()
+    def replace(self, salts: DataFrame, keep_previous: bool = False) -> None:
+        """Make ``salts`` the table; with ``keep_previous`` the old one stays until ``purge``."""
+        before, older = self.current_version(), self._all_versions()
         self._write(salts, max(older, default=0) + 1, "overwrite")
-        for version in older:
-            fs, folder = self._hadoop(self._folder(version))
-            fs.delete(folder, True)
+        self._remove([version for version in older if not (keep_previous and version == before)])
+
+    def purge(self) -> None:
+        """Remove all versions but the table: outdated salts must not stay readable."""
+        current = self.current_version()
+        self._remove([v for v in self._all_versions() if current is not None and v < current])
+
+    def _remove(self, versions: list[int]) -> None:
+        for version in versions:
+            self._remove_folder(self._folder(version))
 
     # --- keyed operations -------------------------------------------------------
 
@@ -90,17 +107,28 @@ class SaltStore:
         """K2: the table after giving every wanted key a salt; existing salts stay.
 
         New salts are written before anyone joins with them, so a recomputed task
-        cannot see a different one.
+        cannot see a different one. The wanted keys are written once: what they derive
+        from is neither planned nor run again. Only salts of wanted days are returned.
         """
-        secret = self.spark.createDataFrame([(secrets.token_hex(32),)], "secret string")
         if created_at is None:
             created_at = F.current_timestamp()
-        stored = self.load()
-        missing = ops.missing_salts(wanted.select("key").distinct(), stored)
-        if missing.isEmpty():
-            return stored
-        self.append(ops.create_salts(missing, secret, created_at))
-        return self.load()
+        path = workspace(self.spark, "wanted-keys")
+        wanted.select("key").distinct().write.parquet(path)
+        keys = self.spark.read.schema("key string").parquet(path)
+        dated = keys.select(saltkeys.key_date(F.col("key")).alias("day")).distinct()
+        days = [row["day"] for row in dated.collect() if row["day"] is not None]
+        stored = self.load(days)
+        missing = ops.missing_salts(keys, stored)
+        if not missing.isEmpty():
+            secret = self.spark.createDataFrame([(secrets.token_hex(32),)], "secret string")
+            self.append(ops.create_salts(missing, secret, created_at))
+            stored = self.load(days)
+        self._remove_folder(path)
+        return stored
+
+    def _remove_folder(self, path: str) -> None:
+        fs, folder = self._hadoop(path)
+        fs.delete(folder, True)
 
     def insert(self, new: DataFrame) -> None:
         """K5: add records, or fail with ``SaltExists`` and add none."""
@@ -114,11 +142,11 @@ class SaltStore:
         """K7: remove all salts."""
         self.replace(self.spark.createDataFrame([], SALTS))
 
-    def cleanup(self, now: Column | None = None) -> int:
+    def cleanup(self, now: Column | None = None, keep_previous: bool = False) -> int:
         """K8: remove salts created before today (UTC) and return how many."""
         moment = F.current_timestamp() if now is None else now
         salts = self.load()
         deleted = ops.count_outdated(salts, moment).first()["deleted_count"]
         if deleted:
-            self.replace(ops.surviving(salts, moment))
+            self.replace(ops.surviving(salts, moment), keep_previous)
         return deleted

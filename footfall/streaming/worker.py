@@ -1,8 +1,8 @@
 """The worker: raw topic to NDJSON batches, continuously.
 
 Delivery is at least once. Offsets are kept by the checkpoint; every output of a
-micro-batch goes to a folder named by its batch id, so a replay after a failure
-replaces what the failed attempt left.
+micro-batch goes to a folder named by the run and the batch id, so a replay after a
+failure replaces what the failed attempt left, and nothing that another run delivered.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ def process_batch(
     day: Column,
     settings: Settings = Settings(),
     lines_per_file: int | None = None,
+    run: str = "batch",
 ) -> None:
     """Validate, enrich and write one batch of messages.
 
@@ -57,11 +58,11 @@ def process_batch(
         counts = batch_counts(checked).first()
         spark = messages.sparkSession
         spark.createDataFrame([counts]).write.mode("overwrite").json(
-            sinks.batch_path(f"{out}/counts", batch_id)
+            sinks.batch_path(f"{out}/counts", run, batch_id)
         )
         if counts["parse_failures"]:
             sinks.write_dead_letters(
-                rawcheck.dead_letters(checked), sinks.batch_path(f"{out}/dead", batch_id)
+                rawcheck.dead_letters(checked), sinks.batch_path(f"{out}/dead", run, batch_id)
             )
         if not counts["events"]:
             return
@@ -71,12 +72,23 @@ def process_batch(
         table = store.get_or_create(salts.wanted_keys(people, day))
         processed = enrich.to_processed(people, table, domains, day, settings)
         sinks.write_lines(
-            processed, sinks.batch_path(f"{out}/events", batch_id), lines_per_file
+            processed, sinks.batch_path(f"{out}/events", run, batch_id), lines_per_file
         )
     finally:
         checked.unpersist()
 
 
+def _clean(store: SaltStore, seen: dict) -> None:
+    """K8 beside the worker, between its batches."""
+    if seen["purge"]:
+        store.purge()
+        seen["purge"] = False
+    today = datetime.now(timezone.utc).date()
+    if seen["day"] != today:
+        seen["day"] = today
+        seen["purge"] = store.cleanup(keep_previous=True) > 0
+
+
 def start_worker(
     messages: DataFrame,
     out: str,
@@ -84,27 +96,38 @@ def start_worker(
     store: SaltStore,
     domains: DataFrame,
     settings: Settings = Settings(),
-    batch_size: int | None = rules.BATCH_SIZE,
+    batch_size: int | None = None,
     flush_ms: int = rules.FLUSH_INTERVAL_MS,
     drain: bool = False,
     salt_day: str = "processing",
+    cleanup: bool = False,
 ) -> StreamingQuery:
     """Start the worker on a stream of messages.
 
     A batch is flushed every ``flush_ms``; ``batch_size`` caps the events per written
-    file, and None leaves files as large as the batch makes them. ``drain`` works off
-    what is there and stops. Salts are keyed by the ``processing`` day, pinned once
-    per batch, or by the ``event`` day.
+    file (a sink that takes requests of so many may want it), and None leaves files as
+    large as the batch makes them. ``drain`` works off what is there and stops. Salts are
+    keyed by the ``processing`` day, pinned once per batch, or by the ``event`` day. With
+    ``cleanup`` the first batch of a UTC day removes outdated salts; their files go with
+    the batch after it, when nothing can read them any more.
     """
     if salt_day not in ("processing", "event"):
         raise ValueError("salt_day must be 'processing' or 'event'")
 
+    seen: dict = {"run": None, "day": None, "purge": False}
+
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if seen["run"] is None:
+            seen["run"] = sinks.run_of(batch.sparkSession, checkpoint)
+        if cleanup:
+            _clean(store, seen)
         if salt_day == "event":
             day = enrich.event_day(F.col("timestamp"))
         else:
             day = F.lit(datetime.now(timezone.utc).date())
-        process_batch(batch, batch_id, out, store, domains, day, settings, batch_size)
+        process_batch(
+            batch, batch_id, out, store, domains, day, settings, batch_size, seen["run"]
+        )
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if drain:

@@ -116,7 +116,37 @@ def test_corrupt_store_fails(spark, store):
 
 def test_lookup_shows_no_expiry(spark, store):
     store.insert(rows(spark, ("k1", "1", "2024-01-15 00:00:00")))
-    found = salts.get_salts(keys(spark, "k1", "k2"), store.load(), 10)
+    found = salts.get_salts(keys(spark, "k1", "k2"), store.load())
     assert found.columns == ["key", "salt", "created_at"]
     assert {row["key"]: row["salt"] for row in found.collect()} == {"k1": "1", "k2": None}
     assert salts.all_salts(store.load()).columns == ["key", "salt", "created_at"]
+
+
+def test_callers_that_race_agree(spark, folder):
+    first, second = SaltStore(spark, folder), SaltStore(spark, folder)
+    wanted = keys(spark, "salt:2024-05-01:a", "salt:2024-05-01:b")
+    # Both find the keys missing before either has written.
+    for store, secret in ((first, "x"), (second, "y")):
+        made = salts.create_salts(
+            wanted, spark.createDataFrame([(secret,)], "secret string"), F.timestamp_seconds(F.lit(1714521600))
+        )
+        store.append(made)
+    rows = [sorted(map(tuple, store.get_or_create(wanted).select("key", "salt").collect())) for store in (first, second)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+
+
+def test_only_wanted_days_are_read(spark, folder):
+    store = SaltStore(spark, folder)
+    store.get_or_create(keys(spark, "salt:2024-05-01:a", "salt:2024-05-02:a", "odd"))
+    found = store.get_or_create(keys(spark, "salt:2024-05-02:a", "odd"))
+    assert {r["key"] for r in found.collect()} == {"salt:2024-05-02:a", "odd"}
+    assert "PartitionFilters: [" in found._jdf.queryExecution().toString()
+
+
+def test_a_reader_keeps_the_version_it_has(spark, folder):
+    store = SaltStore(spark, folder)
+    before = store.get_or_create(keys(spark, "salt:2024-05-01:a"))
+    store.cleanup(F.current_timestamp() + F.expr("INTERVAL 2 DAYS"), keep_previous=True)
+    assert before.count() == 1 and store.load().count() == 0
+    store.purge()
+    assert len(store._all_versions()) == 1

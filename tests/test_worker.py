@@ -110,7 +110,7 @@ def test_replayed_batch_replaces_its_output(spark, folder):
         worker.process_batch(df, 3, f"{folder}/out", store, enrich.known_domains(spark), day)
         attempts.append(lines(spark, folder))
     assert len(attempts[0]) == 16 and attempts[0] == attempts[1]
-    assert os.listdir(f"{folder}/out/events") == ["batch_id=3"]
+    assert os.listdir(f"{folder}/out/events/run=batch") == ["batch_id=3"]
     assert store.load().groupBy("key").count().filter("count > 1").count() == 0
 
 
@@ -127,3 +127,56 @@ def test_batch_without_events_writes_none(spark, folder):
 def test_empty_batch_is_not_written(spark, folder):
     empty = spark.createDataFrame([], "a string")
     assert sinks.write_events_ndjson(empty, folder) is False and not os.path.exists(folder)
+
+
+def test_another_checkpoint_overwrites_nothing(spark, folder):
+    store = SaltStore(spark, f"{folder}/salts")
+    for number in range(2):
+        topic_path = f"{folder}/topic{number}"
+        publish(spark, topic_path, [(json.dumps(changed(RAW, "payload.event_id", f"e{number}")),)], 1)
+        worker.start_worker(
+            topic.read_raw_stream(spark, topic_path), f"{folder}/out", f"{folder}/checkpoint{number}",
+            store, enrich.known_domains(spark), drain=True, salt_day="event",
+        ).awaitTermination()
+    assert len(lines(spark, folder)) == 2
+
+
+def test_default_writes_one_large_file(spark, folder):
+    store = SaltStore(spark, f"{folder}/salts")
+    publish(spark, f"{folder}/topic", messages(300), 1)
+    start(spark, folder, store)
+    files = [name for _, _, names in os.walk(f"{folder}/out/events") for name in names if name.endswith(".txt")]
+    assert len(files) == 1 and len(lines(spark, folder)) > 50
+
+
+def test_worker_survives_cleanup_between_batches(spark, folder):
+    store = SaltStore(spark, f"{folder}/salts")
+    old = salts.salt_rows(
+        spark.createDataFrame([("salt:2020-01-01:s",)], "key string"), F.lit("0" * 64), F.timestamp_seconds(F.lit(1577836800))
+    )
+    store.append(old)
+    publish(spark, f"{folder}/topic", messages(), 3)
+    start(spark, folder, store, cleanup=True)
+    assert len(lines(spark, folder)) == 50
+    assert store.load().filter("salt_date < '2021-01-01'").count() == 0
+    assert len(store._all_versions()) == 1
+
+
+def test_published_stream_equals_the_published_table(spark, folder):
+    from footfall.plans import modes
+    from samples import request
+
+    columns = "method string, url string, http_headers map<string,string>, remote_ip string, received_at timestamp, body string"
+    spark.createDataFrame([request()], columns).write.parquet(f"{folder}/requests")
+    stream = spark.readStream.schema(columns).parquet(f"{folder}/requests")
+    topic.publish_raw_stream(modes.admit(stream), f"{folder}/a", f"{folder}/ca", drain=True).awaitTermination()
+    topic.publish_raw(modes.admit(spark.read.parquet(f"{folder}/requests")), f"{folder}/b")
+    found = [[r["value"] for r in topic.read_raw(spark, f"{folder}/{x}").collect()] for x in "ab"]
+    assert found[0] == found[1] and len(found[0]) == 1
+    known = store_of(spark, folder).load()
+    inline = modes.process_inline(stream, known, enrich.known_domains(spark))
+    assert inline.isStreaming
+
+
+def store_of(spark, folder):
+    return SaltStore(spark, f"{folder}/no-salts")
