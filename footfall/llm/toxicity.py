@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -143,12 +144,17 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, dtype=float)
     share = (y.sum() + 1e-3) / (len(y) + 1.0)
     flat = Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
-    bad, good = ([[w.strip(MARKS) for w in words(t)] for t, k in zip(texts, toxic, strict=True) if k == v] for v in (1, 0))
+    one: dict[str, str] = {}  # each distinct word is held once
+    bad, good = (
+        [[one.setdefault(w, w) for w in (x.strip(MARKS) for x in words(t))] for t, k in zip(texts, toxic, strict=True) if k == v]
+        for v in (1, 0)
+    )
+    many = sum(-(-len(own) // ORDINARY_WORDS) for own in good)
+    places = ((own, i) for own in good for i in range(0, len(own), ORDINARY_WORDS))
     windows = [
         (" " + " ".join(own[i : i + ORDINARY_WORDS]) + " ").encode()
-        for own in good for i in range(0, len(own), ORDINARY_WORDS)
+        for own, i in islice(places, 0, None, max(1, many // ORDINARY_WINDOWS))
     ]
-    windows = windows[:: max(1, len(windows) // ORDINARY_WINDOWS)]
     there = _contexts(bad)
     elsewhere = _contexts(good, there)
     sizes = [max(1, sum(map(len, documents))) for documents in (bad, good)]
@@ -166,6 +172,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     except zstandard.ZstdError:  # too little text for a dictionary
         return flat
     model = Model(ordinary, toxic_part, flat.weights)
+    del one, bad, good, windows, samples, there, elsewhere
     return Model(ordinary, toxic_part, tuple(_logistic(Saved(model).features(texts), y).tolist()))
 
 
