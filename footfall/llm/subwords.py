@@ -30,10 +30,11 @@ from .words import mix
 DROPOUT = 0.1
 SEED = 1
 VARIANTS = 4
-KEPT_UNITS = 600_000
+KEPT_UNITS = 400_000
 #: Units up to this length are merged side by side, and kept.
 SHORT = 40
 RUN_CHARS = 1 << 19
+DECODED_ROWS = 256
 MARK = "▁"
 _NONE = np.int64(1) << 40
 
@@ -261,17 +262,18 @@ def decode(encoded: DataFrame, path: str, name: str = "decoded") -> DataFrame:
         table = Pieces(path).bytes
 
         def work(batch: pa.RecordBatch):
-            own = batch.column(batch.schema.get_field_index("ids"))
-            flat = own.flatten().to_pylist()
-            spelled, at = [], 0
-            for many in own.value_lengths().to_pylist():
-                if many is None:
-                    spelled.append(None)
-                    continue
-                data = b"".join(map(table.__getitem__, flat[at : at + many]))
-                spelled.append(data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace"))
-                at += many
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled, pa.string())], [*batch.schema.names, name])
+            for i in range(0, batch.num_rows, DECODED_ROWS):
+                some = batch.slice(i, DECODED_ROWS)
+                spelled = []
+                for ids in some.column(some.schema.get_field_index("ids")):
+                    if not ids.is_valid:
+                        spelled.append(None)
+                        continue
+                    data = b"".join(map(table.__getitem__, ids.values.to_pylist()))
+                    spelled.append(data.removeprefix(b" ").decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(spelled, pa.string())], [*some.schema.names, name]
+                )
 
         return work
 
