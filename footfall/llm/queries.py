@@ -43,7 +43,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, and whether they decode to its text."""
     path = _tokenizer("piece_bpe_32k.model")
-    decoded = subwords.decode(subwords.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = subwords.encode(table(spark, sf_dir, "documents"), path, decoded="decoded")
     return decoded.select("doc_id", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

@@ -2,9 +2,12 @@
 
 Merges are taken from an agenda: best piece first, the leftmost among equals. A candidate
 is skipped when a hash of the key, its place and its piece says so; the key is made of the
-seed and the document's variant, so a document is always cut alike and documents of other
-variants differently. Whatever is skipped, the pieces spell the text: decoding is lossless.
-Without dropout the pieces are those of the library.
+seed, the document and the unit's place in its text, so a document is always cut alike, and
+each occurrence of a word on its own. Whatever is skipped, the pieces spell the text:
+decoding is lossless. Without dropout the pieces are those of the library.
+
+A merging of a unit is kept with the candidates that it met. It holds for every occurrence
+whose key skips the same ones of these; only occurrences that skip others are merged anew.
 
 Characters without a piece become bytes; so does the library's own mark for blanks where a
 text holds it, which would else come back as a blank. Null texts have null ids and decode
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import per_batch
-from .words import mix
+from .words import buffers, mix
 
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 4
+#: Mergings that a task keeps, and the candidates that a kept one met, at most.
 KEPT_UNITS = 400_000
+MET = 32
 #: Units up to this length are merged side by side, and kept.
 SHORT = 40
-RUN_CHARS = 1 << 19
+RUN_BYTES = 1 << 19
+SLOT_BITS = 19
 DECODED_ROWS = 256
 MARK = "▁"
 _NONE = np.int64(1) << 40
@@ -71,15 +78,31 @@ class Pieces:
         self.pair_keys = np.array([k for k, _ in pairs], dtype=np.int64)
         self.pair_ids = np.array([i for _, i in pairs], dtype=np.int64)
         self.merges = dict(pairs)
+        # Where a pair is found by its hash; of pairs that share a slot all but one are searched for.
+        slots = self._slot(self.pair_keys)
+        self.at_slot = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        self.shared = np.zeros(1 << SLOT_BITS, dtype=bool)
+        held, first, many = np.unique(slots, return_index=True, return_counts=True)
+        self.at_slot[held], self.shared[held] = first, many > 1
         # A line break without a piece can be no part of one: texts may be cut there.
         breaks = "" if "\n" in self.chars else r"\n"
         self.units = re.compile(rf" *[^ {breaks}]+| +" + (r"|\n+" if breaks else "")).findall
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair; -1 where there is none."""
         key = np.where((left < 0) | (right < 0), -1, left << 20 | right)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
+        slot = self._slot(key)
+        at = self.at_slot[slot]
+        found = self.pair_keys[at] == key
+        rest = np.flatnonzero(~found & self.shared[slot])
+        if len(rest):
+            at[rest] = np.minimum(np.searchsorted(self.pair_keys, key[rest]), len(self.pair_keys) - 1)
+            found[rest] = self.pair_keys[at[rest]] == key[rest]
+        return np.where(found, self.pair_ids[at], -1)
 
     def spelled(self, ids: list[int], places: list[int], unit: str) -> list[int]:
         """The ids with characters that have no piece (-1) as bytes."""
@@ -89,15 +112,20 @@ class Pieces:
         return out
 
 
-def skipped(key: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the candidate that makes ``piece`` of the characters [start, end) is skipped."""
-    place = (start.astype(np.uint64) << np.uint64(42)) | (end.astype(np.uint64) << np.uint64(20)) | piece.astype(np.uint64)
-    drawn = mix(mix(place) ^ key.astype(np.uint64)) >> np.uint64(11)
-    return drawn < np.uint64(int(dropout * (1 << 53)))
+def places_of(start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Hashes of the candidates that make ``piece`` of the characters [start, end)."""
+    return mix(
+        (start.astype(np.uint64) << np.uint64(42)) | (end.astype(np.uint64) << np.uint64(20)) | piece.astype(np.uint64)
+    )
+
 
+def skipped(key: np.ndarray, places: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the candidates are skipped."""
+    return mix(places ^ key) >> np.uint64(11) < np.uint64(int(dropout * (1 << 53)))
 
-def keys_of(variants: np.ndarray, seed: int) -> np.ndarray:
-    return mix(mix(variants.astype(np.uint64) + np.uint64(1)) ^ np.uint64(seed))
+
+def keys_of(documents: np.ndarray, seed: int) -> np.ndarray:
+    return mix(mix(documents.astype(np.uint64) + np.uint64(1)) ^ np.uint64(seed))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -105,8 +133,13 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<i4").tobytes()
 
 
-def merge_side_by_side(pieces: Pieces, units: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
-    """Packed ids of many short units: each round takes the best candidate of every unit."""
+def merge_side_by_side(
+    pieces: Pieces, units: list[str], keys: np.ndarray, dropout: float, met: list | None = None
+) -> list[bytes]:
+    """Packed ids of many short units: each round takes the best candidate of every unit.
+
+    ``met`` gets unit, place and whether it is skipped of all candidates that dropout looks at.
+    """
     lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
     points = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
     ids = pieces.char_ids[points].astype(np.int64)
@@ -120,7 +153,12 @@ def merge_side_by_side(pieces: Pieces, units: list[str], keys: np.ndarray, dropo
         piece = pieces.merged(ids[at], ids[nxt])
         ok = (piece >= 0) & (at + 1 < len(ids)) & (unit[at] == unit[nxt])
         if dropout > 0:
-            ok &= ~skipped(keys[unit[at]], start[at], end[nxt], np.maximum(piece, 0), dropout)
+            seen = np.flatnonzero(ok)
+            places = places_of(start[at[seen]], end[nxt[seen]], piece[seen])
+            drop = skipped(keys[unit[at[seen]]], places, dropout)
+            ok[seen] = ~drop
+            if met is not None:
+                met.append((unit[at[seen]], places, drop))
         return piece, np.where(ok, pieces.rank[np.maximum(piece, 0)] << 16 | start[at], _NONE)
 
     done_unit, done_id, done_start = [], [], []
@@ -173,7 +211,7 @@ def merge_agenda(pieces: Pieces, unit: str, key: int, dropout: float) -> bytes:
         piece = pieces.merges.get(ids[a] << 20 | ids[b])
         if piece is not None and not (
             dropout > 0
-            and skipped(one, np.array([a]), np.array([right[b]]), np.array([piece]), dropout)[0]
+            and skipped(one, places_of(np.array([a]), np.array([right[b]]), np.array([piece])), dropout)[0]
         ):
             heapq.heappush(agenda, (int(pieces.rank[piece]), a, right[b], piece))
 
@@ -195,85 +233,196 @@ def merge_agenda(pieces: Pieces, unit: str, key: int, dropout: float) -> bytes:
     return packed(pieces.spelled([ids[i] for i in alive], alive, unit))
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.size = np.zeros(1 << 12, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(end, len(self.held)), dtype=self.held.dtype)])
+        self.held[self.size : end] = values
+        self.size = end
+
+
+class Mergings:
+    """Mergings that were done: what each gave, the candidates it met and which it skipped."""
+
+    def __init__(self, pieces: Pieces, dropout: float):
+        self.pieces, self.dropout = pieces, dropout
+        self.ids: list[bytes] = []
+        self.of_unit: dict[str, int] = {}
+        #: By merging and the skips that an occurrence had in place of its own: one that is nearer.
+        self.nearer: dict[int, int] = {}
+        self.places = _Grown(np.uint64)
+        self.first, self.count, self.skips = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
+
+    def do(self, units: list[str], keys: np.ndarray) -> np.ndarray:
+        """Merges the units and returns the numbers of their mergings.
+
+        One that met more than ``MET`` candidates has a count of -1 and no ids.
+        """
+        met: list = []
+        coded = merge_side_by_side(self.pieces, units, keys, self.dropout, met)
+        unit, places, drop = (np.concatenate(v) for v in zip(*met, strict=True)) if met else (np.zeros(0, np.int64),) * 3
+        count = np.bincount(unit, minlength=len(units))
+        keep = count[unit] <= MET
+        order = np.argsort(unit[keep], kind="stable")
+        unit, places, drop = unit[keep][order], places[keep][order], drop[keep][order]
+        many, count = count > MET, np.where(count > MET, 0, count)
+        first = np.cumsum(count) - count
+        bits = drop.astype(np.int64) << (np.arange(len(unit)) - first[unit])
+        sums = np.append(0, np.cumsum(bits))
+        numbers = len(self.ids) + np.arange(len(units))
+        self.first.add(self.places.size + first)
+        self.skips.add(sums[first + count] - sums[first])
+        self.places.add(places)
+        self.count.add(np.where(many, -1, count))
+        self.ids += [b"" if m else c for c, m in zip(coded, many.tolist(), strict=True)]
+        return numbers
+
+    def skipped_by(self, keys: np.ndarray, mergings: np.ndarray) -> np.ndarray:
+        """Which of its merging's candidates each occurrence skips, as bits."""
+        count = self.count.held[mergings]
+        ends = np.cumsum(count)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+        drop = skipped(
+            np.repeat(keys, count), self.places.held[place + np.repeat(self.first.held[mergings], count)], self.dropout
+        )
+        sums = np.append(0, np.cumsum(drop.astype(np.int64) << place))
+        return sums[ends] - sums[ends - count]
+
+
 class Encoder:
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces = Pieces(path)
         self.dropout, self.seed = dropout, seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.known = Mergings(self.pieces, dropout)
 
-    def encode(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, texts: list[str], documents: Iterable[int]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; the documents are told apart by the numbers."""
         split = [self.pieces.units(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.known)) > KEPT_UNITS:
-            self.known = [{} for _ in range(VARIANTS)]
-        wanted: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for units, variant in zip(split, variants, strict=True):
-            wanted[variant].update(units)
-        new = [(v, u) for v, units in enumerate(wanted) for u in units if u not in self.known[v]]
-        keys = keys_of(np.array([v for v, _ in new], dtype=np.int64), self.seed)
-        short = [i for i, (_, u) in enumerate(new) if len(u) <= SHORT]
-        coded = merge_side_by_side(self.pieces, [new[i][1] for i in short], keys[short], self.dropout) if short else []
-        for i, ids in zip(short, coded, strict=True):
-            self.known[new[i][0]][new[i][1]] = ids
-        long = [i for i, (_, u) in enumerate(new) if len(u) > SHORT]
-        for i in long:
-            self.known[new[i][0]][new[i][1]] = merge_agenda(self.pieces, new[i][1], int(keys[i]), self.dropout)
-        out = [b"".join(map(self.known[v].__getitem__, units)) for units, v in zip(split, variants, strict=True)]
+        units = list(chain.from_iterable(split))
+        ends = np.cumsum([0, *map(len, split)])
+        size = np.diff(ends)
+        keys = np.repeat(keys_of(np.array(documents, dtype=np.int64), self.seed), size)
+        keys = mix(keys + (np.arange(len(units)) - np.repeat(ends[:-1], size)).astype(np.uint64))
+        coded = self._merged(units, keys) if units else []
+        bounds = ends.tolist()
+        return [b"".join(coded[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _merged(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Packed ids of each occurrence of a unit, under its own key."""
+        if len(self.known.ids) > KEPT_UNITS:
+            self.known = Mergings(self.pieces, self.dropout)
+        known = self.known
+        merging = np.fromiter(map(known.of_unit.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        long, lost, new = [], [], {}
+        for i in np.flatnonzero(merging < 0).tolist():
+            if len(units[i]) > SHORT:
+                long.append(i)
+            else:
+                lost.append(i)
+                new.setdefault(units[i], i)
+        if new:
+            known.of_unit.update(zip(new, known.do(list(new), keys[list(new.values())]).tolist(), strict=True))
+            merging[lost] = [known.of_unit[units[i]] for i in lost]
+        at = np.flatnonzero(merging >= 0)
+        alone = []  # what met too many candidates to be kept
+        while len(at):
+            full = known.count.held[merging[at]] < 0
+            alone.append(at[full])
+            at = at[~full]
+            bits = known.skipped_by(keys[at], merging[at])
+            differ = bits != known.skips.held[merging[at]]
+            at, bits = at[differ], bits[differ]
+            way = merging[at] << MET | bits
+            nearer = np.fromiter(map(known.nearer.get, way.tolist(), repeat(-1)), dtype=np.int64, count=len(at))
+            lost = np.flatnonzero(nearer < 0)
+            if len(lost):
+                ways, one, back = np.unique(way[lost], return_index=True, return_inverse=True)
+                one = at[lost[one]]
+                done = known.do([units[i] for i in one.tolist()], keys[one])
+                known.nearer.update(zip(ways.tolist(), done.tolist(), strict=True))
+                nearer[lost] = done[back]
+            merging[at] = nearer
+        coded = list(map(known.ids.__getitem__, merging.tolist())) if known.ids else [b""] * len(units)
+        rest = np.concatenate(alone) if alone else np.zeros(0, dtype=np.int64)
+        if len(rest):
+            direct = merge_side_by_side(self.pieces, [units[i] for i in rest.tolist()], keys[rest], self.dropout)
+            for i, ids in zip(rest.tolist(), direct, strict=True):
+                coded[i] = ids
         for i in long:
-            del self.known[new[i][0]][new[i][1]]
-        return out
-
-
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``text`` and its ``ids``."""
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(VARIANTS)).cast("int")
-    own = docs.select("doc_id", "text", variant.alias("_variant"))
+            coded[i] = merge_agenda(self.pieces, units[i], int(keys[i]), self.dropout)
+        return coded
+
+
+def _spelled(table: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The texts that the ids spell; ``table`` has the bytes of each piece."""
+    bounds = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+    taken = table.take(ids.flatten()).cast(pa.large_binary())
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[bounds].tolist()
+    data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return pa.array(
+        [
+            data[a:b].removeprefix(b" ").decode("utf-8", "replace") if valid else None
+            for a, b, valid in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)
+        ],
+        pa.string(),
+    )
+
+
+def encode(
+    docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, decoded: str | None = None
+) -> DataFrame:
+    """``doc_id``, ``text`` and its ``ids``, and the text that these spell as ``decoded``, if named."""
+    own = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_document"))
 
     def make():
         encoder = Encoder(path, dropout, seed)
+        table = pa.array(encoder.pieces.bytes, pa.binary())
 
         def work(batch: pa.RecordBatch):
-            texts, variants = batch.column("text").to_pylist(), batch.column("_variant").to_pylist()
-            low = size = 0
-            for i, text in enumerate([*texts, None]):
-                if i == len(texts) or (i > low and size + len(text or "") > RUN_CHARS):
-                    coded = encoder.encode([t or "" for t in texts[low:i]], variants[low:i])
-                    values = np.frombuffer(b"".join(coded), dtype="<i4")
-                    ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
-                    null = pa.array([t is None for t in texts[low:i]])
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=null)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(low, i - low), batch.column("text").slice(low, i - low), ids],
-                        ["doc_id", "text", "ids"],
-                    )
-                    low, size = i, 0
-                size += len(text or "")
+            _, sizes = buffers(batch.column("text"))
+            low = 0
+            while low < batch.num_rows:
+                end = int(np.searchsorted(sizes, sizes[low] + RUN_BYTES, side="right")) - 1
+                some = batch.slice(low, max(end, low + 1) - low)
+                low += some.num_rows
+                texts = some.column("text").to_pylist()
+                coded = encoder.encode([t or "" for t in texts], some.column("_document").to_numpy())
+                values = np.frombuffer(b"".join(coded), dtype="<i4")
+                ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
+                null = pa.array([t is None for t in texts])
+                columns = [
+                    some.column("doc_id"), some.column("text"),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=null),
+                ]
+                if decoded:
+                    columns.append(_spelled(table, columns[2]))
+                yield pa.RecordBatch.from_arrays(columns, fields)
 
         return work
 
-    fields = [own.schema["doc_id"], own.schema["text"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    return own.mapInArrow(per_batch(make), T.StructType(fields))
+    fields = ["doc_id", "text", "ids", *([decoded] if decoded else [])]
+    schema = [own.schema["doc_id"], own.schema["text"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema += [T.StructField(decoded, T.StringType())] if decoded else []
+    return own.mapInArrow(per_batch(make), T.StructType(schema))
 
 
 def decode(encoded: DataFrame, path: str, name: str = "decoded") -> DataFrame:
     """All columns and the text that ``ids`` spell, as ``name``."""
 
     def make():
-        table = Pieces(path).bytes
+        table = pa.array(Pieces(path).bytes, pa.binary())
 
         def work(batch: pa.RecordBatch):
             for i in range(0, batch.num_rows, DECODED_ROWS):
                 some = batch.slice(i, DECODED_ROWS)
-                spelled = []
-                for ids in some.column(some.schema.get_field_index("ids")):
-                    if not ids.is_valid:
-                        spelled.append(None)
-                        continue
-                    data = b"".join(map(table.__getitem__, ids.values.to_pylist()))
-                    spelled.append(data.removeprefix(b" ").decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array(spelled, pa.string())], [*some.schema.names, name]
-                )
+                ids = some.column(some.schema.get_field_index("ids"))
+                yield pa.RecordBatch.from_arrays([*some.columns, _spelled(table, ids)], [*some.schema.names, name])
 
         return work
 

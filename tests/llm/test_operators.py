@@ -220,6 +220,50 @@ def test_merge_dropout_is_lossless_and_equals_the_library_without_dropout(spark)
     assert side != subwords.merge_side_by_side(pieces, units, keys, 0.0)
 
 
+def test_each_occurrence_of_a_word_is_cut_on_its_own(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = subwords.Pieces(path)
+    text = " ".join(["international"] * 3000)
+    rows = [(0, text), (1, text), (2, text), (2, text)]
+    found = subwords.encode(docs(spark, rows), path, dropout=0.1).select("doc_id", "ids").collect()
+    by_doc = {r["doc_id"]: r["ids"] for r in found}
+    assert [r["ids"] for r in found if r["doc_id"] == 2] == [by_doc[2]] * 2 and by_doc[0] != by_doc[1] != by_doc[2]
+
+    def cuts(ids):
+        out, own, at = Counter(), [], 0
+        for i in ids:
+            own.append(i)
+            at += len(pieces.bytes[i])
+            if at % len(" international") == 0:
+                out[tuple(own)] += 1
+                own = []
+        return out
+
+    whole = np.frombuffer(subwords.Encoder(path, dropout=0.0).encode(["international"], [0])[0], "<i4")
+    met = []
+    subwords.merge_side_by_side(pieces, [" international"], np.zeros(1, np.uint64), 1e-12, met)
+    places = np.unique(np.concatenate([m[1] for m in met]))
+    for ids in by_doc.values():
+        own = cuts(ids)
+        assert len(own) > 10 and own.total() == 3000
+        # At least what meets no skip is whole; skips that change nothing add to it.
+        assert 0.9 ** len(places) - 0.05 < own[tuple(whole.tolist())] / 3000 < 0.95
+
+    at_once = subwords.encode(docs(spark, enumerate([*ODD, text])), path, decoded="again").collect()
+    assert {r["doc_id"]: r["again"] for r in at_once} == dict(enumerate([*ODD, text]))
+
+    texts = [*(t for t in ODD if t is not None), *sentences(11, 20), "aa ab " * 300, text, "0123456789" * 4 + " b"]
+    numbers = list(range(-2, len(texts) - 2))
+    kept = subwords.Encoder(path, dropout=0.3)
+    first = kept.encode(texts, numbers)
+    assert kept.encode(texts, numbers) == first
+    assert [kept.encode([t], [n])[0] for t, n in zip(texts, numbers, strict=True)] == first
+    monkeypatch.setattr(subwords, "KEPT_UNITS", 50)
+    assert [kept.encode([t], [n])[0] for t, n in zip(texts, numbers, strict=True)] == first
+    monkeypatch.setattr(subwords, "MET", 0)  # nothing is kept: each occurrence is merged
+    assert subwords.Encoder(path, dropout=0.3).encode(texts, numbers) == first
+
+
 def test_marginals_by_brute_force():
     r = np.random.default_rng(0)
     first, k = np.array([0, 0, 1, 6, 136, 136]), 3
