@@ -118,6 +118,11 @@ def _indexing(models: dict[int, Index], radius: float):
 
     def make():
         def work(batch: pa.RecordBatch):
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes):
+                yield indexed(batch.filter(pa.array(sizes == size)))
+
+        def indexed(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = _unit(_matrix(batch.column("vector")))
             model = models[x.shape[1]]
             lists, codes, errors = model.coded(x)
@@ -130,7 +135,7 @@ def _indexing(models: dict[int, Index], radius: float):
                 pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())
             )
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     batch.column("label").take(take), batch.column("size").take(take), pa.array(where),
                     pa.array(role), batch.column("node").take(take), batch.column("many").take(take),
@@ -246,7 +251,7 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         ).withColumn("size", F.size("vector")),
         "vectors",
     )
-    sizes = [r["size"] for r in classes.select("size").distinct().limit(4096).collect()]
+    sizes = [r["size"] for r in classes.select("size").distinct().collect()]
     models = {}
     for size in sizes:
         drawn = classes.filter(F.col("size") == size).select("node", "vector").orderBy(F.xxhash64("node"), "node")

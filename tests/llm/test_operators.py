@@ -340,3 +340,19 @@ def test_vector_links_by_brute_force(spark):
     assert [found[i]["component_id"] for i in range(len(x))] == expected
     assert [found[i]["n_links"] for i in range(len(x))] == [sum(linked(a, b) for b in range(len(x)) if b != a) for a in range(len(x))]
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(900, 906))
+
+
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(21)
+    rows = []
+    for i in range(60):
+        size = (4, 8, 16)[i % 3]
+        rows.append((i, r.normal(size=size).tolist(), 0))
+    rows += [(100 + i, [2.0 * v for v in rows[i][1]], 0) for i in range(9)] + [(200, [*rows[0][1], 0.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1)
+    found = {r["vec_id"]: r for r in vectors.link(table).collect()}
+    y = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v, _ in rows}
+    for i, own in y.items():
+        linked = [j for j, other in y.items() if j != i and len(other) == len(own) and own @ other >= 0.98]
+        assert found[i]["n_links"] == len(linked)
+    assert all(found[100 + i]["component_id"] == found[i]["component_id"] for i in range(9)) and len(found) == len(rows)
