@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -382,6 +382,19 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return written(own.mapInArrow(per_batch(_hashing), _rows_schema(own.schema["doc_id"].dataType)), "nodes")
 
 
+def _by_column(rows: DataFrame, columns: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (h, fp, n) joined with a table of columns; the rows of a column are salted by their node."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("fp", "n"), F.lit(SALTS)).cast("int"))
+    return dealt.join(columns.select("*", salts), ["h", "_salt"], how).drop("_salt")
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """Rows (h, fp, n) with how many rows their column has, as ``many``."""
+    shared = written(sets.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"), "counts")
+    return _by_column(sets, shared, "left").withColumn("many", F.coalesce("many", F.lit(1).cast("long")))
+
+
 def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every node that is linked, roots left out."""
     filled = hashed.filter("fp IS NOT NULL")
@@ -401,8 +414,7 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
 
     # The nodes to be joined anew: whole sets, rarest columns first.
     sets = _whole_sets(node_texts.join(anew, ["fp", "n"]))
-    counted = sets.withColumn("many", F.count("*").over(Window.partitionBy("h")))
-    ordered = counted.groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
+    ordered = _counted(sets).groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
     rare = written(
         ordered.select("fp", "n", F.explode(F.slice("all", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("one"))
         .filter("one.many > 1").select("fp", "n", "one.many", "one.h"),
@@ -422,7 +434,7 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     )
     mixed = rooted.filter(F.col("many") > HOT).groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"))
     mixed = written(mixed.filter("x != y").select("h"), "mixed")
-    open_nodes = written(rooted.join(mixed, "h", "left_semi").select("fp", "n").distinct(), "open")
+    open_nodes = written(_by_column(rooted, mixed, "left_semi").select("fp", "n").distinct(), "open")
     last = written(_row_blocks(rooted.join(open_nodes, ["fp", "n"]), open_nodes.count()), "pairs")
     return _linked(links, last, node_texts)[1]
 
@@ -501,7 +513,7 @@ def _with_hubs(rare: DataFrame) -> DataFrame:
     hot = rare.filter(F.col("many") > HOT)
     weighed = hot.join(hot.groupBy("fp", "n").agg(F.count("*").alias("w")), ["fp", "n"])
     hubs = weighed.groupBy("h").agg(F.max(F.struct("w", "fp", "n")).alias("hub"))
-    pairs = hot.join(hubs, "h").groupBy(_node("fp", "n").alias("x"), F.struct("hub.fp", "hub.n").alias("y")).agg(
+    pairs = _by_column(hot, hubs).groupBy(_node("fp", "n").alias("x"), F.struct("hub.fp", "hub.n").alias("y")).agg(
         F.count("*").alias("c")
     )
     a, b = F.least("x", "y"), F.greatest("x", "y")

@@ -157,6 +157,25 @@ def test_jaccard_components_by_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: r["n_shingles"] for r in found} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_rows_of_a_frequent_column_are_counted_apart(spark):
+    rows = [(1, i, 5) for i in range(4000)] + [(2, 1, 5), (2, 2, 5), (3, 3, 5)]
+    table = spark.createDataFrame(rows, "h long, fp long, n long")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(was, ("false", "-1", "8"), strict=True):
+            spark.conf.set(k, v)
+        counted = jaccard._counted(table)
+        assert "Window" not in counted._jdf.queryExecution().toString()
+        found = counted.select("h", "fp", "n", "many", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted((r["h"], r["fp"], r["n"], r["many"]) for r in found) == sorted(
+        (h, fp, n, {1: 4000, 2: 2, 3: 1}[h]) for h, fp, n in rows
+    )
+    assert max(Counter(r["p"] for r in found).values()) < 2500
+
+
 def test_components_of_few_and_many_edges(spark, monkeypatch):
     r = random.Random(10)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400, i) for i in range(401, 460)]
