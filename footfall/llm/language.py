@@ -183,8 +183,9 @@ def fit(own: list[str], labels: list[str]) -> Model | None:
 
     Words start with their document's language; from then on each epoch takes the words'
     own marginals under the current model, within the document's plausible languages, and
-    moves emissions and transitions by the field's gradient (expected features under the
-    labels less those under the model).
+    moves emissions by the field's gradient (expected features under the labels less those
+    under the model). Transitions are not learned by the gradient: they are set to smoothed
+    counts of products of neighbouring words' marginals; the start weights stay zero.
     """
     languages = tuple(sorted(set(labels)))
     if not languages:
