@@ -5,8 +5,9 @@ labelled good), one on the raw text of all documents. N-grams are taken from the
 from their shapes (case, marks, length, line breaks, repetition of words just before). A
 document's importance is how much likelier its n-grams are under the target model, on the
 whole and in its worst stretch, calibrated on the labelled documents to a log odds. The
-sample is drawn without replacement by Gumbel top-k: noise keyed by ``doc_id`` is added to
-the log odds and the k greatest are kept, k being how many documents the calibration
+sample is drawn without replacement by Gumbel top-k: noise keyed by ``doc_id``, scaled by
+``TEMPERATURE`` (which sharpens the sample: draws go by the odds to the power of its
+inverse), is added to the log odds and the k greatest are kept, k being how many documents the calibration
 takes for good.
 
 Null and empty texts have no n-grams and get the calibrated odds of neutral text. Rows
