@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, jaccard, language, packing, resampling, subwords, toxicity, url_rules, vectors
+from . import (
+    chat, host_rules, jaccard, language, negatives, packing, phrases, pivots, resampling, subwords, toxicity, url_rules,
+    vectors,
+)
 from .store import ready, table
 
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -91,6 +95,22 @@ def op10_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's phrases that occur 100 times, the best 2000 of each."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives for each of five positives of every hundredth vector, some labels moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every hundredth one."""
+    return pivots.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [value for name, value in globals().items() if name.startswith("op") and callable(value)]
     own.sort(key=lambda f: int(f.__name__[2:].split("_")[0]))
