@@ -66,7 +66,7 @@ def shape(rows: DataFrame) -> Shape:
 def drawn(rows: DataFrame, total: int, size: int, most: int, numbers: int = 1 << 19) -> DataFrame:
     """About ``most`` rows by the hash of their id, fewer if they hold more than ``numbers``."""
     most = max(1, min(most, numbers // max(size, 1)))
-    share = 1.25 * most / max(total, 1)
+    share = max(1.25 * most, 64) / max(total, 1)  # that none is drawn is out of the question
     some = rows if share >= 1 else rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return some.limit(most) if total > most else some
 
