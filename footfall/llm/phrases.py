@@ -8,10 +8,10 @@ Distinct chunks with their frequency are the dictionary. All counting works on d
 chunks, weighted by frequency: a chunk counts the runs of words that begin before its last
 window, so each run of at most a window and a word is counted by exactly one chunk.
 
-Counts go up by length: runs of two words are counted if both words are frequent, longer
-ones if all their pairs are. Frequent words and pairs are marked in a bitmap of fixed size,
-built from partial bitmaps; a false mark only lets more runs be counted. Counts are summed
-by the phrase itself, not by its hash, in whole numbers; scores are decimals of 38 digits.
+Words are counted first, by hash, then pairs of frequent words, then all runs whose words
+and pairs are frequent, by the phrase itself. What is frequent is marked in a bitmap of
+fixed size; a false mark or a shared hash only lets more runs be counted in the end. Counts
+are whole numbers, scores decimals of 38 digits.
 
 Null texts are empty, a null language is ``und``. Repeated rows count each. Texts longer
 than ``SEGMENT`` bytes are read in segments that end at a separator, where no phrase goes
@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import partitions, written
+from .store import written
 from .words import Texts, buffers, mix, texts
 
 #: One window in so many begins a chunk.
@@ -39,6 +39,8 @@ MODULUS = 32
 BITS = 1 << 26
 #: Bytes of a text, and of chunks, that are worked on at once.
 SEGMENT, COUNTED = 1 << 20, 4 << 20
+#: Parts of a language whose best phrases are found apart.
+SALTS = 16
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -139,20 +141,17 @@ def dictionary(docs: DataFrame, longest: int = 5, modulus: int = MODULUS) -> Dat
 
 
 class Bitmap:
-    """Which 64-bit keys are marked; other keys may seem to be."""
+    """Which 64-bit keys are marked by their first bits; other keys may seem to be."""
+
+    SHIFT = 64 - (BITS.bit_length() - 1)
 
     def __init__(self, slots: np.ndarray, bits: np.ndarray):
         self.words = np.zeros(BITS // 64, dtype=np.uint64)
         self.words[slots] = bits.astype(np.int64).view(np.uint64)
 
-    @staticmethod
-    def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = keys >> np.uint64(64 - (BITS.bit_length() - 1))
-        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
-
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slots, bit = self.placed(keys)
-        return (self.words[slots] & bit) != 0
+        at = keys >> np.uint64(self.SHIFT)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
 class _Runs:
@@ -194,100 +193,101 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     ).cast(pa.string())
 
 
-def counted(batch: pa.RecordBatch, sizes: tuple[int, ...], marked: Bitmap | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs of ``sizes`` words in chunks.
+def _chains(found: _Runs, words: Bitmap | None, pairs: Bitmap | None, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For every size, where runs of as many words begin whose parts are marked.
 
-    Without a bitmap these are single words; with one, runs whose words (for pairs) or
-    pairs (for longer runs) are all marked.
+    Without ``words`` every word counts; without ``pairs`` a pair counts if both words do.
     """
-    seeds = _language_keys(batch.column("lang"))
-    words, many = batch.column("own").to_numpy(), batch.column("many").to_numpy()
+    total = len(found.hashes)
+    single = np.ones(total, dtype=bool) if words is None else words.has(found.keys(np.arange(total), 1))
+    yield 1, single
+    fits = found.joined & single
+    fits[:-1] &= single[1:]
+    if pairs is not None:
+        at = np.flatnonzero(fits)
+        fits[at] = pairs.has(found.keys(at, 2))
+    for size in range(2, longest + 1):
+        if size > 2:
+            # A run longer by a word: it and the run that begins a word later both fit.
+            fits = fits.copy()
+            fits[:-1] &= fits[1:]
+            fits[-1:] = False
+        yield size, fits
+
+
+def counted(
+    batch: pa.RecordBatch, sizes: range, words: Bitmap | None, pairs: Bitmap | None, texts_too: bool
+) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of ``sizes`` words in chunks, by hash or by language and text."""
+    seeds, langs = _language_keys(batch.column("lang")), batch.column("lang")
+    own_words, many = batch.column("own").to_numpy(), batch.column("many").to_numpy()
     for low, high, own in texts(batch.column("chunk"), COUNTED):
         found = _Runs(own, seeds[low:high])
-        total = len(found.hashes)
-        begins = np.arange(total) - own.first[found.owner] < words[low:high][found.owner]
-        # fits[i]: the words i to i + reach - 1 are one run of marked parts.
-        if marked is None:
-            fits, reach = np.ones(total, dtype=bool), 1
-        elif sizes == (2,):
-            part = marked.has(found.keys(np.arange(total), 1))
-            fits, reach = found.joined.copy(), 2
-            fits[:-1] &= part[:-1] & part[1:]
-        else:
-            fits, reach = found.joined.copy(), 2
-            pairs = np.flatnonzero(fits)
-            fits[pairs] = marked.has(found.keys(pairs, 2))
-        for size in range(reach, max(sizes) + 1):
-            if size > reach:
-                # A run longer by a word: it and the run that begins a word later both fit.
-                fits[:-1] &= fits[1:]
-                fits[-1:] = False
+        begins = np.arange(len(found.hashes)) - own.first[found.owner] < own_words[low:high][found.owner]
+        for size, fits in _chains(found, words, pairs, max(sizes)):
             if size in sizes:
-                yield _summed(found, np.flatnonzero(fits & begins), size, many[low:high], batch.column("lang").slice(low, high - low))
+                at = np.flatnonzero(fits & begins)
+                yield _summed(found, at, size, many[low:high], langs.slice(low, high - low) if texts_too else None)
 
 
-def _summed(found: _Runs, at: np.ndarray, size: int, many: np.ndarray, langs: pa.Array) -> pa.RecordBatch:
+def _summed(found: _Runs, at: np.ndarray, size: int, many: np.ndarray, langs: pa.Array | None) -> pa.RecordBatch:
     own = found.own
     keys = found.keys(at, size)
     order = np.argsort(keys)
     at, keys = at[order], keys[order]
-    # A second hash keeps apart what only shares the first.
-    check = own.spans(own.starts[at], own.ends[at + size - 1])
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
+    new[1:] = keys[1:] != keys[:-1]
+    if langs is not None:
+        # A second hash keeps apart what only shares the first.
+        check = own.spans(own.starts[at], own.ends[at + size - 1])
+        new[1:] |= check[1:] != check[:-1]
     firsts = np.flatnonzero(new)
     sums = np.add.reduceat(many[found.owner[at]], firsts) if len(at) else np.zeros(0, np.int64)
+    sums = pa.array(sums.astype(np.int64))
+    if langs is None:
+        return pa.RecordBatch.from_arrays([pa.array(keys[firsts].view(np.int64)), sums], ["key", "n"])
     one = at[firsts]
     return pa.RecordBatch.from_arrays(
         [langs.take(pa.array(found.owner[one])), _strings(own.data, own.starts[one], own.ends[one + size - 1]),
-         pa.array(np.full(len(one), size, dtype=np.int32)), pa.array(sums.astype(np.int64))],
+         pa.array(np.full(len(one), size, dtype=np.int32)), sums],
         ["lang", "phrase", "size", "n"],
     )
 
 
-def _frequent(chunks: DataFrame, sizes: tuple[int, ...], least: int, marked: Broadcast | None) -> DataFrame:
-    """``lang``, ``phrase``, ``size`` and ``n`` of all runs of ``sizes`` words found ``least`` times."""
+def _runs_of(
+    chunks: DataFrame, sizes: range, words: Broadcast | None = None, pairs: Broadcast | None = None, texts_too: bool = False
+) -> DataFrame:
+    """Partial counts of runs of ``sizes`` words: ``key`` and ``n``, or ``lang``, ``phrase``, ``size`` and ``n``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = words and words.value, pairs and pairs.value
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size > COUNTED:
-                yield from counted(_one(held), sizes, marked and marked.value)
+                yield from counted(_one(held), sizes, *marks, texts_too)
                 held, size = [], 0
         if held:
-            yield from counted(_one(held), sizes, marked and marked.value)
+            yield from counted(_one(held), sizes, *marks, texts_too)
 
-    runs = chunks.mapInArrow(count, COUNTS)
-    summed = runs.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    return written(summed.filter(F.col("n") >= least), f"phrases-{sizes[0]}")
+    return chunks.mapInArrow(count, COUNTS if texts_too else "key long, n long")
 
 
 def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def _marks(frequent: DataFrame, size: int) -> Broadcast:
-    """The bitmap of phrases of ``size`` words, on all executors."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = _Runs(Texts(*buffers(batch.column("phrase"))), _language_keys(batch.column("lang")))
-            slots, bits = Bitmap.placed(found.keys(found.own.first[:-1], size))
-            order = np.argsort(slots, kind="stable")
-            firsts = np.flatnonzero(np.diff(slots[order], prepend=-1))
-            every = np.bitwise_or.reduceat(bits[order], firsts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots[order][firsts]), pa.array(every.view(np.int64))], ["slot", "bits"]
-            )
-
+def _marks(runs: DataFrame, least: int) -> Broadcast:
+    """The bitmap of keys found ``least`` times, on all executors."""
+    often = runs.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    at = F.shiftrightunsigned("key", Bitmap.SHIFT)
+    placed = often.select(F.shiftright(at, 6).alias("slot"), F.expr(
+        f"shiftleft(1L, CAST(shiftrightunsigned(key, {Bitmap.SHIFT}) & 63 AS INT))").alias("bits"))
     # At most BITS / 64 rows of two numbers, whatever the corpus.
-    rows = frequent.mapInArrow(mark, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     made = Bitmap(rows.column("slot").to_numpy(), rows.column("bits").to_numpy())
-    return frequent.sparkSession.sparkContext.broadcast(made)
+    return runs.sparkSession.sparkContext.broadcast(made)
 
 
 def _scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
@@ -326,17 +326,17 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = 5, m
     Gives ``lang``, ``rank``, ``phrase``, ``a`` (its count), ``l`` and ``r`` (counts of the parts of
     its lowest-scoring cut), ``n`` (words of the language) and ``score``.
     """
-    spark = docs.sparkSession
     chunks = written(dictionary(docs, longest, modulus), "chunks")
     totals = written(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("many")).alias("n")), "totals")
-    single = _frequent(chunks, (1,), least, None)
-    pairs = _frequent(chunks, (2,), least, _marks(single, 1))
-    longer = _frequent(chunks, tuple(range(3, longest + 1)), least, _marks(pairs, 2))
-    frequent = single.unionByName(pairs).unionByName(longer)
+    words = _marks(_runs_of(chunks, range(1, 2)), least)
+    pairs = _marks(_runs_of(chunks, range(2, 3), words), least)
+    runs = _runs_of(chunks, range(1, longest + 1), words, pairs, texts_too=True)
+    summed = runs.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    frequent = written(summed.filter(F.col("n") >= least), "phrases")
     scored = written(_scored(frequent, totals), "scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A language may hold most phrases: the best of each salt first.
-    salted = _maximal(scored).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(partitions(spark))))
+    salted = _maximal(scored).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     some = salted.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order)))
     best = some.filter(F.col("_place") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return best.filter(F.col("rank") <= top).select(
