@@ -8,10 +8,10 @@ Distinct chunks with their frequency are the dictionary. All counting works on d
 chunks, weighted by frequency: a chunk counts the runs of words that begin before its last
 window, so each run of at most a window and a word is counted by exactly one chunk.
 
-Words are counted first, by hash, then pairs of frequent words, then all runs whose words
-and pairs are frequent, by the phrase itself. What is frequent is marked in a bitmap of
-fixed size; a false mark or a shared hash only lets more runs be counted in the end. Counts
-are whole numbers, scores decimals of 38 digits.
+Words are counted first, by hash, then pairs of frequent words, triples of frequent pairs,
+and last all runs whose parts are frequent, by the phrase itself. What is frequent is marked
+in bitmaps of fixed size; a false mark or a shared hash only lets more runs be counted in
+the end. Counts are whole numbers, scores decimals of 38 digits.
 
 Null texts are empty, a null language is ``und``. Repeated rows count each. Texts longer
 than ``SEGMENT`` bytes are read in segments that end at a separator, where no phrase goes
@@ -39,6 +39,10 @@ MODULUS = 32
 BITS = 1 << 26
 #: Bytes of a text, and of chunks, that are worked on at once.
 SEGMENT, COUNTED = 1 << 20, 4 << 20
+#: Keys whose counts a task sums before it passes them on.
+KEYS = 1 << 20
+#: Runs of up to so many words are marked before phrases are counted.
+MARKED = 3
 #: Parts of a language whose best phrases are found apart.
 SALTS = 16
 
@@ -193,83 +197,103 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     ).cast(pa.string())
 
 
-def _chains(found: _Runs, words: Bitmap | None, pairs: Bitmap | None, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For every size, where runs of as many words begin whose parts are marked.
+def _chains(found: _Runs, marks: list[Bitmap], longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For every size, where runs of as many words begin whose marked parts are all frequent.
 
-    Without ``words`` every word counts; without ``pairs`` a pair counts if both words do.
+    ``marks`` has the bitmaps of single words, pairs and so on, as far as they are known.
     """
-    total = len(found.hashes)
-    single = np.ones(total, dtype=bool) if words is None else words.has(found.keys(np.arange(total), 1))
-    yield 1, single
-    fits = found.joined & single
-    fits[:-1] &= single[1:]
-    if pairs is not None:
-        at = np.flatnonzero(fits)
-        fits[at] = pairs.has(found.keys(at, 2))
-    for size in range(2, longest + 1):
-        if size > 2:
+    fits = np.ones(len(found.hashes), dtype=bool)
+    for size in range(1, longest + 1):
+        if size > 1:
             # A run longer by a word: it and the run that begins a word later both fit.
-            fits = fits.copy()
-            fits[:-1] &= fits[1:]
+            fits = fits & found.joined if size == 2 else fits.copy()
+            fits[:-1] &= follow[1:]
             fits[-1:] = False
+        if size <= len(marks):
+            at = np.flatnonzero(fits)
+            fits[at] = marks[size - 1].has(found.keys(at, size))
         yield size, fits
+        follow = fits
 
 
-def counted(
-    batch: pa.RecordBatch, sizes: range, words: Bitmap | None, pairs: Bitmap | None, texts_too: bool
-) -> Iterator[pa.RecordBatch]:
+def counted(batch: pa.RecordBatch, sizes: range, marks: list[Bitmap], texts_too: bool) -> Iterator[pa.RecordBatch]:
     """Counts of the runs of ``sizes`` words in chunks, by hash or by language and text."""
     seeds, langs = _language_keys(batch.column("lang")), batch.column("lang")
     own_words, many = batch.column("own").to_numpy(), batch.column("many").to_numpy()
     for low, high, own in texts(batch.column("chunk"), COUNTED):
         found = _Runs(own, seeds[low:high])
         begins = np.arange(len(found.hashes)) - own.first[found.owner] < own_words[low:high][found.owner]
-        for size, fits in _chains(found, words, pairs, max(sizes)):
+        for size, fits in _chains(found, marks, max(sizes)):
             if size in sizes:
                 at = np.flatnonzero(fits & begins)
                 yield _summed(found, at, size, many[low:high], langs.slice(low, high - low) if texts_too else None)
 
 
 def _summed(found: _Runs, at: np.ndarray, size: int, many: np.ndarray, langs: pa.Array | None) -> pa.RecordBatch:
-    own = found.own
-    keys = found.keys(at, size)
+    own, keys = found.own, found.keys(at, size)
+    if langs is None:
+        return _by_key(keys.view(np.int64), many[found.owner[at]])
     order = np.argsort(keys)
     at, keys = at[order], keys[order]
+    # A second hash keeps apart what only shares the first.
+    check = own.spans(own.starts[at], own.ends[at + size - 1])
     new = np.ones(len(at), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    if langs is not None:
-        # A second hash keeps apart what only shares the first.
-        check = own.spans(own.starts[at], own.ends[at + size - 1])
-        new[1:] |= check[1:] != check[:-1]
+    new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
     firsts = np.flatnonzero(new)
     sums = np.add.reduceat(many[found.owner[at]], firsts) if len(at) else np.zeros(0, np.int64)
-    sums = pa.array(sums.astype(np.int64))
-    if langs is None:
-        return pa.RecordBatch.from_arrays([pa.array(keys[firsts].view(np.int64)), sums], ["key", "n"])
     one = at[firsts]
     return pa.RecordBatch.from_arrays(
         [langs.take(pa.array(found.owner[one])), _strings(own.data, own.starts[one], own.ends[one + size - 1]),
-         pa.array(np.full(len(one), size, dtype=np.int32)), sums],
+         pa.array(np.full(len(one), size, dtype=np.int32)), pa.array(sums.astype(np.int64))],
         ["lang", "phrase", "size", "n"],
     )
 
 
-def _runs_of(
-    chunks: DataFrame, sizes: range, words: Broadcast | None = None, pairs: Broadcast | None = None, texts_too: bool = False
-) -> DataFrame:
+def _by_key(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    firsts = np.flatnonzero(new)
+    sums = np.add.reduceat(counts[order], firsts) if len(keys) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys[firsts]), pa.array(sums.astype(np.int64))], ["key", "n"])
+
+
+def _combined(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Counts by key, summed while there are at most ``most`` keys or twice as many rows."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows > 2 * most:
+            whole = _one(held)
+            held = [_by_key(whole.column("key").to_numpy(), whole.column("n").to_numpy())]
+            rows = held[0].num_rows
+            if rows > most:
+                yield held[0]
+                held, rows = [], 0
+    if rows:
+        whole = _one(held)
+        yield _by_key(whole.column("key").to_numpy(), whole.column("n").to_numpy())
+
+
+def _runs_of(chunks: DataFrame, sizes: range, marks: list[Broadcast], texts_too: bool = False) -> DataFrame:
     """Partial counts of runs of ``sizes`` words: ``key`` and ``n``, or ``lang``, ``phrase``, ``size`` and ``n``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = words and words.value, pairs and pairs.value
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [m.value for m in marks]
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size > COUNTED:
-                yield from counted(_one(held), sizes, *marks, texts_too)
+                yield from counted(_one(held), sizes, known, texts_too)
                 held, size = [], 0
         if held:
-            yield from counted(_one(held), sizes, *marks, texts_too)
+            yield from counted(_one(held), sizes, known, texts_too)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return parts(batches) if texts_too else _combined(parts(batches), KEYS)
 
     return chunks.mapInArrow(count, COUNTS if texts_too else "key long, n long")
 
@@ -328,9 +352,10 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = 5, m
     """
     chunks = written(dictionary(docs, longest, modulus), "chunks")
     totals = written(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("many")).alias("n")), "totals")
-    words = _marks(_runs_of(chunks, range(1, 2)), least)
-    pairs = _marks(_runs_of(chunks, range(2, 3), words), least)
-    runs = _runs_of(chunks, range(1, longest + 1), words, pairs, texts_too=True)
+    marks: list[Broadcast] = []
+    for size in range(1, min(longest, MARKED) + 1):
+        marks.append(_marks(_runs_of(chunks, range(size, size + 1), marks), least))
+    runs = _runs_of(chunks, range(1, longest + 1), marks, texts_too=True)
     summed = runs.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     frequent = written(summed.filter(F.col("n") >= least), "phrases")
     scored = written(_scored(frequent, totals), "scored")
