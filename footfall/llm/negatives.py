@@ -63,10 +63,14 @@ class Sample:
     def order(self) -> np.ndarray:
         return np.argsort(-(self.x.astype(np.float64) ** 2).sum(axis=0), kind="stable")
 
-    def scores(self, anchor: int, label, row: np.ndarray, same: bool) -> np.ndarray:
-        """Scores of the sample's rows that may be the anchor's, highest first."""
-        fits = np.array([(own == label) == same for own in self.labels], dtype=bool) & (self.ids != anchor)
-        return -np.sort(-products(row[None, :], self.x[fits])[0].astype(np.int64))
+    def scores(self, ids: np.ndarray, labels: list, x: np.ndarray, same: bool) -> list[np.ndarray]:
+        """For each anchor the scores of the sample's rows that may be its own, highest first."""
+        codes = {label: i for i, label in enumerate(dict.fromkeys(self.labels))}
+        own = np.array([codes[label] for label in self.labels])
+        asked = np.array([codes.get(label, -1) for label in labels])
+        fits = ((asked[:, None] == own[None, :]) == same) & (ids[:, None] != self.ids[None, :])
+        every = products(x, self.x).astype(np.int64)
+        return [-np.sort(-score[ok]) for score, ok in zip(every, fits, strict=True)]
 
 
 def threshold(scores: np.ndarray, low: int, high: int, rank: int) -> int:
@@ -79,22 +83,31 @@ class Index:
     """Posting lists of a block, without the last dimensions that no threshold needs.
 
     ``reach`` is the least threshold in proportion to an anchor's length; ``order`` is how
-    dimensions follow one another.
+    dimensions follow one another. Rows stand by how far they are indexed, furthest first,
+    so that the list of a dimension is a run of rows from the first one on.
     """
 
     def __init__(self, ids: np.ndarray, labels: list, x: np.ndarray, order: np.ndarray, reach: float):
-        self.ids, self.labels, self.order = ids, np.array(labels, dtype=object), order
-        self.x = x[:, order]
+        x = x[:, order]
+        rest = _norms(x)
+        # First dimension of each row that is left out.
+        end = np.minimum((rest * (1 + 1e-9) >= reach).sum(axis=1), x.shape[1])
+        rows = np.argsort(-end, kind="stable")
+        self.order, self.ids, self.labels = order, ids[rows], [labels[i] for i in rows.tolist()]
         #: rest[i, d]: norm of row i from dimension d on.
-        self.rest = _norms(self.x)
-        #: First dimension of each row that is left out.
-        self.end = np.minimum((self.rest * (1 + 1e-9) >= reach).sum(axis=1), self.x.shape[1])
-        self.postings = []
-        for d in range(self.x.shape[1]):
-            rows = np.flatnonzero((self.end > d) & (self.x[:, d] != 0))
-            self.postings.append((rows, self.x[rows, d]))
+        self.x, self.rest, self.end = x[rows], rest[rows], end[rows]
+        #: Values in the lists, 0 where a dimension is left out; how many rows each list has.
+        self.indexed = np.where(np.arange(x.shape[1])[None, :] < self.end[:, None], self.x, 0)
+        self.lengths = (self.end[:, None] > np.arange(x.shape[1])[None, :]).sum(axis=0)
+        self.codes = {label: i for i, label in enumerate(dict.fromkeys(labels))}
+        self.coded = np.array([self.codes[label] for label in self.labels])
         self.touched = 0
 
+    def allowed(self, ids: np.ndarray, labels: list, same: bool) -> np.ndarray:
+        """Which rows an anchor may be paired with."""
+        coded = np.array([self.codes.get(label, -1) for label in labels])
+        return ((coded[:, None] == self.coded[None, :]) == same) & (ids[:, None] != self.ids[None, :])
+
     def pairs(self, anchors: np.ndarray, least: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, ...]:
         """Anchor, row and score of all allowed pairs whose score reaches the anchor's least."""
         a = anchors[:, self.order]
@@ -104,34 +117,33 @@ class Index:
         active, d = allowed.copy(), 0
         while d < size and active.mean() > 0.25:
             upto = min(d + STRIDE, size)
-            for j in range(d, upto):
-                rows, values = self.postings[j]
-                self.touched += len(rows) * len(a)
-                if len(rows) == len(self.x):
-                    part += a[:, j : j + 1] * values[None, :]
-                elif len(rows):
-                    part[:, rows] += a[:, j : j + 1] * values[None, :]
+            listed = int(self.lengths[d])
+            self.touched += int(self.lengths[d:upto].sum()) * len(a)
+            part[:, :listed] += products(a[:, d:upto], self.indexed[:listed, d:upto])
             d = upto
             # What a row has not had yet begins where its lists end, or here.
-            end = np.minimum(self.end, d)
-            ahead = rest[:, end] * self.rest[np.arange(len(self.x)), end][None, :]
-            active &= part + ahead * (1 + 1e-9) >= bound[:, None]
+            if (end := np.minimum(self.end, d)).min() == d:
+                ahead = rest[:, d, None] * self.rest[None, :, d]
+            else:
+                ahead = rest[:, end] * self.rest[np.arange(len(self.x)), end][None, :]
+            ahead *= 1 + 1e-9
+            ahead += part
+            active &= ahead >= bound[:, None]
         who, row = np.nonzero(active)
         score = part[who, row]
         while d < size and len(who):
             upto = min(d + STRIDE, size)
-            inside = np.arange(d, upto)[None, :] < self.end[row, None]
-            self.touched += int(inside.sum())
-            score = score + (a[who, d:upto] * self.x[row, d:upto] * inside).sum(axis=1)
+            self.touched += int((np.minimum(self.end[row], upto) - np.minimum(self.end[row], d)).sum())
+            score = score + np.einsum("ij,ij->i", a[who, d:upto], self.indexed[row, d:upto])
             d = upto
             end = np.minimum(self.end[row], d)
             keep = score + rest[who, end] * self.rest[row, end] * (1 + 1e-9) >= bound[who]
             who, row, score = who[keep], row[keep], score[keep]
         # The dimensions left out of the index, for the pairs that are left.
-        for i in range(0, len(who), 1 << 14):
+        left_out = self.x - self.indexed if len(who) and int(self.end.min()) < size else None
+        for i in range(0, len(who) if left_out is not None else 0, 1 << 14):
             some = slice(i, i + (1 << 14))
-            out = np.arange(size)[None, :] >= self.end[row[some], None]
-            score[some] += (a[who[some]] * self.x[row[some]] * out).sum(axis=1)
+            score[some] += np.einsum("ij,ij->i", a[who[some]], left_out[row[some]])
         keep = score >= least[who]
         return who[keep], row[keep], score[keep].astype(np.int64)
 
@@ -151,15 +163,14 @@ def _guessing(sample: Sample, same: bool, rank: int):
             x = matrix(batch.column("v"), sample.shape.size, sample.shape.kind)
             norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
             windows, least, reach = [], [], []
-            for i, (anchor, label, held) in enumerate(zip(
-                batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(),
-                batch.column("windows").to_pylist(), strict=True,
-            )):
-                scores = sample.scores(anchor, label, x[i], same)
-                own = [w | {"least": threshold(scores, w["low"], w["high"], rank)} for w in held]
-                windows.append(own)
-                least.append(min(w["least"] for w in own))
-                reach.append(least[-1] / norms[i] if least[-1] > 0 and norms[i] else 0.0)
+            for i in range(0, len(x), ANCHORS):
+                some = batch.slice(i, ANCHORS)
+                scores = sample.scores(some.column("vec_id").to_numpy(), some.column("label").to_pylist(), x[i : i + ANCHORS], same)
+                for own, held in zip(scores, some.column("windows").to_pylist(), strict=True):
+                    windows.append([w | {"least": threshold(own, w["low"], w["high"], rank)} for w in held])
+            for norm, held in zip(norms, windows, strict=True):
+                least.append(min(w["least"] for w in held))
+                reach.append(least[-1] / norm if least[-1] > 0 and norm else 0.0)
             kind = pa.list_(pa.struct([(n, pa.int64()) for n in OPEN.names]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in ("vec_id", "label", "v")), pa.array(windows, kind),
@@ -185,21 +196,30 @@ def _joining(sample: Sample, same: bool, want: int, reach: float):
 
     def compared(index: Index, asked: pa.RecordBatch) -> pa.RecordBatch:
         ids, labels, x = read(asked)
-        agree = np.array(labels, dtype=object)[:, None] == index.labels[None, :]
-        allowed = (agree == same) & (ids[:, None] != index.ids[None, :])
-        who, row, score = index.pairs(x, asked.column("least").to_numpy(), allowed)
-        edges = np.searchsorted(who, np.arange(len(ids) + 1))
-        out: list[tuple[np.ndarray, ...]] = []
+        who, row, score = index.pairs(x, asked.column("least").to_numpy(), index.allowed(ids, labels, same))
+        found = index.ids[row]
+        best = np.lexsort((found, ~score, who))
+        found, score = found[best], score[best]
+        edges = np.searchsorted(who[best], np.arange(len(ids) + 1))
+        counts, keys, takes = [], [], []
         for i, windows in enumerate(asked.column("windows").to_pylist()):
-            scores, rows = score[edges[i] : edges[i + 1]], index.ids[row[edges[i] : edges[i + 1]]]
-            best = np.lexsort((rows, -scores))
-            scores, rows = scores[best], rows[best]
+            a, b = int(edges[i]), int(edges[i + 1])
+            if a == b:
+                continue
+            falling = ~score[a:b]
             for w in windows:
-                inside = np.flatnonzero((scores >= w["least"]) & (scores <= w["high"]))[:want]
-                n = len(inside)
-                out.append((np.full(n, ids[i]), np.full(n, w["key"]), rows[inside], scores[inside]))
-        columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["vec_id", "key", "found", "score"])
+                first = a + int(np.searchsorted(falling, ~w["high"], side="left"))
+                last = min(a + int(np.searchsorted(falling, ~w["least"], side="right")), first + want)
+                if last > first:
+                    takes.append(np.arange(first, last))
+                    counts.append(last - first)
+                    keys.append((ids[i], w["key"]))
+        take = np.concatenate(takes) if takes else np.zeros(0, dtype=np.int64)
+        own = np.repeat(np.array(keys, dtype=np.int64).reshape(-1, 2), counts, axis=0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(found[take]), pa.array(score[take])],
+            ["vec_id", "key", "found", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, index = None, [], None

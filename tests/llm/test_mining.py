@@ -199,7 +199,7 @@ def test_index_leaves_out_dimensions_and_drops_pairs():
     index = negatives.Index(np.arange(500), [0] * 500, x, np.arange(32), reach)
     who, row, score = index.pairs(anchors, least, np.ones((20, 500), dtype=bool))
     exact = (anchors @ x.T).astype(np.int64)
-    assert set(zip(who.tolist(), row.tolist(), score.tolist(), strict=True)) == {
+    assert set(zip(who.tolist(), index.ids[row].tolist(), score.tolist(), strict=True)) == {
         (i, j, int(exact[i, j])) for i, j in zip(*np.nonzero(exact >= 150_000), strict=True)
     }
     assert (index.end < 32).any() and index.touched < 0.7 * 20 * 500 * 32
