@@ -230,51 +230,58 @@ def counted(batch: pa.RecordBatch, sizes: range, marks: list[Bitmap], texts_too:
 
 
 def _summed(found: _Runs, at: np.ndarray, size: int, many: np.ndarray, langs: pa.Array | None) -> pa.RecordBatch:
-    own, keys = found.own, found.keys(at, size)
-    if langs is None:
-        return _by_key(keys.view(np.int64), many[found.owner[at]])
-    order = np.argsort(keys)
-    at, keys = at[order], keys[order]
+    """Counts of the runs of ``size`` words that begin ``at`` these words, each distinct run once."""
+    own, counts = found.own, many[found.owner[at]]
     # A second hash keeps apart what only shares the first.
-    check = own.spans(own.starts[at], own.ends[at + size - 1])
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
-    firsts = np.flatnonzero(new)
-    sums = np.add.reduceat(many[found.owner[at]], firsts) if len(at) else np.zeros(0, np.int64)
-    one = at[firsts]
+    check = None if langs is None else own.spans(own.starts[at], own.ends[at + size - 1]).view(np.int64)
+    keys, check, counts, order = _sums(found.keys(at, size).view(np.int64), check, counts)
+    if langs is None:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+    one = at[order]
     return pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(found.owner[one])), _strings(own.data, own.starts[one], own.ends[one + size - 1]),
-         pa.array(np.full(len(one), size, dtype=np.int32)), pa.array(sums.astype(np.int64))],
-        ["lang", "phrase", "size", "n"],
+        [pa.array(keys), pa.array(check), langs.take(pa.array(found.owner[one])),
+         _strings(own.data, own.starts[one], own.ends[one + size - 1]), pa.array(np.full(len(one), size, dtype=np.int32)),
+         pa.array(counts)],
+        ["key", "check", "lang", "phrase", "size", "n"],
     )
 
 
-def _by_key(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _sums(keys: np.ndarray, check: np.ndarray | None, counts: np.ndarray) -> tuple:
+    """Distinct keys with their sums, and the place of one row of each."""
     order = np.argsort(keys)
     keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
+    if check is not None:
+        check = check[order]
+        new[1:] |= check[1:] != check[:-1]
     firsts = np.flatnonzero(new)
     sums = np.add.reduceat(counts[order], firsts) if len(keys) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys[firsts]), pa.array(sums.astype(np.int64))], ["key", "n"])
+    return keys[firsts], None if check is None else check[firsts], sums.astype(np.int64), order[firsts]
+
+
+def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = _one(parts)
+    column = lambda n: whole.column(n).to_numpy() if n in whole.schema.names else None
+    _, _, sums, rows = _sums(column("key"), column("check"), column("n"))
+    kept = whole.take(pa.array(rows))
+    return kept.set_column(kept.schema.get_field_index("n"), "n", pa.array(sums))
 
 
 def _combined(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Counts by key, summed while there are at most ``most`` keys or twice as many rows."""
+    """Counts summed by key while there are at most ``most`` keys or twice as many rows."""
     held, rows = [], 0
     for part in parts:
         held.append(part)
         rows += part.num_rows
         if rows > 2 * most:
-            whole = _one(held)
-            held = [_by_key(whole.column("key").to_numpy(), whole.column("n").to_numpy())]
+            held = [_merged(held)]
             rows = held[0].num_rows
             if rows > most:
                 yield held[0]
                 held, rows = [], 0
     if rows:
-        whole = _one(held)
-        yield _by_key(whole.column("key").to_numpy(), whole.column("n").to_numpy())
+        yield _merged(held)
 
 
 def _runs_of(chunks: DataFrame, sizes: range, marks: list[Broadcast], texts_too: bool = False) -> DataFrame:
@@ -293,8 +300,10 @@ def _runs_of(chunks: DataFrame, sizes: range, marks: list[Broadcast], texts_too:
             yield from counted(_one(held), sizes, known, texts_too)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return parts(batches) if texts_too else _combined(parts(batches), KEYS)
+        for summed in _combined(parts(batches), KEYS // 2 if texts_too else KEYS):
+            yield summed.select(names)
 
+    names = ["lang", "phrase", "size", "n"] if texts_too else ["key", "n"]
     return chunks.mapInArrow(count, COUNTS if texts_too else "key long, n long")
 
 
