@@ -34,11 +34,11 @@ def salt_rows(keys: DataFrame, salt: Column, created_at: Column) -> DataFrame:
     )
 
 
-def one_per_key(salts: DataFrame) -> DataFrame:
-    """The salt that counts where callers have stored several for a key: the earliest one,
-    the least among equally early ones."""
+def one_per_key(salts: DataFrame, first: list[str] | None = None) -> DataFrame:
+    """The salt that counts where several are stored for a key: the least by the columns
+    ``first``, then the earliest one, then the least."""
     rest = [name for name in COLUMNS if name not in ("salt_date", "key")]
-    order = ["created_at", "salt", *[name for name in rest if name not in ("created_at", "salt")]]
+    order = [*(first or []), "created_at", "salt", *[name for name in rest if name not in ("created_at", "salt")]]
     least = salts.groupBy("salt_date", "key").agg(F.min(F.struct(*order)).alias("_least"))
     return least.select(
         *[F.col(name) if name in ("salt_date", "key") else F.col(f"_least.{name}").alias(name) for name in COLUMNS]

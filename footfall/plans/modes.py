@@ -1,30 +1,19 @@
 """The two ways a hit gets from request to sink row, and traffic figures on top.
 
-An event id that has to be made derives from the request, so a task that runs again
-makes the same one. A table of raw events is written once between admission and
-enrichment all the same: planned as one, the two take minutes to optimize.
+Admission and enrichment are one job: nothing is written in between. An event id that
+has to be made derives from the request, so a task that runs again makes the same one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import admission, enrich, hits, rawcheck
-from ..schemas import RAW
-from ..session import workspace
 from ..sources import topic
 
 
-def spool(events: DataFrame, path: str | None = None) -> DataFrame:
-    """Write raw events and return them as read back from storage."""
-    spark: SparkSession = events.sparkSession
-    where = path or workspace(spark, "raw-events")
-    events.write.mode("overwrite").parquet(where)
-    return spark.read.schema(RAW).parquet(where)
-
-
 def request_seed() -> Column:
     """What tells requests apart; requests that agree in all of it share a made event id."""
     headers = F.to_json(F.array_sort(F.map_entries("http_headers")))
@@ -47,7 +36,6 @@ def process_inline(
     domains: DataFrame,
     settings: Settings = Settings(),
     event_id_seed: Column | None = None,
-    spool_path: str | None = None,
 ) -> DataFrame:
     """T4: requests to processed events without topic and second validation.
 
@@ -55,8 +43,6 @@ def process_inline(
     bounds; beyond them the keys of a whole table have to be counted first.
     """
     raw = admit(requests, settings, event_id_seed)
-    if not requests.isStreaming:
-        raw = spool(raw, spool_path)
     return enrich.to_processed(raw, salts, domains, settings=settings)
 
 
@@ -67,12 +53,11 @@ def process_in_two_steps(
     topic_path: str,
     settings: Settings = Settings(),
     event_id_seed: Column | None = None,
-    spool_path: str | None = None,
 ) -> DataFrame:
     """The queued way: publish JSON messages, then validate and enrich them."""
     topic.publish_raw(admit(requests, settings, event_id_seed), topic_path)
     messages = topic.read_raw(requests.sparkSession, topic_path)
-    events = spool(rawcheck.valid_events(rawcheck.validate_raw(messages)), spool_path)
+    events = rawcheck.valid_events(rawcheck.validate_raw(messages))
     return enrich.enrich(events, salts, domains, settings=settings)
 
 

@@ -15,6 +15,10 @@ SETTINGS = {
     # Above 8000 bytes of byte code the JVM interprets a method instead of compiling
     # it; such stages run better as separate, shorter projections.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # The rule follows every join key down through all projections it is made of; below
+    # the validation these number in the thousands and planning takes minutes. Lookup
+    # tables here are filtered by day before they are joined, so it finds nothing to prune.
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

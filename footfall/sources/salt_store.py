@@ -1,19 +1,26 @@
 """The salt table on shared storage (S5) and the operations that change it (K2, K5-K8).
 
-The table is a folder of versions, ``v=1``, ``v=2`` and so on. A version counts
-once its ``_SUCCESS`` marker is there, and the highest one is the table. New salts
-are appended to the current version; deletions write the survivors as a new version.
-Older ones are removed at once, as outdated salts must not stay readable; beside jobs
+A log of numbered entries says which folders are the table: the last entry counts, and
+what no entry names was never stored. Data is written first, then the next entry is
+created, whole and only if no other caller has created it; whoever comes second reads the
+table again and decides anew. So of callers that miss the same key one stores its salt
+and all others get that one, an insert that was refused has added nothing, and nothing is
+lost to a deletion that ran beside it. The store needs a file system whose rename refuses
+a target that exists (HDFS does; local ones are linked instead).
+
+New salts are added to the table's folders; deletions write the survivors as a new version.
+Older versions are removed at once, as outdated salts must not stay readable; beside jobs
 that still read, ``cleanup`` can leave the version before to a later ``purge``.
-
-There is no lock. Callers that create a salt for one key at the same time may both store
-one; of several the earliest counts for every reader, and each caller reads the store
-again after it has written. Deletions need the store for themselves, apart from readers.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import secrets
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,43 +31,95 @@ from ..operators import salts as ops
 from ..schemas import SALTS
 from ..session import workspace
 
+LOG = "_log"
+
+
+@dataclass(frozen=True)
+class Entry:
+    """An entry of the log: its number, the table's version and the folders that hold it."""
+
+    number: int = 0
+    version: int = 0
+    folders: tuple[str, ...] = ()
+
 
 class SaltStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    # --- versions ---------------------------------------------------------------
+    # --- log --------------------------------------------------------------------
 
     def _hadoop(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v={version}"
+    def _names(self, folder: str) -> list[str]:
+        fs, root = self._hadoop(folder)
+        return [status.getPath().getName() for status in fs.listStatus(root)] if fs.exists(root) else []
 
     def _all_versions(self) -> list[int]:
-        fs, root = self._hadoop(self.path)
-        if not fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(root)]
-        return sorted(int(name[2:]) for name in names if name.startswith("v="))
-
-    def _is_committed(self, version: int) -> bool:
-        fs, marker = self._hadoop(f"{self._folder(version)}/_SUCCESS")
-        return fs.exists(marker)
+        return sorted(int(name[2:]) for name in self._names(self.path) if name.startswith("v="))
+
+    def current(self) -> Entry:
+        """The last entry; number 0 for a store that was never written."""
+        numbers = [name for name in self._names(f"{self.path}/{LOG}") if name.isdigit()]
+        if not numbers:
+            return Entry()
+        fs, target = self._hadoop(f"{self.path}/{LOG}/{max(numbers)}")
+        stream = fs.open(target)
+        try:
+            said = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Entry(int(max(numbers)), said["version"], tuple(said["folders"]))
 
     def current_version(self) -> int | None:
         """The table's version, None for a store that was never written."""
-        committed = [v for v in self._all_versions() if self._is_committed(v)]
-        return committed[-1] if committed else None
-
-    def _write(self, salts: DataFrame, version: int, mode: str) -> None:
-        columns = salts.select(*ops.COLUMNS)
-        # One file per day where days are small, several where they are not.
-        columns.hint("rebalance", F.col("salt_date")).write.mode(mode).partitionBy(
-            "salt_date"
-        ).parquet(self._folder(version))
+        return self.current().version or None
+
+    def _commit(self, entry: Entry) -> bool:
+        """Create the entry, whole; False if another caller has created that number."""
+        text = json.dumps({"version": entry.version, "folders": entry.folders}).encode()
+        draft = f"{self.path}/{LOG}/.{uuid.uuid4().hex}"
+        fs, target = self._hadoop(f"{self.path}/{LOG}/{entry.number:012d}")
+        _, source = self._hadoop(draft)
+        stream = fs.create(source, False)
+        stream.write(bytearray(text))
+        stream.close()
+        try:
+            if fs.getUri().getScheme() != "file":
+                return fs.rename(source, target)
+            # A local rename would replace the target; a link does not.
+            os.link(source.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(source, False)
+
+    def _change(self, make: Callable[[Entry], tuple[DataFrame, bool] | None]) -> Entry:
+        """Store what ``make`` derives from the table; again, from the new table, if another came first.
+
+        ``make`` returns salts and whether they are the whole table, or None to change nothing.
+        """
+        while True:
+            before = self.current()
+            made = make(before)
+            if made is None:
+                return before
+            salts, whole = made
+            number = before.number + 1
+            version = before.version + 1 if whole or not before.version else before.version
+            folder = f"v={version}/c={number:012d}-{uuid.uuid4().hex}"
+            # One file per day where days are small, several where they are not.
+            salts.select(*ops.COLUMNS).hint("rebalance", F.col("salt_date")).write.partitionBy("salt_date").parquet(
+                f"{self.path}/{folder}"
+            )
+            after = Entry(number, version, (folder,) if whole else (*before.folders, folder))
+            if self._commit(after):
+                return after
+            self._remove_folder(f"{self.path}/{folder}")
 
     # --- table ------------------------------------------------------------------
 
@@ -71,35 +130,49 @@ class SaltStore:
         Unreadable files fail the job: reading them as empty would give every visitor
         of the day a second identity.
         """
-        version = self.current_version()
-        if version is None:
+        return self._read(self.current(), days)
+
+    def _read(self, entry: Entry, days: list[date] | None = None) -> DataFrame:
+        if not entry.folders:
+            return self.spark.createDataFrame([], SALTS)
+        paths = [f"{self.path}/{folder}" for folder in entry.folders]
+        stored = self.spark.read.schema(SALTS).option("basePath", self.path).parquet(*paths)
+        if "c" not in stored.columns:  # no folder holds a row
             return self.spark.createDataFrame([], SALTS)
-        stored = self.spark.read.schema(SALTS).parquet(self._folder(version))
         if days is not None:
             stored = stored.filter(F.col("salt_date").isin(days) | F.col("salt_date").isNull())
-        return ops.one_per_key(stored)
+        # Folders are named by their entry's number: what was stored first counts.
+        return ops.one_per_key(stored, first=["c"])
 
     def append(self, salts: DataFrame) -> None:
-        version = self.current_version()
-        if version is None:
-            self._write(salts, max(self._all_versions(), default=0) + 1, "overwrite")
-        else:
-            self._write(salts, version, "append")
+        """Add salts; those of keys that are there already do not count."""
+        self._change(lambda _: (salts, False))
 
     def replace(self, salts: DataFrame, keep_previous: bool = False) -> None:
         """Make ``salts`` the table; with ``keep_previous`` the old one stays until ``purge``."""
-        before, older = self.current_version(), self._all_versions()
-        self._write(salts, max(older, default=0) + 1, "overwrite")
-        self._remove([version for version in older if not (keep_previous and version == before)])
+        self._replace(lambda _: salts, keep_previous)
+
+    def _replace(self, make: Callable[[Entry], DataFrame | None], keep_previous: bool = False) -> None:
+        seen: list[Entry] = []
+
+        def whole(before: Entry) -> tuple[DataFrame, bool] | None:
+            seen.append(before)
+            made = make(before)
+            return None if made is None else (made, True)
+
+        after = self._change(whole)
+        if after != seen[-1]:
+            kept = seen[-1].version if keep_previous else after.version
+            self._remove([v for v in self._all_versions() if v < after.version and v != kept])
 
     def purge(self) -> None:
         """Remove all versions but the table: outdated salts must not stay readable."""
-        current = self.current_version()
-        self._remove([v for v in self._all_versions() if current is not None and v < current])
+        current = self.current().version
+        self._remove([v for v in self._all_versions() if v < current])
 
     def _remove(self, versions: list[int]) -> None:
         for version in versions:
-            self._remove_folder(self._folder(version))
+            self._remove_folder(f"{self.path}/v={version}")
 
     # --- keyed operations -------------------------------------------------------
 
@@ -117,12 +190,13 @@ class SaltStore:
         keys = self.spark.read.schema("key string").parquet(path)
         dated = keys.select(saltkeys.key_date(F.col("key")).alias("day")).distinct()
         days = [row["day"] for row in dated.collect() if row["day"] is not None]
-        stored = self.load(days)
-        missing = ops.missing_salts(keys, stored)
-        if not missing.isEmpty():
-            secret = self.spark.createDataFrame([(secrets.token_hex(32),)], "secret string")
-            self.append(ops.create_salts(missing, secret, created_at))
-            stored = self.load(days)
+        secret = self.spark.createDataFrame([(secrets.token_hex(32),)], "secret string")
+
+        def created(before: Entry) -> tuple[DataFrame, bool] | None:
+            missing = ops.missing_salts(keys, self._read(before, days))
+            return None if missing.isEmpty() else (ops.create_salts(missing, secret, created_at), False)
+
+        stored = self._read(self._change(created), days)
         self._remove_folder(path)
         return stored
 
@@ -132,11 +206,11 @@ class SaltStore:
 
     def insert(self, new: DataFrame) -> None:
         """K5: add records, or fail with ``SaltExists`` and add none."""
-        self.append(ops.checked_insert(new, self.load()))
+        self._change(lambda before: (ops.checked_insert(new, self._read(before)), False))
 
     def delete(self, keys: DataFrame) -> None:
         """K6: remove the salts of the given keys."""
-        self.replace(ops.without_keys(self.load(), keys))
+        self._replace(lambda before: ops.without_keys(self._read(before), keys))
 
     def clear(self) -> None:
         """K7: remove all salts."""
@@ -145,8 +219,13 @@ class SaltStore:
     def cleanup(self, now: Column | None = None, keep_previous: bool = False) -> int:
         """K8: remove salts created before today (UTC) and return how many."""
         moment = F.current_timestamp() if now is None else now
-        salts = self.load()
-        deleted = ops.count_outdated(salts, moment).first()["deleted_count"]
-        if deleted:
-            self.replace(ops.surviving(salts, moment), keep_previous)
+        deleted = 0
+
+        def surviving(before: Entry) -> DataFrame | None:
+            nonlocal deleted
+            salts = self._read(before)
+            deleted = ops.count_outdated(salts, moment).first()["deleted_count"]
+            return ops.surviving(salts, moment) if deleted else None
+
+        self._replace(surviving, keep_previous)
         return deleted

@@ -1,6 +1,7 @@
 """Shapes of the physical plans that large inputs depend on."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import Observation
@@ -53,6 +54,35 @@ def test_enrichment_broadcasts_small_tables_only(spark, known, tmp_path):
     assert "site_uuid" in scan and "href" not in scan
 
 
+def _planned(df):
+    """The physical plan and the seconds that it took to make it."""
+    start = time.perf_counter()
+    return plan(df), time.perf_counter() - start
+
+
+def test_request_to_event_is_one_job(spark, known, tmp_path):
+    frame(spark, MIXED).write.parquet(str(tmp_path / "requests"))
+    requests = spark.read.parquet(str(tmp_path / "requests"))
+    domains = enrich.known_domains(spark)
+    text, seconds = _planned(modes.traffic(modes.process_inline(requests, known, domains, Settings(hmac_secret="s"))))
+    # The requests are read once, and only the report's own aggregate shuffles.
+    assert seconds < 5 and text.count("FileScan parquet") == 1
+    assert "Python" not in text and "Exchange hashpartitioning(site_uuid" in text
+    assert all("site_uuid" in line for line in text.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_validation_and_enrichment_are_one_job(spark, known, tmp_path):
+    messages = topic.to_messages(modes.admit(frame(spark, MIXED)))
+    messages.write.parquet(str(tmp_path / "topic"))
+    events = rawcheck.valid_events(rawcheck.validate_raw(topic.read_raw(spark, str(tmp_path / "topic"))))
+    for df in (
+        enrich.enrich(events, known, enrich.known_domains(spark)),
+        salts.wanted_keys(events, enrich.event_day(F.col("timestamp"))),
+    ):
+        text, seconds = _planned(df)
+        assert seconds < 5 and text.count("FileScan parquet") == 1
+
+
 def test_outcomes_are_observed_on_the_way(spark):
     counts = Observation("requests")
     df = admission.classify_requests(frame(spark, MIXED), observation=counts)

@@ -150,3 +150,58 @@ def test_a_reader_keeps_the_version_it_has(spark, folder):
     assert before.count() == 1 and store.load().count() == 0
     store.purge()
     assert len(store._all_versions()) == 1
+
+
+def interleaved(store, other):
+    """Let ``other`` run once after ``store`` has read the table and written, before it commits."""
+    commit, ran = store._commit, []
+
+    def late(entry):
+        if not ran:
+            ran.append(entry)
+            other()
+        return commit(entry)
+
+    store._commit = late
+    return ran
+
+
+def test_two_callers_get_the_same_salt(spark, folder):
+    first, second = SaltStore(spark, folder), SaltStore(spark, folder)
+    wanted = keys(spark, "salt:2024-05-01:a", "salt:2024-05-01:b")
+    got = {}
+    # The second caller stores one of the keys first; the first one is the earlier by its clock.
+    interleaved(first, lambda: got.update(second=second.get_or_create(keys(spark, "salt:2024-05-01:a"), noon()).collect()))
+    got["first"] = first.get_or_create(wanted, F.lit("2024-01-01").cast("timestamp")).collect()
+    salt = {name: {r["key"]: r["salt"] for r in rows} for name, rows in got.items()}
+    assert salt["second"].items() <= salt["first"].items() and len(salt["first"]) == 2
+    assert content(SaltStore(spark, folder)) == salt["first"]
+    # A later caller with an earlier clock changes nothing.
+    again = SaltStore(spark, folder).get_or_create(wanted, F.lit("2020-01-01").cast("timestamp"))
+    assert {r["key"]: r["salt"] for r in again.collect()} == salt["first"]
+    assert first.load().groupBy("key").count().filter("count > 1").count() == 0
+
+
+def test_insert_beside_another_is_refused(spark, folder):
+    first, second = SaltStore(spark, folder), SaltStore(spark, folder)
+    mine, other = ("k1", "1", "2024-01-15 00:00:00"), ("k1", "2", "2024-01-14 00:00:00")
+    interleaved(first, lambda: second.insert(rows(spark, other)))
+    with pytest.raises(salts.SaltExists):
+        first.insert(rows(spark, mine, ("k2", "3", "2024-01-15 00:00:00")))
+    assert content(first) == {"k1": "2"}
+
+
+def test_deletion_keeps_what_was_added_beside_it(spark, folder):
+    first, second = SaltStore(spark, folder), SaltStore(spark, folder)
+    first.insert(rows(spark, ("k1", "1", "2024-01-15 00:00:00"), ("k2", "2", "2024-01-15 00:00:00")))
+    ran = interleaved(first, lambda: second.append(rows(spark, ("k3", "3", "2024-01-15 00:00:00"))))
+    first.delete(keys(spark, "k1"))
+    assert ran and content(second) == {"k2": "2", "k3": "3"}
+
+
+def test_what_no_entry_names_does_not_count(spark, folder):
+    store = SaltStore(spark, folder)
+    store.insert(rows(spark, ("k1", "1", "2024-01-15 00:00:00")))
+    rows(spark, ("k9", "9", "2024-01-15 00:00:00")).write.partitionBy("salt_date").parquet(f"{folder}/v=1/c=000000000002-x")
+    assert content(store) == {"k1": "1"}
+    assert not store._commit(store.current()) and not [n for n in os.listdir(f"{folder}/_log") if n.startswith(".") and not n.endswith(".crc")]
