@@ -234,7 +234,7 @@ ORACLES = {
  out_source AS referrer_source, out_medium AS referrer_medium FROM processed""",
     "p9_session_signature": HITS + "SELECT event_id, session_id FROM accepted",
     "p10_filter_query_params": _with() + """SELECT row_id, CASE WHEN e % 157 = 0 THEN '/api/v1/nope' ELSE '/api/v1/page_hit' END || CASE WHEN q = '' THEN '' ELSE '?' || q END
- AS filtered FROM (SELECT row_id, concat_ws('&',
+ AS filtered FROM (SELECT row_id, e, concat_ws('&',
   CASE WHEN e % 137 = 0 OR e % 101 = 0 OR u % 5 = 0 THEN NULL ELSE 'token=tok' || (u % 10) END,
   CASE WHEN e % 109 = 0 THEN NULL WHEN e % 103 <> 0 AND e % 79 = 0 THEN 'name=nope' ELSE 'name=analytics_events' END)
   AS q FROM base)""",
