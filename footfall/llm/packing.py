@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,9 @@ MARK, MARKED = "0", 64
 class ChunkTokens:
     """Ids of texts, made by the tokenizer once per distinct chunk between blanks.
 
-    The tokenizer's pattern matches no white space, so a text's ids are those of its
-    chunks one after the other.
+    Where the tokenizer drops blanks and line ends and treats what stands between them alike
+    wherever it stands, a text's ids are those of its chunks one after the other. Whether it
+    does is tried out first; with another tokenizer every text is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -48,10 +48,17 @@ class ChunkTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in texts are ordinary text
         self.known: dict[str, bytes] = {"": b""}
         #: A digit is a token of its own: many chunks are encoded as one text with it between.
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.mark = self._ids(MARK)[0]
+        probes = ["a", "Ab", "\u00e9\u2603", "x.,y", "<|a|>"]
+        self.chunked = self._ids(MARK) == [self.mark] and all(
+            self._ids(blank) == [] and self._ids(f"{p}{blank}{q}") == self._ids(p) + self._ids(q)
+            for blank in (" ", "\n", " \n ") for p in probes for q in probes
+        ) and all(self._ids(f"{p} {MARK} {q}") == self._ids(p) + [self.mark] + self._ids(q) for p in probes for q in probes)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if MARK not in c and len(c) <= KEPT_LENGTH]
@@ -71,6 +78,9 @@ class ChunkTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.chunked:
+            coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(code.ids, dtype="<u4").tobytes() for code in coded]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = [c for c in set().union(*split) if c not in known]
@@ -98,7 +108,7 @@ def _runs(texts: list[str], limit: int = 1 << 20):
         yield begin, len(texts)
 
 
-def _tokenising(path: str, capacity: int):
+def _tokenising(path: str, capacity: int, with_ids: bool):
     def make():
         tokens = ChunkTokens(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
@@ -106,59 +116,46 @@ def _tokenising(path: str, capacity: int):
         def work(batch: pa.RecordBatch):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for low, high in _runs(texts):
-                ids = [code + end for code in tokens.encode(texts[low:high])]
-                rows = [i for i, code in enumerate(ids) for _ in range(0, len(code), 4 * capacity)]
-                starts = [s // 4 for code in ids for s in range(0, len(code), 4 * capacity)]
-                lengths = [
-                    min(capacity, (len(code) - s) // 4) for code in ids for s in range(0, len(code), 4 * capacity)
+                rows, starts, cut = [], [], []
+                for i, code in enumerate(tokens.encode(texts[low:high]), low):
+                    code += end
+                    for s in range(0, len(code), 4 * capacity):
+                        rows.append(i)
+                        starts.append(s // 4)
+                        cut.append(code[s : s + 4 * capacity])
+                lengths = [len(piece) // 4 for piece in cut]
+                columns = [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    pa.array([s // capacity for s in starts], pa.int32()),
+                    pa.array(starts, pa.int64()),
+                    pa.array(lengths, pa.int64()),
+                    pa.array([zlib.crc32(piece) for piece in cut], pa.int64()),
                 ]
-                values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array([low + i for i in rows], pa.int64())),
-                        pa.array([s // capacity for s in starts], pa.int32()),
-                        pa.array(starts, pa.int64()),
-                        pa.array(lengths, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
+                if with_ids:
+                    values = np.frombuffer(b"".join(cut), dtype="<u4").astype(np.int32)
+                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+                yield pa.RecordBatch.from_arrays(columns, [*PIECE, "ids"][: len(columns)])
 
         return work
 
     return make
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length`` and ``ids`` of every whole text."""
-    own = docs.select("doc_id", "text")
-    schema = T.StructType([
-        T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
-        T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids", T.ArrayType(T.IntegerType())),
-    ])
-    return own.mapInArrow(per_batch(_tokenising(tokenizer_path, capacity)), schema)
-
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-def with_crc32(tokenised: DataFrame) -> DataFrame:
-    """The pieces with ``ids_crc32`` in place of their ids."""
 
-    def make():
-        def work(batch: pa.RecordBatch):
-            ids = batch.column("ids")
-            values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.concatenate([[0], np.cumsum(batch.column("length").to_numpy())])
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in pairwise(ends.tolist())]
-            kept = [batch.column(n) for n in ("doc_id", "piece", "start", "length")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every whole text's pieces.
 
-        return work
-
-    fields = [f for f in tokenised.schema.fields if f.name != "ids"]
-    return tokenised.mapInArrow(per_batch(make), T.StructType([*fields, T.StructField("ids_crc32", T.LongType())]))
+    ``with_ids`` adds their ``ids``.
+    """
+    own = docs.select("doc_id", "text")
+    kinds = [own.schema["doc_id"].dataType, T.IntegerType(), T.LongType(), T.LongType(), T.LongType()]
+    fields = [T.StructField(name, kind) for name, kind in zip(PIECE, kinds, strict=True)]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    return own.mapInArrow(per_batch(_tokenising(tokenizer_path, capacity, with_ids)), T.StructType(fields))
 
 
 class Plan:
@@ -341,5 +338,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its checksum, sequence and place."""
-    cut = written(with_crc32(pieces(docs, tokenizer_path, capacity)), "pieces")
+    cut = written(pieces(docs, tokenizer_path, capacity), "pieces")
     return pack(cut, capacity)

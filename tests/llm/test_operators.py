@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -109,6 +110,22 @@ def test_packed_sequences_are_gapless(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_plain_library(spark, name):
+    path = public_tokenizers.path(name)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    own = ["a <|endoftext|> b", "x<|startoftext|>y 0 00 0a", "0", " 0 ", *[t or "" for t in ODD], *sentences(22, 5, 3000)]
+    rows = packing.pieces(docs(spark, list(enumerate(own))), path, 512, with_ids=True).collect()
+    for i, text in enumerate(own):
+        held = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        assert [x for r in held for x in r["ids"]] == ids
+        assert [r["start"] for r in held] == list(range(0, len(ids), 512)) and [r["length"] for r in held] == [len(r["ids"]) for r in held]
+        assert [r["ids_crc32"] for r in held] == [zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in held]
+
+
 def shingle_sets(own):
     out = []
     for text in own:
