@@ -1,9 +1,10 @@
 """Chat formatting with typed content parts.
 
 A turn becomes ``<|turn|>role<|says|>content<|end|>``. Its content is a list of parts,
-visited in order: text is escaped, an image, audio or document part leaves a placeholder
-``<|image|>`` and is recorded with its reference, its place and the tokens that a model
-expands it to. A turn without parts is its ``text`` as one text part.
+visited in order: an image, audio or document part leaves a placeholder ``<|image|>`` and
+is recorded with its reference, its place and the tokens that a model expands it to; the
+text parts between two of them are one text, which is escaped as a whole. A turn without
+parts is its ``text`` as one text part.
 
 Texts cannot forge control strings: between the first character and the rest of a
 control string a backslash is added (also where backslashes stand there already), which
@@ -11,7 +12,9 @@ control string a backslash is added (also where backslashes stand there already)
 
 Null texts and roles are empty, null parts leave nothing, empty parts stand for the text.
 Turns are ordered by ``turn`` (null first), then role, then content; repeated rows stay.
-Every turn is formatted alone, so a conversation of any length never meets in one row.
+Every turn is formatted alone, so a conversation of any length never meets in one row; a
+very long text costs a few times its length in memory. Other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,11 +63,19 @@ def part_tokens(part: Column) -> Column:
     )
 
 
-def visit(part: Column) -> Column:
-    """What a part leaves in the formatted text; an unknown kind counts as text."""
-    return F.when(part["kind"].isin(*ATTACHED), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(
-        escaped(part["text"])
-    )
+def visited(parts: Column) -> Column:
+    """What the parts leave in the formatted text; a part of unknown kind counts as text."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+
+    def visit(held: Column, part: Column) -> Column:
+        attached = F.coalesce(part["kind"].isin(*ATTACHED), F.lit(False))
+        mark = F.concat(held["done"], escaped(held["text"]), F.lit("<|"), part["kind"], F.lit("|>"))
+        return F.struct(
+            F.when(attached, mark).otherwise(held["done"]).alias("done"),
+            F.when(attached, "").otherwise(F.concat(held["text"], F.coalesce(part["text"], F.lit("")))).alias("text"),
+        )
+
+    return F.aggregate(parts, start, visit, lambda held: F.concat(held["done"], escaped(held["text"])))
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -75,16 +86,19 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     and tokens; ``attached_tokens`` is their sum. ``turns`` has ``conv_id``, ``turn``,
     ``role``, ``text`` and may have ``parts`` (an array of ``PART``).
     """
-    parts = F.col("parts").cast(f"array<{PART}>") if "parts" in turns.columns else F.lit(None).cast(f"array<{PART}>")
+    given = F.col("parts").cast(f"array<{PART}>") if "parts" in turns.columns else F.lit(None).cast(f"array<{PART}>")
+    given = F.filter(given, lambda p: p.isNotNull())
+    missing = [("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")]
+    whole = F.array(F.struct(
+        F.lit("text").alias("kind"), F.col("text").cast("string").alias("text"),
+        *(F.lit(None).cast(kind).alias(name) for name, kind in missing),
+    ))
     own = turns.select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.col("text").cast("string").alias("text"),
-        F.filter(parts, lambda p: p.isNotNull()).alias("parts"),
+        F.when(F.size(given) > 0, given).otherwise(whole).alias("parts"),
     )
-    content = F.when(
-        F.size("parts") > 0, F.array_join(F.transform("parts", visit), "")
-    ).otherwise(escaped(F.col("text")))
-    attached = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p["kind"].isin(*ATTACHED))
+    content = visited(F.col("parts"))
+    attached = F.filter("parts", lambda p: p["kind"].isin(*ATTACHED))
     records = F.transform(
         attached,
         lambda p, i: F.struct(
@@ -134,14 +148,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state[2] += len(trained)
             state[3].update(trained.encode())
             state[4] += len(formatted)
-        yield _digest_rows(rows, batch)
+        yield _digest_rows(rows, kind := batch.schema.field("conv_id").type)
     if state is not None:
-        yield _digest_rows([done()], None)
+        yield _digest_rows([done()], kind)
 
 
-def _digest_rows(rows: list[list], like: pa.RecordBatch | None) -> pa.RecordBatch:
+def _digest_rows(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
@@ -149,11 +163,11 @@ def _digest_rows(rows: list[list], like: pa.RecordBatch | None) -> pa.RecordBatc
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, taken from its formatted turns."""
     schema = T.StructType([
-        T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()),
+        formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()),
         T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
         T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()),
     ])
-    own = formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "formatted", "loss_start", "loss_length")
+    own = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_length")
     return (
         own.repartition(partitions(formatted.sparkSession), "conv_id")
         .sortWithinPartitions("conv_id", "turn", "formatted")

@@ -557,40 +557,48 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_nodes():
-    def work(batch: pa.RecordBatch):
-        fps, sizes = [], []
-        for _, _, t in texts(batch.column("text")):
-            for own in shingles(t):
-                fps.append(fingerprint(own) if len(own) else None)
-                sizes.append(len(own))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], [*batch.schema.names, "_fp", "_n"]
-        )
+def _with_nodes(names: tuple[str, str]):
+    def make():
+        def work(batch: pa.RecordBatch):
+            fps, sizes = [], []
+            for _, _, t in texts(batch.column("text")):
+                for own in shingles(t):
+                    fps.append(fingerprint(own) if len(own) else None)
+                    sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], [*batch.schema.names, *names]
+            )
 
-    return work
+        return work
+
+    return make
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least ``doc_id``, with its own columns.
 
-    Documents with an empty set are all kept; of repeated rows one is.
+    Documents with an empty set are all kept; of repeated rows one is. An empty table stays
+    empty, and columns of ``docs`` may have any names.
     """
     hashed = nodes_of(docs)
     roots = link_nodes(docs, hashed)
     members = hashed.filter("fp IS NOT NULL").groupBy("fp", "n").agg(F.min("doc_id").alias("least"))
     rooted = members.withColumn("node", _node("fp", "n")).join(roots, "node", "left")
+    # Names that no column of the documents has, in any case.
+    taken, mark = {name.lower() for name in docs.columns}, "_"
+    while any(name.startswith(mark) for name in taken):
+        mark += "_"
+    keys = fp, n, id_ = f"{mark}fp", f"{mark}n", f"{mark}id"
     # Null ids come last: they name a document only where no other is.
     first = F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(
-        F.col("first.node.fp").alias("_fp"), F.col("first.node.n").alias("_n"),
-        F.coalesce(F.col("first.least").cast("string"), F.lit("")).alias("_id"),
+        F.col("first.node.fp").alias(fp), F.col("first.node.n").alias(n),
+        F.coalesce(F.col("first.least").cast("string"), F.lit("")).alias(id_),
     )
     own = docs.mapInArrow(
-        per_batch(_with_nodes),
-        T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())]),
+        per_batch(_with_nodes((fp, n))),
+        T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(n, T.LongType())]),
     )
-    keys = ["_fp", "_n", "_id"]
-    keyed = own.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    chosen = keyed.filter("_n > 0").join(kept, keys).dropDuplicates(keys)
-    return chosen.unionByName(keyed.filter("_n = 0")).select(*docs.columns)
+    keyed = own.withColumn(id_, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    chosen = keyed.filter(F.col(n) > 0).join(kept, list(keys)).dropDuplicates(list(keys))
+    return chosen.unionByName(keyed.filter(F.col(n) == 0)).select(*docs.columns)
