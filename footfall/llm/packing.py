@@ -108,9 +108,20 @@ def _runs(texts: list[str], limit: int = 1 << 20):
         yield begin, len(texts)
 
 
+# A worker process serves many tasks: it reads a tokenizer once, and keeps what it learned.
+_TOKENS: dict[str, ChunkTokens] = {}
+
+
+def _tokens(path: str) -> ChunkTokens:
+    if path not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[path] = ChunkTokens(path)
+    return _TOKENS[path]
+
+
 def _tokenising(path: str, capacity: int, with_ids: bool):
     def make():
-        tokens = ChunkTokens(path)
+        tokens = _tokens(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
 
         def work(batch: pa.RecordBatch):
