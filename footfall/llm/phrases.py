@@ -8,10 +8,13 @@ Distinct chunks with their frequency are the dictionary. All counting works on d
 chunks, weighted by frequency: a chunk counts the runs of words that begin before its last
 window, so each run of at most a window and a word is counted by exactly one chunk.
 
-Words are counted first, by hash, then pairs of frequent words, triples of frequent pairs,
-and last all runs whose parts are frequent, by the phrase itself. What is frequent is marked
-in bitmaps of fixed size; a false mark or a shared hash only lets more runs be counted in
-the end. Counts are whole numbers, scores decimals of 38 digits.
+Words are counted first, then pairs of frequent words, triples of frequent pairs, and runs
+of more words whose triples are frequent, all by 64-bit hashes of language and words. What
+is frequent is marked in bitmaps of fixed size; a false mark only lets more runs be counted.
+The dictionary is dealt into parts, and a frequent run's text is read from the first part
+that has it. Counts are whole numbers, scores decimals of 38 digits. Runs that share a hash
+would be counted as one; with d distinct runs a phrase meets another by a chance of d in
+2**64.
 
 Null texts are empty, a null language is ``und``. Repeated rows count each. Texts longer
 than ``SEGMENT`` bytes are read in segments that end at a separator, where no phrase goes
@@ -41,8 +44,10 @@ BITS = 1 << 26
 SEGMENT, COUNTED = 1 << 20, 4 << 20
 #: Keys whose counts a task sums before it passes them on.
 KEYS = 1 << 20
-#: Runs of up to so many words are marked before phrases are counted.
+#: Runs of up to so many words are marked, each size before the next one is counted.
 MARKED = 3
+#: Parts of the dictionary; the text of a phrase is taken from the first part that has it.
+PARTS = 1 << 12
 #: Parts of a language whose best phrases are found apart.
 SALTS = 16
 
@@ -52,8 +57,6 @@ _PLAIN[0x09] = 0x20
 _BREAK = 0x0A
 _PLAIN[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
 
-COUNTS = "lang string, phrase string, size int, n long"
-
 
 def _segments(data: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of texts cut behind a separator where they are longer than ``limit``, and whose they are."""
@@ -114,7 +117,10 @@ def _parse(own: Texts, overlap: int, modulus: int) -> Iterator[tuple[int, int, b
 
 
 def dictionary(docs: DataFrame, longest: int = 5, modulus: int = MODULUS) -> DataFrame:
-    """``lang``, ``chunk``, ``own`` (words that begin runs in it) and ``many`` (how often it occurs)."""
+    """``lang``, ``chunk``, ``own`` (words that begin runs in it) and ``many`` (how often it occurs).
+
+    ``part`` numbers the parts into which the dictionary is dealt by hash.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +147,8 @@ def dictionary(docs: DataFrame, longest: int = 5, modulus: int = MODULUS) -> Dat
 
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     parsed = own.mapInArrow(parse, "lang string, chunk string, own long, many long")
-    return parsed.groupBy("lang", "chunk", "own").agg(F.sum("many").alias("many"))
+    distinct = parsed.groupBy("lang", "chunk", "own").agg(F.sum("many").alias("many"))
+    return distinct.withColumn("part", F.pmod(F.xxhash64("chunk", "own"), F.lit(PARTS)))
 
 
 class Bitmap:
@@ -216,56 +223,56 @@ def _chains(found: _Runs, marks: list[Bitmap], longest: int) -> Iterator[tuple[i
         follow = fits
 
 
-def counted(batch: pa.RecordBatch, sizes: range, marks: list[Bitmap], texts_too: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs of ``sizes`` words in chunks, by hash or by language and text."""
+def counted(batch: pa.RecordBatch, sizes: range, marks: list[Bitmap], owners: Bitmap | None) -> Iterator[pa.RecordBatch]:
+    """Runs of ``sizes`` words in chunks: their keys with count and first part; with ``owners`` their texts.
+
+    Texts are those of the runs that ``owners`` marks for the chunk's part.
+    """
     seeds, langs = _language_keys(batch.column("lang")), batch.column("lang")
-    own_words, many = batch.column("own").to_numpy(), batch.column("many").to_numpy()
+    own_words, many, part = (batch.column(n).to_numpy() for n in ("own", "many", "part"))
     for low, high, own in texts(batch.column("chunk"), COUNTED):
         found = _Runs(own, seeds[low:high])
         begins = np.arange(len(found.hashes)) - own.first[found.owner] < own_words[low:high][found.owner]
         for size, fits in _chains(found, marks, max(sizes)):
-            if size in sizes:
-                at = np.flatnonzero(fits & begins)
-                yield _summed(found, at, size, many[low:high], langs.slice(low, high - low) if texts_too else None)
-
-
-def _summed(found: _Runs, at: np.ndarray, size: int, many: np.ndarray, langs: pa.Array | None) -> pa.RecordBatch:
-    """Counts of the runs of ``size`` words that begin ``at`` these words, each distinct run once."""
-    own, counts = found.own, many[found.owner[at]]
-    # A second hash keeps apart what only shares the first.
-    check = None if langs is None else own.spans(own.starts[at], own.ends[at + size - 1]).view(np.int64)
-    keys, check, counts, order = _sums(found.keys(at, size).view(np.int64), check, counts)
-    if langs is None:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-    one = at[order]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys), pa.array(check), langs.take(pa.array(found.owner[one])),
-         _strings(own.data, own.starts[one], own.ends[one + size - 1]), pa.array(np.full(len(one), size, dtype=np.int32)),
-         pa.array(counts)],
-        ["key", "check", "lang", "phrase", "size", "n"],
-    )
-
-
-def _sums(keys: np.ndarray, check: np.ndarray | None, counts: np.ndarray) -> tuple:
-    """Distinct keys with their sums, and the place of one row of each."""
+            if size not in sizes:
+                continue
+            at = np.flatnonzero(fits & begins)
+            keys, rows = found.keys(at, size), found.owner[at]
+            if owners is None:
+                yield _by_key(keys.view(np.int64), np.full(len(at), size), many[low:high][rows], part[low:high][rows])
+                continue
+            mine = np.flatnonzero(owners.has(_owned(keys, part[low:high][rows])))
+            _, first = np.unique(keys[mine], return_index=True)
+            one = at[mine[first]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[mine[first]].view(np.int64)), langs.slice(low, high - low).take(pa.array(found.owner[one])),
+                 _strings(own.data, own.starts[one], own.ends[one + size - 1])],
+                ["key", "lang", "phrase"],
+            )
+
+
+def _owned(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """One number for a key and a part."""
+    return mix(keys ^ (parts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _by_key(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """Each key once, with the sum of its counts and its first part."""
     order = np.argsort(keys)
     keys = keys[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    if check is not None:
-        check = check[order]
-        new[1:] |= check[1:] != check[:-1]
-    firsts = np.flatnonzero(new)
-    sums = np.add.reduceat(counts[order], firsts) if len(keys) else np.zeros(0, np.int64)
-    return keys[firsts], None if check is None else check[firsts], sums.astype(np.int64), order[firsts]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    sums, least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(keys):
+        sums, least = np.add.reduceat(counts[order], firsts), np.minimum.reduceat(parts[order], firsts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[firsts]), pa.array(sizes[order[firsts]].astype(np.int32)), pa.array(sums), pa.array(least.astype(np.int32))],
+        ["key", "size", "n", "part"],
+    )
 
 
 def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     whole = _one(parts)
-    column = lambda n: whole.column(n).to_numpy() if n in whole.schema.names else None
-    _, _, sums, rows = _sums(column("key"), column("check"), column("n"))
-    kept = whole.take(pa.array(rows))
-    return kept.set_column(kept.schema.get_field_index("n"), "n", pa.array(sums))
+    return _by_key(*(whole.column(n).to_numpy() for n in ("key", "size", "n", "part")))
 
 
 def _combined(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -284,43 +291,52 @@ def _combined(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield _merged(held)
 
 
-def _runs_of(chunks: DataFrame, sizes: range, marks: list[Broadcast], texts_too: bool = False) -> DataFrame:
-    """Partial counts of runs of ``sizes`` words: ``key`` and ``n``, or ``lang``, ``phrase``, ``size`` and ``n``."""
+def _runs_of(chunks: DataFrame, sizes: range, marks: list[Broadcast], owners: Broadcast | None = None) -> DataFrame:
+    """Partial counts ``key``, ``size``, ``n``, ``part`` of runs of ``sizes`` words; with ``owners`` their texts."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [m.value for m in marks]
+        known = [m.value for m in marks], owners and owners.value
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size > COUNTED:
-                yield from counted(_one(held), sizes, known, texts_too)
+                yield from counted(_one(held), sizes, *known)
                 held, size = [], 0
         if held:
-            yield from counted(_one(held), sizes, known, texts_too)
+            yield from counted(_one(held), sizes, *known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for summed in _combined(parts(batches), KEYS // 2 if texts_too else KEYS):
-            yield summed.select(names)
+        return parts(batches) if owners else _combined(parts(batches), KEYS)
+
+    return chunks.mapInArrow(count, "key long, lang string, phrase string" if owners else "key long, size int, n long, part int")
 
-    names = ["lang", "phrase", "size", "n"] if texts_too else ["key", "n"]
-    return chunks.mapInArrow(count, COUNTS if texts_too else "key long, n long")
+
+def _often(runs: DataFrame, least: int) -> DataFrame:
+    """``key``, ``size``, ``n`` and ``part`` of the runs found ``least`` times."""
+    summed = runs.groupBy("key").agg(F.first("size").alias("size"), F.sum("n").alias("n"), F.min("part").alias("part"))
+    return written(summed.filter(F.col("n") >= least), "often")
 
 
 def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def _marks(runs: DataFrame, least: int) -> Broadcast:
-    """The bitmap of keys found ``least`` times, on all executors."""
-    often = runs.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    at = F.shiftrightunsigned("key", Bitmap.SHIFT)
-    placed = often.select(F.shiftright(at, 6).alias("slot"), F.expr(
-        f"shiftleft(1L, CAST(shiftrightunsigned(key, {Bitmap.SHIFT}) & 63 AS INT))").alias("bits"))
+def _marks(often: DataFrame, owners: bool = False) -> Broadcast:
+    """The bitmap of the keys, or of each key with its first part, on all executors."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            at = (_owned(keys, batch.column("part").to_numpy()) if owners else keys) >> np.uint64(Bitmap.SHIFT)
+            bits = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], ["slot", "bits"])
+
     # At most BITS / 64 rows of two numbers, whatever the corpus.
+    placed = often.select("key", "part").mapInArrow(mark, "slot long, bits long")
     rows = placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     made = Bitmap(rows.column("slot").to_numpy(), rows.column("bits").to_numpy())
-    return runs.sparkSession.sparkContext.broadcast(made)
+    return often.sparkSession.sparkContext.broadcast(made)
 
 
 def _scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
@@ -362,11 +378,16 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = 5, m
     chunks = written(dictionary(docs, longest, modulus), "chunks")
     totals = written(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("many")).alias("n")), "totals")
     marks: list[Broadcast] = []
-    for size in range(1, min(longest, MARKED) + 1):
-        marks.append(_marks(_runs_of(chunks, range(size, size + 1), marks), least))
-    runs = _runs_of(chunks, range(1, longest + 1), marks, texts_too=True)
-    summed = runs.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    frequent = written(summed.filter(F.col("n") >= least), "phrases")
+    often: DataFrame | None = None
+    sizes = [range(size, size + 1) for size in range(1, min(longest, MARKED) + 1)]
+    for own in [*sizes, *([range(MARKED + 1, longest + 1)] if longest > MARKED else [])]:
+        found = _often(_runs_of(chunks, own, marks), least)
+        often = found if often is None else often.unionByName(found)
+        if own[0] <= MARKED:
+            marks.append(_marks(found))
+    named = _runs_of(chunks, range(1, longest + 1), marks, _marks(often, owners=True))
+    texts_ = named.groupBy("key").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    frequent = written(often.join(texts_, "key").select("lang", "phrase", "size", "n"), "phrases")
     scored = written(_scored(frequent, totals), "scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A language may hold most phrases: the best of each salt first.
