@@ -61,6 +61,12 @@ def test_phrases_by_brute_force(spark, modulus, longest, top):
     assert len(found) == len(set(found)) and set(found) == phrase_table(rows, 6, top, longest)
 
 
+def test_languages_named_like_words(spark):
+    rows = [("de es. de es de", "es")] * 4 + [("es de. es x", "de")] * 3 + [("es", "es"), ("und de", None), ("de und", "und")] * 3
+    found = [tuple(r) for r in phrases.mine(spark.createDataFrame(rows, "text string, lang string"), 3).collect()]
+    assert len(found) == len(set(found)) and set(found) == phrase_table(rows, 3, 2000)
+
+
 def test_phrases_of_nothing(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert phrases.mine(empty).count() == 0
