@@ -48,6 +48,54 @@ VERDICTS = [
 ]
 
 
+# condition -> keyword, params and message of each failure, where a rule is broken
+_ENUM = "must be equal to one of the allowed values"
+FAILURES = {
+    "e % 73 = 0": [("format", '{"format":"date-time"}', 'must match format "date-time"')],
+    "e % 71 = 0": [("const", '{"allowedValue":"page_hit"}', "must be equal to constant")],
+    "e % 131 = 0": [("required", '{"missingProperty":"locale"}', "must have required property 'locale'")],
+    "e % 59 = 0": [("required", '{"missingProperty":"source"}', "must have required property 'source'")],
+    "e % 67 = 0": [("enum", '{"allowedValues":["null","post","page"]}', _ENUM)],
+    "e % 107 = 0": [
+        ("type", '{"type":"string"}', "must be string"),
+        ("type", '{"type":"null"}', "must be null"),
+        ("anyOf", "{}", "must match a schema in anyOf"),
+    ],
+    "e % 109 = 0": [("required", '{"missingProperty":"name"}', "must have required property 'name'")],
+    "e % 139 = 0": [("type", '{"type":"string"}', "must be string")],
+    "e % 137 = 0": [("minLength", '{"limit":1}', "must NOT have fewer than 1 characters")],
+    "e % 101 = 0": [("pattern", '{"pattern":"^.*\\\\S.*$"}', 'must match pattern "^.*\\S.*$"')],
+    "e % 103 = 0": [("type", '{"type":"string"}', "must be string")],
+    "e % 79 = 0": [("enum", '{"allowedValues":["analytics_events","analytics_events_test"]}', _ENUM)],
+    "e % 149 = 0": [("required", '{"missingProperty":"x-site-uuid"}', "must have required property 'x-site-uuid'")],
+    "e % 97 = 0": [("format", '{"format":"uuid"}', 'must match format "uuid"')],
+    "e % 83 = 0": [("const", '{"allowedValue":"application/json"}', "must be equal to constant")],
+    "e % 89 = 0": [("minLength", '{"limit":1}', "must NOT have fewer than 1 characters")],
+}
+
+
+def _failures(shown) -> str:
+    """CASE over the verdicts with what ``shown`` makes of context, path and failures."""
+    arms = " ".join(
+        f"WHEN {condition} THEN {_text(shown(context, path, FAILURES.get(condition)))}"
+        for condition, _, context, path, _ in VERDICTS
+    )
+    return f"CASE {arms} END"
+
+
+VALIDATION = _failures(
+    lambda context, path, found: found and ";".join("|".join([path, *entry]) for entry in found)
+)
+JOINED = _failures(
+    lambda context, path, found: found and ", ".join(f"{context}{path} {entry[2]}" for entry in found)
+)
+SENT_QUERY = """concat_ws('&',
+ CASE WHEN e % 109 = 0 THEN NULL WHEN e % 103 = 0 THEN 'name=analytics_events,analytics_events'
+  WHEN e % 79 = 0 THEN 'name=nope' ELSE 'name=analytics_events' END,
+ CASE WHEN e % 137 = 0 THEN 'token=' WHEN e % 101 = 0 THEN 'token= ' WHEN u % 5 <> 0 THEN 'token=tok' || (u % 10) END,
+ CASE WHEN e % 139 = 0 THEN 'x=1,2' WHEN e % 3 = 0 THEN 'x=a b' END)"""
+
+
 def _case(position: int, wrap=lambda v: _text(v), only: str | None = None) -> str:
     arms = " ".join(
         f"WHEN {entry[0]} THEN {wrap(entry[position])}"
@@ -176,7 +224,11 @@ ORACLES = {
     "s6_dead_letter": HITS + f"""SELECT error, count(*) AS messages FROM
  (SELECT {MESSAGE_ERROR} AS error FROM accepted) WHERE error IS NOT NULL GROUP BY error""",
     "s7_reject_records": JUDGED + f"""SELECT CAST(bad_status AS BIGINT) AS status,
- CASE WHEN bad_status = 413 THEN 'Payload Too Large' ELSE 'Bad Request' END AS error, message,
+ CASE WHEN context IN ('size', 'json') THEN 'unhandled_error' ELSE 'validation_error' END AS type,
+ CASE context WHEN 'size' THEN 'FST_ERR_CTP_BODY_TOO_LARGE' WHEN 'json' THEN 'FST_ERR_CTP_INVALID_JSON_BODY'
+  ELSE 'FST_ERR_VALIDATION' END AS code, {VALIDATION} AS validation, {SENT_QUERY} AS query,
+ CASE WHEN bad_status = 413 THEN 'Payload Too Large' ELSE 'Bad Request' END AS error,
+ coalesce({JOINED}, message) AS message,
  context AS validation_context, path AS instance_path, method AS request_method, url AS request_url,
  shown_agent AS user_agent, client AS remote_ip, {REFERER} AS referer, {CONTENT_TYPE} AS content_type,
  site_header AS site_uuid, body AS request_body FROM verdict WHERE bad_status <> 404""",

@@ -220,8 +220,23 @@ def s6_dead_letter(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _failures_shown(validation: Column) -> Column:
+    parts = ["instance_path", "keyword", "params", "message"]
+    shown = F.transform(validation, lambda v: F.concat_ws("|", *[v[part] for part in parts]))
+    return F.when(validation.isNotNull(), F.array_join(shown, ";"))
+
+
+def _query_shown(query: Column) -> Column:
+    shown = F.transform(
+        F.map_entries(query), lambda q: F.concat(q["key"], F.lit("="), F.array_join(q["value"], ","))
+    )
+    return F.array_join(shown, "&")
+
+
 def s7_reject_records(spark: SparkSession, sf: str) -> DataFrame:
     return reports.reject_records(_classified(spark, sf)).select(
+        "type", "code", _failures_shown(F.col("validation")).alias("validation"),
+        _query_shown(F.col("query")).alias("query"),
         F.col("status").cast("bigint").alias("status"), "error", "message", "validation_context",
         "instance_path", "request_method", "request_url", "user_agent", "remote_ip", "referer",
         "content_type", "site_uuid", "request_body",

@@ -64,6 +64,46 @@ def first_value(pairs: Column, key: str) -> Column:
     return F.get(pairs["value"], place)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def grouped(pairs: Column) -> Column:
+    """``array<struct<key, values>>``: values per key, keys in order of first appearance.
+
+    The pairs are sorted by key and cut where the key changes, so a query string of
+    very many keys costs a sort, not a comparison of every key with every other.
+    """
+    numbered = F.transform(
+        pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("place"), p["value"].alias("value"))
+    )
+
+    def cut(rows: Column) -> Column:
+        def opening(row: Column, i: Column) -> Column:
+            before = F.get(rows, i - F.lit(1))["key"]
+            return F.when((i == 0) | (row["key"] != before), i)
+
+        def groups(starts: Column) -> Column:
+            def group(start: Column, number: Column) -> Column:
+                end = F.coalesce(F.get(starts, number + F.lit(1)), F.size(rows))
+                part = F.slice(rows, start + F.lit(1), end - start)
+                first = F.get(rows, start)
+                return F.struct(
+                    first["place"].alias("place"), first["key"].alias("key"),
+                    F.transform(part, lambda r: r["value"]).alias("values"),
+                )
+
+            return F.transform(starts, group)
+
+        return _bound(F.array_compact(F.transform(rows, opening)), groups)
+
+    ordered = F.array_sort(_bound(F.array_sort(numbered), cut))
+    return F.transform(
+        ordered, lambda g: F.struct(g["key"].alias("key"), g["values"].alias("values"))
+    )
+
+
 def without_keys(pairs: Column, *keys: str) -> Column:
     return F.filter(pairs, lambda p: ~p["key"].isin(*keys))
 
@@ -105,17 +145,21 @@ def rewrite_forward_query(pairs: Column, drop_token: bool, wait: bool) -> Column
     ``drop_token`` is set when the sink has a token of its own; ``wait`` asks the
     sink to confirm writes.
     """
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    groups = grouped(pairs)
     if drop_token:
-        keys = F.array_remove(keys, "token")
-    if wait:
-        keys = F.when(F.array_contains(keys, "wait"), keys).otherwise(F.array_append(keys, F.lit("wait")))
+        groups = without_keys(groups, "token")
 
-    def merged(key: Column) -> Column:
-        values = F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"])
-        value = F.array_join(values, ",")
+    def merged(group: Column) -> Column:
+        value = F.array_join(group["values"], ",")
         if wait:
-            value = F.when(key == "wait", "true").otherwise(value)
-        return F.struct(key.alias("key"), value.alias("value"))
+            value = F.when(group["key"] == "wait", "true").otherwise(value)
+        return F.struct(group["key"].alias("key"), value.alias("value"))
 
-    return write_pairs(F.transform(keys, merged))
+    kept = F.transform(groups, merged)
+    if wait:
+        asked = F.struct(F.lit("wait").alias("key"), F.lit("true").alias("value"))
+        missing = F.array_position(pairs["key"], "wait") == 0
+        kept = F.concat(kept, F.when(missing, F.array(asked)).otherwise(F.array().cast(
+            "array<struct<key: string, value: string>>"
+        )))
+    return write_pairs(kept)

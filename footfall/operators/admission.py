@@ -29,7 +29,7 @@ PAYLOAD_MEMBERS = [
 REFERRER_MEMBERS = ["source", "medium", "url"]
 OPTIONAL_TEXTS = ["referrer", "gift_link", *schemas.UTM]
 
-VERDICT = ["outcome", "status", "context", "path", "message"]
+VERDICT = ["outcome", "status", "context", "path", "message", "validation"]
 
 
 def header(name: str) -> Column:
@@ -118,13 +118,13 @@ def body_checks() -> list[documents.Check]:
     referrer = [
         *REFERRER.object(parsed_kind),
         *REFERRER.required(*REFERRER_MEMBERS),
-        *[c for name in REFERRER_MEMBERS for c in REFERRER.string(name)],
+        *[c for n in REFERRER_MEMBERS for c in documents.either(REFERRER.string(n), "null")],
     ]
     # Null and the empty text both count as an unknown location.
     unknown = F.coalesce(PAYLOAD.text("location") == "", F.lit(False))
 
     def optional(name: str) -> list[documents.Check]:
-        return PAYLOAD.optional(name, PAYLOAD.string(name))
+        return documents.either(PAYLOAD.optional(name, PAYLOAD.string(name)), "null")
 
     return [
         *ROOT.object(F.col("_body_type")),
@@ -140,7 +140,7 @@ def body_checks() -> list[documents.Check]:
         ),
         *PAYLOAD.nonblank("user-agent"),
         *PAYLOAD.nonblank("locale"),
-        *documents.when(~unknown, PAYLOAD.nonblank("location")),
+        *documents.either(documents.when(~unknown, PAYLOAD.nonblank("location")), "null"),
         *optional("referrer"),
         *documents.when(parsed_kind.isNotNull(), referrer),
         *PAYLOAD.nonblank("pathname"),
@@ -150,7 +150,7 @@ def body_checks() -> list[documents.Check]:
         *PAYLOAD.one_of("post_type", rules.POST_TYPES),
         *optional("gift_link"),
         *PAYLOAD.guid_or_undefined("member_uuid"),
-        *PAYLOAD.nonblank("member_status"),
+        *documents.either(PAYLOAD.nonblank("member_status"), rules.UNDEFINED),
         *[c for name in schemas.UTM for c in optional(name)],
     ]
 
@@ -179,40 +179,61 @@ def normal_hit() -> Column:
 
 
 def query_failure(pairs: Column) -> Column:
-    """V5: NULL or struct(path, message) for the first broken query rule.
+    """V5: NULL or struct(path, message, validation) for the first broken query rule.
 
     A repeated key reaches the schema as a list, which is not a string.
     """
     keys = pairs["key"]
     others = F.array_remove(F.array_remove(keys, "name"), "token")
     repeated = F.size(F.array_distinct(others)) < F.size(others)
-    twice = F.get(
-        F.filter(others, lambda k: F.size(F.filter(others, lambda other: other == k)) > 1), F.lit(0)
+    lists = F.filter(
+        urls.grouped(pairs), lambda g: ~g["key"].isin("name", "token") & (F.size(g["values"]) > 1)
     )
+    twice = F.get(lists, F.lit(0))["key"]
     token = urls.first_value(pairs, "token")
     name = urls.first_value(pairs, "name")
 
     def count(key: str) -> Column:
         return F.size(keys) - F.size(F.array_remove(keys, key))
 
-    def failure(path: Column | str, message: str) -> Column:
+    def failure(path: Column | str, keyword: str, params: dict, message: str) -> Column:
         where = F.lit(path) if isinstance(path, str) else path
         text = F.concat(F.lit("querystring"), where, F.lit(f" {message}"))
-        return F.struct(where.alias("path"), text.alias("message"))
+        entry = documents.failure(where, keyword, documents.rule_values(**params), message)
+        return F.struct(
+            where.alias("path"), text.alias("message"), F.array(entry).alias("validation")
+        )
+
+    def not_text(path: Column | str) -> Column:
+        return failure(path, "type", {"type": "string"}, "must be string")
 
     return (
-        F.when(count("name") == 0, failure("", "must have required property 'name'"))
-        .when(repeated, failure(F.concat(F.lit("/"), twice), "must be string"))
-        .when(count("token") > 1, failure("/token", "must be string"))
-        .when(token == "", failure("/token", "must NOT have fewer than 1 characters"))
+        F.when(
+            count("name") == 0,
+            failure(
+                "", "required", {"missingProperty": "name"}, "must have required property 'name'"
+            ),
+        )
+        .when(repeated, not_text(F.concat(F.lit("/"), twice)))
+        .when(count("token") > 1, not_text("/token"))
+        .when(
+            token == "",
+            failure("/token", "minLength", {"limit": 1}, "must NOT have fewer than 1 characters"),
+        )
         .when(
             ~documents.fields.is_nonblank(token),
-            failure("/token", 'must match pattern "^.*\\S.*$"'),
+            failure(
+                "/token", "pattern", {"pattern": rules.NONBLANK_PATTERN},
+                f'must match pattern "{rules.NONBLANK_PATTERN}"',
+            ),
         )
-        .when(count("name") > 1, failure("/name", "must be string"))
+        .when(count("name") > 1, not_text("/name"))
         .when(
             ~name.isin(*rules.EVENT_NAMES),
-            failure("/name", "must be equal to one of the allowed values"),
+            failure(
+                "/name", "enum", {"allowedValues": list(rules.EVENT_NAMES)},
+                "must be equal to one of the allowed values",
+            ),
         )
     )
 
@@ -340,29 +361,31 @@ def _query_bad() -> Column:
 
 
 @once
-def _stages() -> list[tuple[Column, int, str, Column | str, Column | str]]:
-    """Failed, status, context, path and message of each stage, in order."""
+def _stages() -> list[tuple[Column, int, str, Column | str, Column | str, Column | None]]:
+    """Failed, status, context, path, message and failures of each stage, in order."""
     body, head = body_checks(), header_checks()
     unparsed = F.col("_body_type").isNull()
     refused = F.col("hmac_status") == "refused"
     return [
-        (F.col("_no_route"), 404, "route", "", "Route not found"),
-        (F.col("_size_bad"), 413, "size", "", "Request body is too large"),
-        (unparsed, 400, "json", "", "Body is not valid JSON"),
-        (refused, 401, "hmac", "", F.col("hmac_message")),
+        (F.col("_no_route"), 404, "route", "", "Route not found", None),
+        (F.col("_size_bad"), 413, "size", "", "Request body is too large", None),
+        (unparsed, 400, "json", "", "Body is not valid JSON", None),
+        (refused, 401, "hmac", "", F.col("hmac_message"), None),
         (
             F.col("_body_bad").isNotNull(), 400, "body",
             documents.path_at(body, F.col("_body_bad")),
             documents.message_at(body, F.col("_body_bad"), "body", "_members"),
+            documents.failures_at(body, F.col("_body_bad"), "_members"),
         ),
         (
             F.col("_query_bad").isNotNull(), 400, "querystring",
-            F.col("_query_bad.path"), F.col("_query_bad.message"),
+            F.col("_query_bad.path"), F.col("_query_bad.message"), F.col("_query_bad.validation"),
         ),
         (
             F.col("_head_bad").isNotNull(), 400, "headers",
             documents.path_at(head, F.col("_head_bad")),
             documents.message_at(head, F.col("_head_bad"), "headers", "_headers"),
+            documents.failures_at(head, F.col("_head_bad"), "_headers"),
         ),
     ]
 
@@ -381,9 +404,9 @@ def _verdict() -> list[Column]:
     def pick(position: int, otherwise) -> Column:
         chain = F
         for number, entry in enumerate(_stages()):
-            value = entry[position]
-            chain = chain.when(F.col("_stage") == number, value)
-        return chain.otherwise(otherwise)
+            if entry[position] is not None:
+                chain = chain.when(F.col("_stage") == number, entry[position])
+        return chain if otherwise is None else chain.otherwise(otherwise)
 
     bot = agents.is_bot(HEADERS.text("user-agent"))
     outcome = (
@@ -399,6 +422,7 @@ def _verdict() -> list[Column]:
         pick(2, nothing).alias("context"),
         pick(3, nothing).alias("path"),
         pick(4, nothing).alias("message"),
+        pick(5, None).alias("validation"),
     ]
 
 
@@ -414,8 +438,10 @@ def classify_requests(
     """V7: the first failure of every request, or the normalised hit.
 
     Adds ``client_ip``, ``hmac_status``, ``effective_url``, ``hit`` and the verdict:
-    ``outcome`` (accepted, bot, rejected or not_found), ``status``, ``context``, ``path``
-    and ``message``. Order: route, size, JSON, signature, body, query string, headers, bot.
+    ``outcome`` (accepted, bot, rejected or not_found), ``status``, ``context``, ``path``,
+    ``message`` and ``validation``. Order: route, size, JSON, signature, body, query string,
+    headers, bot. ``path`` and ``message`` are of the first broken rule; ``validation`` lists
+    every failure found up to there: for a choice, those of its branches and its own.
     ``observation`` receives the number of requests per outcome.
     """
     kept = requests.columns

@@ -14,7 +14,8 @@ JVM does not compile.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +45,6 @@ def parse_document(df: DataFrame, column: str, into: str) -> DataFrame:
     )
 
 
-def type_of(variant: Column) -> Column:
-    """JSON type name of a VARIANT: STRING, BIGINT, VOID, OBJECT<...>; NULL if absent."""
-    return F.schema_of_variant(variant)
-
-
-def is_object(kind: Column) -> Column:
-    return F.coalesce(kind.startswith("OBJECT<"), F.lit(False))
-
-
-def _quoted(name: str) -> str:
-    return f"`{name}`"
-
-
 def open_object(variant: Column, path: str, names: list[str]) -> Column:
     """Struct with the named members of the object at ``path``, each still a VARIANT."""
     shape = ", ".join(f"`{name}`: variant" for name in names)
@@ -150,15 +138,25 @@ def describe_coerced(members: list[Member], kinds: Column, care: Column) -> Colu
     )
 
 
+def rule_values(**values) -> str:
+    return json.dumps(values, separators=(",", ":"))
+
+
 @dataclass(frozen=True)
 class Check:
-    """One rule: what kind it is, where it applies, and when it is broken."""
+    """One rule: what kind it is, where it applies, and when it is broken.
+
+    ``params`` are the rule's own values as JSON. ``other`` says what else the member may
+    be, ``null`` or ``undefined``: the rule is then one branch of a choice.
+    """
 
     kind: str
     path: str
     member: int
     message: str | None
     broken: Column
+    params: str = "{}"
+    other: str = ""
 
 
 class Members:
@@ -183,20 +181,21 @@ class Members:
 
     def object(self, kind: Column) -> list[Check]:
         holds = F.coalesce(kind.startswith("OBJECT<"), F.lit(False))
-        return [Check("object", self.path, -1, "must be object", ~holds)]
+        params = rule_values(type="object")
+        return [Check("object", self.path, -1, "must be object", ~holds, params)]
 
     def required(self, *names: str) -> list[Check]:
         return [
             Check(
                 "required", self.path, -1, f"must have required property '{name}'",
-                self.kind(name).isNull(),
+                self.kind(name).isNull(), rule_values(missingProperty=name),
             )
             for name in names
         ]
 
-    def _rule(self, kind: str, name: str, holds: Column) -> list[Check]:
+    def _rule(self, kind: str, name: str, holds: Column, params: str = "{}") -> list[Check]:
         broken = ~F.coalesce(holds, F.lit(False))
-        return [Check(kind, f"{self.path}/{name}", self.places[name], None, broken)]
+        return [Check(kind, f"{self.path}/{name}", self.places[name], None, broken, params)]
 
     def string(self, name: str) -> list[Check]:
         return self._rule("string", name, self.text(name).isNotNull())
@@ -208,19 +207,22 @@ class Members:
         return self._rule("nonblank", name, fields.is_nonblank(self.text(name)))
 
     def guid(self, name: str) -> list[Check]:
-        return self._rule("guid", name, fields.is_guid(self.text(name)))
+        return self._rule("guid", name, fields.is_guid(self.text(name)), rule_values(format="uuid"))
 
     def guid_or_undefined(self, name: str) -> list[Check]:
-        return self._rule("guid", name, fields.is_guid_or_undefined(self.text(name)))
+        holds = fields.is_guid_or_undefined(self.text(name))
+        return either(self._rule("guid", name, holds, rule_values(format="uuid")), rules.UNDEFINED)
 
     def iso_millis(self, name: str) -> list[Check]:
-        return self._rule("iso", name, fields.is_iso_millis(self.text(name)))
+        holds = fields.is_iso_millis(self.text(name))
+        return self._rule("iso", name, holds, rule_values(format="date-time"))
 
     def constant(self, name: str, value: str) -> list[Check]:
-        return self._rule("constant", name, self.text(name) == value)
+        return self._rule("constant", name, self.text(name) == value, rule_values(allowedValue=value))
 
     def one_of(self, name: str, values: list[str]) -> list[Check]:
-        return self._rule("one_of", name, self.text(name).isin(*values))
+        holds = self.text(name).isin(*values)
+        return self._rule("one_of", name, holds, rule_values(allowedValues=list(values)))
 
     def optional(self, name: str, checks: list[Check]) -> list[Check]:
         """The checks, unless the member is absent."""
@@ -235,9 +237,12 @@ class Members:
 
 def when(condition: Column, checks: list[Check]) -> list[Check]:
     """The checks, applied only where the condition holds."""
-    return [
-        Check(c.kind, c.path, c.member, c.message, condition & c.broken) for c in checks
-    ]
+    return [replace(c, broken=condition & c.broken) for c in checks]
+
+
+def either(checks: list[Check], other: str) -> list[Check]:
+    """The checks as a branch of a choice: the member may also be null or ``undefined``."""
+    return [replace(c, other=other) for c in checks]
 
 
 def first_broken(checks: list[Check]) -> Column:
@@ -279,3 +284,60 @@ def message_at(
     )
     message = F.concat(F.lit(context), path_at(checks, position), F.lit(" "), said)
     return F.when(position.isNotNull(), message)
+
+
+def failure(path: Column, keyword: Column | str, params: Column | str, message: Column | str) -> Column:
+    """One entry of a list of failures; ``params`` is JSON."""
+
+    def text(value: Column | str) -> Column:
+        return F.lit(value) if isinstance(value, str) else value
+
+    return F.struct(
+        path.alias("instance_path"), text(keyword).alias("keyword"),
+        text(params).alias("params"), text(message).alias("message"),
+    )
+
+
+def failures_at(checks: list[Check], position: Column, described: str) -> Column:
+    """All that the rule at a position has to report, in order; NULL if all rules hold.
+
+    A plain rule reports itself. A rule that is a branch of a choice is followed by the
+    failure of the other branch and by that of the choice.
+    """
+
+    def at(values: list) -> Column:
+        return F.get(F.array(*[F.lit(value) for value in values]), position)
+
+    text = F.get(F.col(described), at([c.member for c in checks]))["text"]
+    kind, params, other = (at([getattr(c, n) for c in checks]) for n in ("kind", "params", "other"))
+    path = path_at(checks, position)
+    too_short = kind.isin("nonempty", "nonblank") & (text == "")
+    not_text = failure(path, "type", rule_values(type="string"), "must be string")
+    itself = (
+        F.when(kind.isin("object", "required"), failure(
+            path, F.when(kind == "required", "required").otherwise("type"), params,
+            at([c.message or "" for c in checks]),
+        ))
+        .when(text.isNull(), not_text)
+        .when(too_short, failure(
+            path, "minLength", rule_values(limit=1), "must NOT have fewer than 1 characters",
+        ))
+        .when(kind == "nonblank", failure(
+            path, "pattern", rule_values(pattern=rules.NONBLANK_PATTERN),
+            f'must match pattern "{rules.NONBLANK_PATTERN}"',
+        ))
+        .when(kind == "guid", failure(path, "format", params, 'must match format "uuid"'))
+        .when(kind == "iso", failure(path, "format", params, 'must match format "date-time"'))
+        .when(kind == "constant", failure(path, "const", params, "must be equal to constant"))
+        .otherwise(failure(path, "enum", params, "must be equal to one of the allowed values"))
+    )
+    # The other branch wants null, or the text that stands for nothing.
+    branch = (
+        F.when(other == "null", failure(path, "type", rule_values(type="null"), "must be null"))
+        .when((other == rules.UNDEFINED) & text.isNull(), not_text)
+        .when(other == rules.UNDEFINED, failure(
+            path, "const", rule_values(allowedValue=rules.UNDEFINED), "must be equal to constant",
+        ))
+    )
+    choice = F.when(other != "", failure(path, "anyOf", "{}", "must match a schema in anyOf"))
+    return F.when(position.isNotNull(), F.array_compact(F.array(itself, branch, choice)))

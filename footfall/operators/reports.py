@@ -8,20 +8,53 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..config import Settings
 from ..functions import text as fields
+from ..functions import urls
 from ..functions.text import none_if_empty
 from ..functions.tracing import trace_context
 from .admission import client_ip, header
 
 
+def joined_message(validation: Column, context: Column) -> Column:
+    """All failures as one text; NULL where there is no list of failures."""
+    said = F.transform(
+        validation,
+        lambda entry: F.concat(context, entry["instance_path"], F.lit(" "), entry["message"]),
+    )
+    return F.when(validation.isNotNull(), F.array_join(said, ", "))
+
+
+def sent_query(url: Column) -> Column:
+    """The query string as a map from key to the list of its values."""
+    pairs = urls.query_pairs(urls.query_of(url), decode=urls.lenient_decode)
+    return F.map_from_entries(urls.grouped(pairs))
+
+
 def reject_records(classified: DataFrame) -> DataFrame:
-    """One structured record per rejected request."""
+    """One structured record per rejected request.
+
+    ``validation`` lists the failures of a broken rule, and ``message`` joins them; other
+    rejects have no list. ``type`` tells the two apart and ``code`` says which check
+    refused the request; a signature is refused without a code.
+    """
+    context = F.col("context")
+    code = (
+        F.when(F.col("validation").isNotNull(), "FST_ERR_VALIDATION")
+        .when(context == "size", "FST_ERR_CTP_BODY_TOO_LARGE")
+        .when(context == "json", "FST_ERR_CTP_INVALID_JSON_BODY")
+    )
+    kind = F.when(F.col("validation").isNotNull(), "validation_error").otherwise("unhandled_error")
+    joined = joined_message(F.col("validation"), context)
     return classified.filter(F.col("outcome") == "rejected").select(
+        kind.alias("type"),
+        code.alias("code"),
         "status",
         F.when(F.col("status") == 401, "Unauthorized")
         .when(F.col("status") == 413, "Payload Too Large")
         .otherwise("Bad Request")
         .alias("error"),
-        "message",
+        F.coalesce(joined, F.col("message")).alias("message"),
+        "validation",
+        sent_query(F.col("url")).alias("query"),
         F.col("context").alias("validation_context"),
         F.col("path").alias("instance_path"),
         F.col("method").alias("request_method"),
