@@ -249,6 +249,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "requests", derive_requests)
 
 
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived requests as a stream, a few files at a time."""
+    schema = requests(spark, sf_dir).schema
+    path = _TABLES[(spark.sparkContext.applicationId, sf_dir, "requests")]
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
 def derive_salts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _derived(spark, sf_dir).select(
         F.concat(F.lit("salt:"), F.substring("iso", 1, 10), F.lit(":"), F.col("site")).alias("key"),

@@ -318,6 +318,17 @@ ORACLES = {
     "t1_enrich_stream": FULL + f"""SELECT iso AS event_time, site AS site_uuid, session_id, event_id, os, device,
  out_source AS referrer_source FROM processed WHERE {MESSAGE_ERROR} IS NULL""",
     "t2_flush_policy": HITS + "SELECT count(*) AS events, TRUE AS within_cap FROM accepted",
+    "t5_admission_outputs": _with(VERDICT, ACCEPTED, f"""lines AS (
+ SELECT 'log' AS output, {OUTCOME} AS outcome, CAST(coalesce(bad_status, 202) AS BIGINT) AS status, NULL AS message,
+  NULL AS code, url AS request_url, CASE WHEN e % 5 = 0 THEN 'req-' || e END AS request_id, client AS ip,
+  site_header AS site_uuid, shown_agent AS agent FROM verdict)""") + f"""SELECT *, NULL AS event_id, NULL AS href, NULL AS event_time FROM lines
+UNION ALL SELECT 'bots', * EXCLUDE (output), NULL, NULL, NULL FROM lines WHERE outcome = 'bot'
+UNION ALL SELECT 'rejects', NULL, CAST(bad_status AS BIGINT), coalesce({JOINED}, message),
+ CASE context WHEN 'size' THEN 'FST_ERR_CTP_BODY_TOO_LARGE' WHEN 'json' THEN 'FST_ERR_CTP_INVALID_JSON_BODY'
+  ELSE 'FST_ERR_VALIDATION' END, url, NULL, client, site_header, shown_agent, NULL, NULL, NULL
+ FROM verdict WHERE bad_status <> 404
+UNION ALL SELECT 'raw', NULL, NULL, NULL, NULL, NULL, NULL, client, site, shown_agent, event_id, href, iso
+ FROM accepted""",
     "t3_delivery": HITS + f"""SELECT count(*) AS messages, count(error) AS parse_failures, CAST(0 AS BIGINT) AS bots,
  count(*) - count(error) AS events, count(*) - count(error) AS delivered
  FROM (SELECT {MESSAGE_ERROR} AS error FROM accepted)""",

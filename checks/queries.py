@@ -19,7 +19,7 @@ from footfall.sources import events as sinks
 from footfall.sources import requests as request_source
 from footfall.sources import topic
 from footfall.sources.salt_store import SaltStore
-from footfall.streaming import worker
+from footfall.streaming import admission_worker, worker
 
 from . import dataset
 
@@ -633,6 +633,36 @@ def t2_flush_policy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def t5_admission_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything the admission worker writes, one row per document."""
+    root = workspace(spark, "admission")
+    admission_worker.start_admission(
+        dataset.request_stream(spark, sf), f"{root}/out", f"{root}/checkpoint",
+        event_id_seed=_seed(), drain=True,
+    ).awaitTermination()
+    documents = admission_worker.read_outputs(spark, f"{root}/out")
+    value = F.try_parse_json("value")
+
+    def at(where: str) -> Column:
+        return F.try_variant_get(value, where, "string")
+
+    return documents.select(
+        "output",
+        at("$.outcome").alias("outcome"),
+        F.try_variant_get(value, "$.status", "bigint").alias("status"),
+        at("$.message").alias("message"),
+        at("$.code").alias("code"),
+        at("$.request_url").alias("request_url"),
+        at("$.request_id").alias("request_id"),
+        F.coalesce(at("$.remote_ip"), at("$.meta.ip")).alias("ip"),
+        at("$.site_uuid").alias("site_uuid"),
+        F.coalesce(at("$.user_agent"), at("$.meta['user-agent']")).alias("agent"),
+        at("$.payload.event_id").alias("event_id"),
+        at("$.payload.href").alias("href"),
+        at("$.timestamp").alias("event_time"),
+    )
+
+
 def t3_delivery(spark: SparkSession, sf: str) -> DataFrame:
     root = workspace(spark, "replay")
     store = SaltStore(spark, f"{root}/salts")

@@ -433,7 +433,7 @@ def is_hit_route() -> Column:
 
 
 def classify_requests(
-    requests: DataFrame, settings: Settings = Settings(), observation: Observation | None = None
+    requests: DataFrame, settings: Settings = Settings(), observation: Observation | str | None = None
 ) -> DataFrame:
     """V7: the first failure of every request, or the normalised hit.
 

@@ -12,24 +12,10 @@ from ..functions.text import resolve_event_id
 from .admission import header
 
 
-def to_raw(
-    classified: DataFrame,
-    settings: Settings = Settings(),
-    event_id_seed: Column | None = None,
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """One raw event per accepted request; unknown members do not survive.
-
-    Time is the server's, site and user agent come from the headers. Event ids that
-    have to be made are random unless ``event_id_seed`` gives a unique value per
-    row; write the result before using it twice. ``keep`` names request columns that
-    are carried along.
-    """
+def raw_columns(sent_at: Column, event_id_seed: Column | None = None) -> list[Column]:
+    """The members of the raw event of an accepted request."""
     hit = F.col("hit")
     event_id = resolve_event_id(hit["event_id_type"], hit["event_id"], event_id_seed)
-    accepted = classified.filter(F.col("outcome") == "accepted").withColumn(
-        "_sent_at", F.timestamp_millis(epoch_millis(header(settings.start_header)))
-    )
     payload = F.struct(
         event_id.alias("event_id"),
         *[
@@ -41,9 +27,9 @@ def to_raw(
         ],
         hit["parsedReferrer"].alias("parsedReferrer"),
         *[hit[name].alias(name) for name in ("pathname", "href", *schemas.UTM)],
-        F.struct(iso_millis(F.col("_sent_at")).alias("received_timestamp")).alias("meta"),
+        F.struct(iso_millis(sent_at).alias("received_timestamp")).alias("meta"),
     )
-    return accepted.select(
+    return [
         server_timestamp(F.col("received_at")).alias("timestamp"),
         hit["action"].alias("action"),
         hit["version"].alias("version"),
@@ -52,5 +38,27 @@ def to_raw(
         F.struct(
             F.col("client_ip").alias("ip"), header("user-agent").alias("user-agent")
         ).alias("meta"),
-        *(keep or []),
-    )
+    ]
+
+
+def sent_at(settings: Settings) -> Column:
+    """The client's send time, from its header."""
+    return F.timestamp_millis(epoch_millis(header(settings.start_header)))
+
+
+def to_raw(
+    classified: DataFrame,
+    settings: Settings = Settings(),
+    event_id_seed: Column | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """One raw event per accepted request; unknown members do not survive.
+
+    Time is the server's, site and user agent come from the headers. Event ids that
+    have to be made are random unless ``event_id_seed`` gives a unique value per
+    row; write the result before using it twice. ``keep`` names request columns that
+    are carried along.
+    """
+    accepted = classified.filter(F.col("outcome") == "accepted")
+    accepted = accepted.withColumn("_sent_at", sent_at(settings))
+    return accepted.select(*raw_columns(F.col("_sent_at"), event_id_seed), *(keep or []))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def counted(
-    df: DataFrame, conditions: dict[str, Column], observation: Observation | None = None
+    df: DataFrame, conditions: dict[str, Column], observation: Observation | str | None = None
 ) -> DataFrame:
     """Count rows per condition while they pass by.
 
-    The counts go to ``observation`` or to query listeners. Counting also settles
+    The counts go to ``observation``, or under that name to query listeners and, in a
+    stream, to its progress. Counting also settles
     where the verdict is computed: a later filter on it cannot be pushed below the
     count, where Catalyst would have to repeat the whole validation inside the filter.
     """

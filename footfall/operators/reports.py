@@ -29,8 +29,8 @@ def sent_query(url: Column) -> Column:
     return F.map_from_entries(urls.grouped(pairs))
 
 
-def reject_records(classified: DataFrame) -> DataFrame:
-    """One structured record per rejected request.
+def reject_columns() -> list[Column]:
+    """The members of the record of a rejected request.
 
     ``validation`` lists the failures of a broken rule, and ``message`` joins them; other
     rejects have no list. ``type`` tells the two apart and ``code`` says which check
@@ -44,7 +44,7 @@ def reject_records(classified: DataFrame) -> DataFrame:
     )
     kind = F.when(F.col("validation").isNotNull(), "validation_error").otherwise("unhandled_error")
     joined = joined_message(F.col("validation"), context)
-    return classified.filter(F.col("outcome") == "rejected").select(
+    return [
         kind.alias("type"),
         code.alias("code"),
         "status",
@@ -65,18 +65,23 @@ def reject_records(classified: DataFrame) -> DataFrame:
         header("content-type").alias("content_type"),
         header("x-site-uuid").alias("site_uuid"),
         F.col("body").alias("request_body"),
-    )
+    ]
 
 
-def request_log(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One log row per request, with its trace context."""
+def reject_records(classified: DataFrame) -> DataFrame:
+    """One structured record per rejected request."""
+    return classified.filter(F.col("outcome") == "rejected").select(*reject_columns())
+
+
+def log_columns(settings: Settings = Settings()) -> list[Column]:
+    """The members of a request's log row."""
     trace = trace_context(
         F.col("http_headers")["x-cloud-trace-context"],
         F.col("http_headers")["traceparent"],
         settings.trace_project,
     )
     size = none_if_empty(header("content-length"))
-    return requests.select(
+    return [
         F.col("method").alias("request_method"),
         F.col("url").alias("request_url"),
         header("user-agent").alias("user_agent"),
@@ -86,7 +91,12 @@ def request_log(requests: DataFrame, settings: Settings = Settings()) -> DataFra
         none_if_empty(header("x-request-id")).alias("request_id"),
         none_if_empty(header("x-site-uuid")).alias("site_uuid"),
         *[column.alias(name) for name, column in trace.items()],
-    )
+    ]
+
+
+def request_log(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One log row per request, with its trace context."""
+    return requests.select(*log_columns(settings))
 
 
 def _contract() -> list[tuple[str, Column]]:
