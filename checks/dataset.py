@@ -160,12 +160,14 @@ LAYERS: list[dict[str, str]] = [
     {
         "t_part": "CASE WHEN e % 19 = 0 THEN '' WHEN e % 23 = 0 THEN '&t=abc' ELSE '&t=' || CAST(signed_at AS STRING) END",
         "q_sent": "CASE u % 4 WHEN 0 THEN '&q=a+b%21' WHEN 1 THEN '&q=a%20b!' ELSE '' END",
+        "sent_path": "CASE e % 13 WHEN 1 THEN '/api/x/../v1/./page_hit' WHEN 2 THEN '/api/v1/y/%2E%2e/page_hit' WHEN 3 THEN '/../api/v1/page_hit' WHEN 4 THEN '/api/v1/page hit/\u00e9' WHEN 5 THEN '/api/v1/page_hit/.' ELSE '/api/v1/page_hit' END",
+        "signed_path": "CASE e % 13 WHEN 4 THEN '/api/v1/page%20hit/%C3%A9' WHEN 5 THEN '/api/v1/page_hit/' ELSE '/api/v1/page_hit' END",
         "q_signed": "CASE WHEN u % 4 < 2 THEN '&q=a+b%21' ELSE '' END",
     },
     {
-        "signed_text": "'/api/v1/page_hit?name=analytics_events&e=evt-' || CAST(e AS STRING) || q_signed || t_part",
-        "sent_text": "'/api/v1/page_hit?name=analytics_events&e=evt-' || CAST(e AS STRING) || q_sent || t_part",
-        "unsigned_text": "'/api/v1/page_hit?name=analytics_events&e=evt-' || CAST(e AS STRING) || q_signed",
+        "signed_text": "signed_path || '?name=analytics_events&e=evt-' || CAST(e AS STRING) || q_signed || t_part",
+        "sent_text": "sent_path || '?name=analytics_events&e=evt-' || CAST(e AS STRING) || q_sent || t_part",
+        "unsigned_text": "signed_path || '?name=analytics_events&e=evt-' || CAST(e AS STRING) || q_signed",
     },
 ]
 

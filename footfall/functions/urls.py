@@ -15,6 +15,45 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
+#: Characters that a path has only as escapes, and segments that stand for a folder.
+_CODED = r"""[^\x21-\x7E]|["#<>?^`{}]"""
+_DOTS = r"(?i)(?:\.|%2e)"
+
+
+def _escaped(path: Column) -> Column:
+    """Raw blanks, marks and characters outside ASCII as escapes of their UTF-8 bytes."""
+
+    def one(char: Column) -> Column:
+        return F.when(char.rlike(_CODED), F.replace(F.url_encode(char), F.lit("+"), F.lit("%20"))).otherwise(char)
+
+    chars = F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0))
+    return F.when(path.rlike(_CODED), F.array_join(F.transform(chars, one), "")).otherwise(path)
+
+
+def _folded(path: Column) -> Column:
+    """The path without ``.`` and ``..``: a fold over the segments with those kept so far."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    up, here = rf"\A{_DOTS}{{2}}\z", rf"\A{_DOTS}\z"
+
+    def step(kept: Column, segment: Column) -> Column:
+        return (
+            F.when(segment.rlike(up), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(segment.rlike(here), kept)
+            .otherwise(F.array_append(kept, segment))
+        )
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    # A path that ends in dots ends in the folder that they stand for.
+    folder = F.element_at(segments, -1).rlike(rf"\A{_DOTS}{{1,2}}\z")
+    whole = F.concat(F.lit("/"), F.array_join(F.when(folder, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+    return F.when(path.rlike(rf"/{_DOTS}{{1,2}}(?:/|\z)"), whole).otherwise(path)
+
+
+def normal_path(path: Column) -> Column:
+    """A path as URL parsers write it: slashes, escapes and dot segments settled."""
+    return _folded(_escaped(F.translate(path, "\\", "/")))
+
+
 def query_of(url: Column) -> Column:
     """Text between the first ``?`` and the fragment; empty if there is none."""
     return F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
@@ -118,7 +157,7 @@ def split_signed_url(url: Column, pairs: Column) -> dict[str, Column]:
     ``pairs`` are the form-decoded query pairs of ``url``; pass a column that is
     already computed so that the URL is taken apart once.
     """
-    path = path_of(url)
+    path = normal_path(path_of(url))
     return {
         "hmac": none_if_empty(first_value(pairs, "hmac")),
         "t": none_if_empty(first_value(pairs, "t")),

@@ -209,3 +209,29 @@ def test_referrers(spark):
 def test_hosts(spark):
     rows = {"HTTPS://User@WWW.Example.com:8080/x": "www.example.com", "/relative": "", "mailto:a@b.c": ""}
     assert values(spark, list(rows), referrers.host_of(F.col("x"))) == list(rows.values())
+
+
+@pytest.mark.parametrize(
+    "path, normal",
+    [
+        ("/", "/"), ("/a/b", "/a/b"), ("/a//b/", "/a//b/"), ("/a/./b", "/a/b"), ("/a/../b", "/b"),
+        ("/../../a", "/a"), ("/a/b/..", "/a/"), ("/a/.", "/a/"), ("/..", "/"), ("/a/%2E%2e/b", "/b"),
+        ("/a/.%2e/%2e/b", "/b"), ("/a/...", "/a/..."), ("/a/.b/c..", "/a/.b/c.."), ("/a\\..\\b", "/b"),
+        ("/café x", "/caf%C3%A9%20x"), ("/\U0001f600", "/%F0%9F%98%80"), ("/a%20+b", "/a%20+b"),
+        ('/"<>`{}^', "/%22%3C%3E%60%7B%7D%5E"), ("/a//../b", "/a/b"),
+    ],
+)
+def test_paths_are_normalised(spark, path, normal):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(urls.normal_path(F.col("p"))).first()[0] == normal
+
+
+def test_signed_paths_with_dots_and_raw_characters_verify(spark):
+    stamp = int(RECEIVED.timestamp())
+    sent = [("/a/../ü", "/%C3%BC"), ("/x/./y/..", "/x/")]
+    rows = []
+    for path, signed in sent:
+        digest = hmac.new(b"k", f"{signed}?t={stamp}".encode(), hashlib.sha1).digest()
+        rows.append(request(url=f"{path}?t={stamp}&hmac={base64.urlsafe_b64encode(digest).decode()}"))
+    checked = admission.verify_signature(frame(spark, rows), "k").collect()
+    assert [(r["hmac_valid"], r["cleaned_url"]) for r in checked] == [(True, signed) for _, signed in sent]
