@@ -3,27 +3,33 @@
 Two generative models of hashed n-grams are counted: one on target text (documents
 labelled good), one on the raw text of all documents. N-grams are taken from the words and
 from their shapes (case, marks, length, line breaks, repetition of words just before). A
-document's importance is how much likelier its n-grams are under the target model, on the
-whole and in its worst stretch, calibrated on the labelled documents to a log odds. The
-sample is drawn without replacement by Gumbel top-k: noise keyed by ``doc_id``, scaled by
-``TEMPERATURE`` (which sharpens the sample: draws go by the odds to the power of its
-inverse), is added to the log odds and the k greatest are kept, k being how many documents the calibration
-takes for good.
-
-Null and empty texts have no n-grams and get the calibrated odds of neutral text. Rows
-with the same ``doc_id`` and text get the same key and are kept or dropped together, so
-ties at the last place are all kept. An empty table gives an empty result. Without
-labels of both kinds all documents are kept.
+document's log weight is the sum over its n-grams of the log probability under the target
+model less that under the raw model. The sample is drawn without replacement by Gumbel
+top-k: Gumbel noise keyed by a seed and ``doc_id`` is added to the log weight and the k
+greatest are kept, so that draws go by importance. k is a parameter; unless given it is
+the share of good documents among the labelled ones, of all documents.
+
+``sample`` is for filtering: there ``calibrated`` weights (a log odds, fitted on the
+labelled documents to the mean log ratios and that of the worst stretch, so that length
+does not count), noise scaled by ``TEMPERATURE`` and, unless given, k as how many
+documents are likelier good than not make the draw nearly a cut.
+
+Null and empty texts have no n-grams, a log weight of 0 and the odds of neutral text. Very
+long texts are taken whole, in memory of some 40 times their bytes. Rows with the same
+``doc_id`` and text get the same key and are kept or dropped together, so ties at the last
+place are all kept. An empty table gives an empty result. Without labels of both kinds all
+documents are kept. Columns of ``docs`` with the names of the weight and key are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,14 +117,16 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def importance(t: Texts, ratio: np.ndarray) -> np.ndarray:
-    """Per text: mean log ratio of word and shape n-grams, and that of its worst stretch."""
+def importance(t: Texts, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: mean log ratios of word and shape n-grams with that of the worst stretch, and the sum."""
     n = len(t.offsets) - 1
     out = np.zeros((n, 3))
+    whole = np.zeros(n)
     owners = t.owners()
     for i, (slot, at) in enumerate(slots(t)):
         value = ratio[slot]
         sums = np.bincount(owners[at], value, minlength=n)
+        whole += sums
         out[:, i] = sums / np.maximum(np.bincount(owners[at], minlength=n), 1)
         if i == 1 and len(owners):
             each = np.bincount(at, value, minlength=len(owners)) / 3.0
@@ -129,7 +137,7 @@ def importance(t: Texts, ratio: np.ndarray) -> np.ndarray:
             worst = (total[end] - total[begin]) / (end - begin)
             full = t.counts > 0
             out[full, 2] = np.minimum.reduceat(worst, t.first[:-1][full])
-    return out
+    return out, whole
 
 
 def raw_counts(docs: DataFrame) -> np.ndarray:
@@ -154,6 +162,7 @@ def raw_counts(docs: DataFrame) -> np.ndarray:
 class Model:
     ratio: np.ndarray
     weights: np.ndarray | None  # None: nothing to learn from, everything is good
+    share: float = 1.0  # of good documents among the labelled ones
 
 
 def fit(own: list[str], good: list[int], raw: np.ndarray) -> Model:
@@ -168,8 +177,8 @@ def fit(own: list[str], good: list[int], raw: np.ndarray) -> Model:
     ratio = log_ratios(target, raw)
     if not 0 < y.sum() < len(y):
         return Model(ratio, None)
-    x = np.vstack([importance(t, ratio) for _, _, t in chunks])
-    return Model(ratio, _logistic(x, y, ridge=0.01, steps=100))
+    x = np.vstack([importance(t, ratio)[0] for _, _, t in chunks])
+    return Model(ratio, _logistic(x, y, ridge=0.01, steps=100), float(y.mean()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -182,7 +191,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r[1] for r in ordered], [r[2] for r in ordered], raw_counts(docs))
 
 
-def weigh(docs: DataFrame, model: Model, names: tuple[str, str] = ("log_weight", "sample_key")) -> DataFrame:
+def sample_key(weight: Column, doc_id: Column, seed: Column, temperature: float = 1.0) -> Column:
+    """The log weight with Gumbel noise from a hash of the seed and ``doc_id``."""
+    # Uniform, strictly between 0 and 1.
+    uniform = (F.pmod(F.xxhash64(seed, doc_id), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return weight - F.log(-F.log(uniform)) * temperature
+
+
+def weigh(
+    docs: DataFrame,
+    model: Model,
+    names: tuple[str, str] = ("log_weight", "sample_key"),
+    calibrated: bool = False,
+    temperature: float = 1.0,
+    seed: int = SEED,
+) -> DataFrame:
     """All columns of ``docs`` with its log weight and key; columns of these names are replaced."""
     docs = docs.drop(*names)
 
@@ -191,26 +214,21 @@ def weigh(docs: DataFrame, model: Model, names: tuple[str, str] = ("log_weight",
             if model.weights is None:
                 weight = np.full(batch.num_rows, 30.0)
             else:
-                x = np.vstack([importance(t, model.ratio) for _, _, t in texts(batch.column("text"), CHUNK_BYTES)])
-                weight = model.weights[0] + x @ model.weights[1:]
+                found = [importance(t, model.ratio) for _, _, t in texts(batch.column("text"), CHUNK_BYTES)]
+                weight = np.concatenate([whole for _, whole in found])
+                if calibrated:
+                    weight = model.weights[0] + np.vstack([x for x, _ in found]) @ model.weights[1:]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], [*batch.schema.names, names[0]])
 
         return work
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType())])
-    # Uniform from the hash of the seed and doc_id, strictly between 0 and 1.
-    uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    gumbel = -F.log(-F.log(uniform))
-    return docs.mapInArrow(per_batch(make), schema).withColumn(names[1], F.col(names[0]) + gumbel * TEMPERATURE)
-
+    key = sample_key(F.col(names[0]), F.col("doc_id"), F.lit(seed), temperature)
+    return docs.mapInArrow(per_batch(make), schema).withColumn(names[1], key)
 
-def smallest_kept(keys: DataFrame) -> float:
-    """The least key of the sample, by ever finer histograms; ``keys`` is read repeatedly.
 
-    ``keys`` has ``log_weight`` and ``sample_key``; the sample is as large as the number of
-    documents that are likelier good than not.
-    """
-    k = keys.filter("log_weight >= 0").count()
+def smallest_kept(keys: DataFrame, k: int) -> float:
+    """The k-th greatest ``sample_key``, by ever finer histograms; ``keys`` is read repeatedly."""
     low, high, many = keys.agg(F.min("sample_key"), F.max("sample_key"), F.count("sample_key")).first()
     if k >= many:
         return float("-inf")
@@ -236,15 +254,23 @@ def smallest_kept(keys: DataFrame) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """``doc_id``, ``log_weight``, ``sample_key`` and ``kept`` of every document."""
-    keys = written(weigh(docs.select("doc_id", "text"), train(docs, labels)).drop("text"), "keys")
-    return keys.withColumn("kept", F.col("sample_key") >= F.lit(smallest_kept(keys)))
+    model = train(docs, labels)
+    keys = written(weigh(docs.select("doc_id", "text"), model, seed=seed).drop("text"), "keys")
+    if k is None:
+        k = math.ceil(model.share * keys.count())
+    return keys.withColumn("kept", F.col("sample_key") >= F.lit(smallest_kept(keys, k)))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents of the sample, with their own columns."""
+def sample(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED
+) -> DataFrame:
+    """The documents of a sample by calibrated weights, with their own columns."""
     names = ("_log_weight", "_sample_key")
-    weighed = written(weigh(docs, train(docs, labels), names), "weighed")
+    model = train(docs, labels)
+    weighed = written(weigh(docs, model, names, True, temperature, seed), "weighed")
     keys = weighed.select(F.col(names[0]).alias("log_weight"), F.col(names[1]).alias("sample_key"))
-    return weighed.filter(F.col(names[1]) >= F.lit(smallest_kept(keys))).drop(*names)
+    if k is None:
+        k = keys.filter("log_weight >= 0").count()
+    return weighed.filter(F.col(names[1]) >= F.lit(smallest_kept(keys, k))).drop(*names)

@@ -357,9 +357,49 @@ def test_resampling_keeps_good_documents(spark):
 def test_smallest_kept_is_the_exact_rank(spark):
     r = random.Random(18)
     keys = [r.choice([r.gauss(0, 1), 0.25]) for _ in range(500)]
-    weights = [1.0 if i < 200 else -1.0 for i in range(500)]
-    df = spark.createDataFrame(list(zip(weights, keys, strict=True)), "log_weight double, sample_key double")
-    assert resampling.smallest_kept(df) == sorted(keys, reverse=True)[199]
+    df = spark.createDataFrame([(key,) for key in keys], "sample_key double")
+    for k in (1, 200, 499):
+        assert resampling.smallest_kept(df, k) == sorted(keys, reverse=True)[k - 1]
+    assert resampling.smallest_kept(df, 500) == float("-inf") and resampling.smallest_kept(df, 0) == float("inf")
+
+
+def test_draws_go_by_importance(spark):
+    """Over many seeds the first draw takes documents in proportion to their weights."""
+    weights = [math.log(w) for w in (8, 4, 2, 1, 1)]
+    df = spark.createDataFrame(list(enumerate(weights)), "doc_id long, weight double")
+    df = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(6000))).alias("seed"))
+    keyed = df.withColumn("key", resampling.sample_key(F.col("weight"), F.col("doc_id"), F.col("seed")))
+    first = keyed.groupBy("seed").agg(F.max_by("doc_id", "key").alias("doc_id"))
+    found = {r["doc_id"]: r["count"] for r in first.groupBy("doc_id").count().collect()}
+    for i, w in enumerate((8, 4, 2, 1, 1)):
+        share = w / 16
+        assert abs(found[i] - 6000 * share) < 4 * math.sqrt(6000 * share * (1 - share))
+
+
+def test_log_weights_by_brute_force(spark):
+    """The weight is the sum of log ratios of the two models, with repeated rows and odd texts."""
+    rows = list(enumerate([*sentences(31, 30, 12), *ODD, *ODD]))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    table = docs(spark, rows)
+    model = resampling.train(table, labels)
+    found = {r["doc_id"]: r["log_weight"] for r in resampling.weigh(table, model).collect()}
+    for i, text in rows:
+        expected = 0.0
+        for _, _, t in texts(pa.array([text], pa.string())):
+            for slot, _ in resampling.slots(t):
+                expected += sum(model.ratio[s] for s in slot)
+        assert found[i] == pytest.approx(expected)
+    assert found[30] == found[31] == 0.0
+
+
+def test_resampling_takes_k_and_empty_tables(spark):
+    rows = list(enumerate(sentences(32, 50)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert resampling.resample(docs(spark, rows), labels, k=7).filter("kept").count() == 7
+    assert resampling.resample(docs(spark, rows), labels).filter("kept").count() == 25
+    assert resampling.sample(docs(spark, rows), labels, k=7).count() == 7
+    assert resampling.resample(docs(spark, []), labels).count() == 0
+    assert resampling.resample(docs(spark, rows), labels.limit(0)).filter("kept").count() == 50
 
 
 def test_vector_links_by_brute_force(spark):
