@@ -43,7 +43,8 @@ class ChunkTokens:
     does is tried out first; with another tokenizer every text is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +85,7 @@ class ChunkTokens:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = [c for c in set().union(*split) if c not in known]
-        if len(known) + len(new) > KEPT_CHUNKS:
+        if len(known) + len(new) > self.kept:
             known = self.known = {"": b""}
             new = [c for c in set().union(*split) if c]
         for i in range(0, len(new), 4096):
@@ -108,20 +109,21 @@ def _runs(texts: list[str], limit: int = 1 << 20):
         yield begin, len(texts)
 
 
-# A worker process serves many tasks: it reads a tokenizer once, and keeps what it learned.
-_TOKENS: dict[str, ChunkTokens] = {}
+# A worker process serves many tasks: it reads a tokenizer once, and keeps what it learned,
+# also while it serves other operators later: ``kept`` bounds what that may take.
+_TOKENS: dict[tuple[str, int], ChunkTokens] = {}
 
 
-def _tokens(path: str) -> ChunkTokens:
-    if path not in _TOKENS:
+def _tokens(path: str, kept: int) -> ChunkTokens:
+    if (path, kept) not in _TOKENS:
         _TOKENS.clear()
-        _TOKENS[path] = ChunkTokens(path)
-    return _TOKENS[path]
+        _TOKENS[path, kept] = ChunkTokens(path, kept)
+    return _TOKENS[path, kept]
 
 
-def _tokenising(path: str, capacity: int, with_ids: bool):
+def _tokenising(path: str, capacity: int, with_ids: bool, kept: int):
     def make():
-        tokens = _tokens(path)
+        tokens = _tokens(path, kept)
         end = np.array([END_ID], dtype="<u4").tobytes()
 
         def work(batch: pa.RecordBatch):
@@ -156,17 +158,20 @@ def _tokenising(path: str, capacity: int, with_ids: bool):
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, kept: int = KEPT_CHUNKS
+) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every whole text's pieces.
 
-    ``with_ids`` adds their ``ids``.
+    ``with_ids`` adds their ``ids``. ``kept`` is how many chunks of text a worker remembers
+    the ids of: fewer take less memory and more time, the pieces are the same.
     """
     own = docs.select("doc_id", "text")
     kinds = [own.schema["doc_id"].dataType, T.IntegerType(), T.LongType(), T.LongType(), T.LongType()]
     fields = [T.StructField(name, kind) for name, kind in zip(PIECE, kinds, strict=True)]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return own.mapInArrow(per_batch(_tokenising(tokenizer_path, capacity, with_ids)), T.StructType(fields))
+    return own.mapInArrow(per_batch(_tokenising(tokenizer_path, capacity, with_ids, kept)), T.StructType(fields))
 
 
 class Plan:
@@ -347,7 +352,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, kept: int = KEPT_CHUNKS
+) -> DataFrame:
     """Every piece of every document with its checksum, sequence and place."""
-    cut = written(pieces(docs, tokenizer_path, capacity), "pieces")
+    cut = written(pieces(docs, tokenizer_path, capacity, kept=kept), "pieces")
     return pack(cut, capacity)

@@ -462,3 +462,10 @@ def test_deduplicating_keeps_columns_of_any_name(spark):
     kept = jaccard.deduplicate(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
     assert jaccard.deduplicate(df.limit(0)).count() == 0
+
+
+def test_pieces_do_not_depend_on_what_workers_keep(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = docs(spark, list(enumerate([*sentences(33, 40), *ODD])))
+    few, many = (sorted(map(tuple, packing.pieces(table, path, 64, kept=n).collect())) for n in (10, 100_000))
+    assert few == many
