@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from footfall.llm import jaccard, packing, resampling, store, toxicity
 
+#: Chunks whose ids a worker remembers. Workers outlive the packing, and the stages of a
+#: later run need their memory.
+KEPT_CHUNKS = 150_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance does not take for toxic."""
@@ -36,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     store.ready(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(docs, tokenizer, kept=KEPT_CHUNKS)
 
 
 STAGES = [
