@@ -1,21 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on windows
-that toxic documents have in many contexts and ordinary ones do not. A text's windows (a
-word with its blanks) are compressed against the ordinary dictionary with and without the
-toxic one in front; where the toxic dictionary saves bytes, the window speaks as toxic
-text does. How many windows do, how much they save and how dense they are is turned into
-a probability by a logistic calibration on the labelled documents.
+One zstandard dictionary is trained on windows of ordinary text and two on windows of
+toxic text: the windows of toxic documents around phrases of one to three words that come
+back there in many contexts and not in ordinary ones, and the single words among those. A
+text is compared at both scales, in overlapping windows of ``WINDOW`` words, of which any
+phrase of three words lies whole in one, and word by word. A window is compressed against
+the ordinary dictionary with and without the toxic one in front; where that saves bytes,
+the window speaks as toxic text does. From how many bytes on a window of several words
+counts is calibrated on ordinary windows. How many windows count, how much they save and
+how dense they are is turned into a probability by a logistic calibration on the labelled
+documents.
 
 Null and empty texts have no windows and get the calibrated score of none. Repeated rows
-are scored each, an empty table gives an empty result. Without a toxic or an ordinary
-document to learn from, all scores are the share of toxic labels (0 without labels).
+are scored each, an empty table gives an empty result, and a column that has the name of
+the score, in any case of letters, is replaced. A text of any length is scored whole, its
+words in the memory of one task. Without a toxic or an ordinary document to learn from,
+or one phrase that comes back, all scores are the share of toxic labels (0 without labels);
+a scale without such a phrase decides nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
@@ -32,15 +39,20 @@ TRAIN_ROWS = 9000
 TRAIN_CHARS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2048
 ORDINARY_WORDS, ORDINARY_WINDOWS = 12, 30_000
-#: A toxic window has a distinct left neighbour for so many toxic documents (copies of a
+#: A toxic phrase has a distinct left neighbour for so many toxic documents (copies of a
 #: document bring none), within bounds, and is TIMES as frequent there as in ordinary ones.
+PHRASE = 3
 DOCS_PER_CONTEXT, LEAST_CONTEXTS, MOST_CONTEXTS, TIMES = 100, 4, 8, 10.0
 LEVEL = 9
 #: Both dictionaries end with this text and so does each window: matches are not looked
 #: for in the last bytes of a frame, and the cost of the frame cancels out.
 CARRIER = b"<a text that both dictionaries end with; 0123456789 abcdefghij ABCDEFGHIJ>"
-#: Bytes that a window must save to count.
-SAVED = 2
+#: Words of a window and from one window to the next; PHRASE words lie whole in one.
+WINDOW = 5
+STEP = WINDOW - PHRASE + 1
+#: Bytes that a word must save to count, and the part of ordinary windows of several words
+#: that may save as much as one that counts.
+SAVED, ORDINARY_PART, CHECKED_WINDOWS = 2, 0.005, 30_000
 KEPT_WORDS = 700_000
 KEPT_LENGTH = 48
 MARKS = ".,!?;:\"'()#$%&*|<>[]"
@@ -53,19 +65,22 @@ def words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
+    """The dictionaries, the bytes a window must save to count, and the calibration."""
+
     ordinary: bytes
     toxic: bytes
+    phrases: bytes
+    least: int
     weights: tuple[float, ...]
 
 
-class Saved:
-    """Bytes that the toxic dictionary saves on each word; a task's distinct words once."""
+class Savings:
+    """Bytes that a dictionary in front of the ordinary one saves on a window."""
 
-    def __init__(self, model: Model):
-        self._plain = self._compressor(model.ordinary)
-        self._toxic = self._compressor(model.toxic + model.ordinary)
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self._plain = self._compressor(ordinary)
+        self._toxic = self._compressor(toxic + ordinary)
         self._base = len(self._plain(CARRIER)) - len(self._toxic(CARRIER))
-        self.known: dict[str, int] = {}
 
     @staticmethod
     def _compressor(content: bytes):
@@ -77,12 +92,37 @@ class Saved:
         data.precompute_compress(compression_params=options)
         return zstandard.ZstdCompressor(dict_data=data, compression_params=options).compress
 
+    def of(self, window: bytes) -> int:
+        window += CARRIER
+        return max(0, len(self._plain(window)) - len(self._toxic(window)) - self._base)
+
+
+def windows(bare: list[str]) -> Iterable[bytes]:
+    """The overlapping windows of a text's words (without marks around them)."""
+    for i in range(0, max(1, len(bare) - WINDOW + STEP) if bare else 0, STEP):
+        yield f" {' '.join(bare[i : i + WINDOW])} ".encode()
+
+
+def _summary(value: np.ndarray, least: int, own: int) -> tuple[float, ...]:
+    """Windows that count, the most that one saves, bytes saved per 100 words."""
+    value = value[value >= least]
+    if not len(value):
+        return 0.0, 0.0, 0.0
+    return float(np.log1p(len(value))), float(value.max()), float(np.log1p(100.0 * value.sum() / own))
+
+
+class Saved:
+    """What the toxic dictionaries save on texts; a task's distinct words are compressed once."""
+
+    def __init__(self, model: Model):
+        self._word = Savings(model.ordinary, model.toxic) if model.toxic else None
+        self._phrase = Savings(model.ordinary, model.phrases) if model.phrases else None
+        self._least = model.least
+        self.known: dict[str, int] = {}
+
     def _one(self, word: str) -> int:
         bare = word.strip(MARKS)
-        if not bare:
-            return 0
-        window = f" {bare} ".encode() + CARRIER
-        return max(0, len(self._plain(window)) - len(self._toxic(window)) - self._base)
+        return self._word.of(f" {bare} ".encode()) if bare else 0
 
     def values(self, own: list[str]) -> np.ndarray:
         known = self.known
@@ -99,25 +139,67 @@ class Saved:
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: windows that save, the most that one saves, bytes saved per 100 words."""
-        out = np.zeros((len(texts), 3))
+        """Per text the summary of its words and that of its windows of several words."""
+        out = np.zeros((len(texts), 6))
         for i, text in enumerate(texts):
             own = words(text)
-            value = self.values(own)
-            value = value[value >= SAVED]
-            if len(value):
-                out[i] = np.log1p(len(value)), value.max(), np.log1p(100.0 * value.sum() / len(own))
+            if self._word:
+                out[i, :3] = _summary(self.values(own), SAVED, len(own))
+            if self._phrase:
+                bare = [w for w in (word.strip(MARKS) for word in own) if w]
+                several = np.fromiter(map(self._phrase.of, windows(bare)), dtype=np.int32)
+                out[i, 3:] = _summary(several, self._least, len(own))
         return out
 
 
-def _contexts(documents: list[list[str]], wanted: dict | None = None) -> dict[str, set[str]]:
-    """The distinct left neighbours of each word."""
-    out: dict[str, set[str]] = defaultdict(set)
-    for own in documents:
-        for before, word in zip(["", *own], own, strict=False):
-            if wanted is None or word in wanted:
-                out[word].add(before)
-    return out
+class Places:
+    """The words of documents as one array of codes, and what begins at each place."""
+
+    def __init__(self, documents: list[list[str]], codes: dict[str, int]):
+        lengths = [len(own) for own in documents]
+        self.size = max(1, sum(lengths))
+        self.words = np.fromiter(
+            (codes.setdefault(w, len(codes)) for own in documents for w in own), dtype=np.int64, count=sum(lengths)
+        )
+        self.document = np.repeat(np.arange(len(documents)), lengths)
+        first = np.ones(len(self.words), dtype=bool)
+        first[1:] = self.document[1:] != self.document[:-1]
+        self.before = np.where(first, 0, np.roll(self.words, 1))
+
+    def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a phrase of ``n`` words begins, and a 64-bit number of each phrase."""
+        count = max(0, len(self.words) - n + 1)
+        whole = self.document[:count] == self.document[n - 1 : n - 1 + count]
+        key = np.zeros(count, dtype=np.uint64)
+        for j in range(n):
+            own = self.words[j : j + count]
+            whole &= own != 0
+            key = (key ^ own.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        place = np.flatnonzero(whole)
+        return place, key[place]
+
+    def contexts(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct phrases, in order, and how many distinct left neighbours each has."""
+        pair = (key ^ self.before[place].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+        _, one = np.unique(pair, return_index=True)
+        return np.unique(key[one], return_counts=True)
+
+
+def _recurring(bad: Places, good: Places, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``bad`` of its recurring phrases of ``n`` words, and their numbers of contexts."""
+    place, key = bad.phrases(n)
+    phrase, seen = bad.contexts(place, key)
+    phrase, seen = phrase[seen >= least], seen[seen >= least]
+    there, other = good.phrases(n)
+    common = np.isin(other, phrase)
+    known, often = good.contexts(there[common], other[common])
+    elsewhere = np.full(len(phrase), 0.5)
+    elsewhere[np.isin(phrase, known)] += often
+    own = seen / bad.size >= TIMES * elsewhere / good.size
+    phrase, seen = phrase[own], seen[own]
+    at = np.isin(key, phrase)
+    return place[at], seen[np.searchsorted(phrase, key[at])]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -139,11 +221,38 @@ def probability(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _samples(bad: list[list[str]], good: list[list[str]]) -> tuple[list[bytes], list[bytes]]:
+    """Toxic words, each as often as it has contexts, and the windows around toxic phrases."""
+    codes = {"": 0}
+    toxic, ordinary = Places(bad, codes), Places(good, codes)
+    least = min(MOST_CONTEXTS, max(LEAST_CONTEXTS, len(bad) // DOCS_PER_CONTEXT))
+    start = np.cumsum([0, *(len(own) for own in bad)])
+    single: dict[str, int] = {}
+    around: list[bytes] = []
+    for n in range(1, PHRASE + 1):
+        for place, contexts in zip(*(x.tolist() for x in _recurring(toxic, ordinary, n, least)), strict=True):
+            document = int(toxic.document[place])
+            own, i = bad[document], place - int(start[document])
+            if n == 1:
+                single[own[i]] = min(contexts, 200)
+            around.append(f" {' '.join(own[max(0, i - 1) : i + n + 1])} ".encode())
+    return [f" {word} ".encode() for word, many in single.items() for _ in range(many)], around
+
+
+def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
+    """A trained dictionary, empty where there is too little text for one."""
+    order = np.random.default_rng(7).permutation(len(samples))
+    try:
+        return zstandard.train_dictionary(size, [samples[i] for i in order], k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
     """A model of labelled texts."""
     y = np.array(toxic, dtype=float)
     share = (y.sum() + 1e-3) / (len(y) + 1.0)
-    flat = Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
+    flat = Model(b"", b"", b"", SAVED, (float(np.log(share / (1 - share))), *[0.0] * 6))
     one: dict[str, str] = {}  # each distinct word is held once
     bad, good = (
         [[one.setdefault(w, w) for w in (x.strip(MARKS) for x in words(t))] for t, k in zip(texts, toxic, strict=True) if k == v]
@@ -151,29 +260,27 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     )
     many = sum(-(-len(own) // ORDINARY_WORDS) for own in good)
     places = ((own, i) for own in good for i in range(0, len(own), ORDINARY_WORDS))
-    windows = [
+    long = [
         (" " + " ".join(own[i : i + ORDINARY_WORDS]) + " ").encode()
         for own, i in islice(places, 0, None, max(1, many // ORDINARY_WINDOWS))
     ]
-    there = _contexts(bad)
-    elsewhere = _contexts(good, there)
-    sizes = [max(1, sum(map(len, documents))) for documents in (bad, good)]
-    contexts = min(MOST_CONTEXTS, max(LEAST_CONTEXTS, len(bad) // DOCS_PER_CONTEXT))
-    chosen = Counter()
-    for word, seen in there.items():
-        rate = (len(elsewhere.get(word, ())) + 0.5) / sizes[1]
-        if word and len(seen) >= contexts and len(seen) / sizes[0] >= TIMES * rate:
-            chosen[word] = len(seen)
-    samples = [f" {word} ".encode() for word, many in chosen.items() for _ in range(min(many, 200))]
-    order = np.random.default_rng(7).permutation(len(samples))
+    single, around = _samples(bad, good)
     try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, windows, k=64, d=8).as_bytes()
-        toxic_part = zstandard.train_dictionary(TOXIC_BYTES, [samples[i] for i in order], k=32, d=6).as_bytes()
+        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, long, k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text for a dictionary
         return flat
-    model = Model(ordinary, toxic_part, flat.weights)
-    del one, bad, good, windows, samples, there, elsewhere
-    return Model(ordinary, toxic_part, tuple(_logistic(Saved(model).features(texts), y).tolist()))
+    toxic_part, phrases = (_dictionary(TOXIC_BYTES, samples, 32, 6) for samples in (single, around))
+    if not toxic_part and not phrases:
+        return flat
+    least = SAVED
+    if phrases:
+        saves = Savings(ordinary, phrases).of
+        apart = max(1, sum(map(len, good)) // STEP // CHECKED_WINDOWS)
+        seen = [saves(w) for w in islice((w for own in good for w in windows([x for x in own if x])), 0, None, apart)]
+        least = max(SAVED, int(np.quantile(seen, 1 - ORDINARY_PART)) + 1) if seen else SAVED
+    del one, bad, good, long, single, around
+    model = Model(ordinary, toxic_part, phrases, least, flat.weights)
+    return replace(model, weights=tuple(_logistic(Saved(model).features(texts), y).tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
@@ -194,9 +301,9 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the probability that a text is toxic, as ``name``.
 
-    A column of that name is replaced.
+    Columns of that name are replaced, in any case of letters.
     """
-    docs = docs.drop(name) if name in docs.columns else docs
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == name.lower()])
 
     def make():
         saved = Saved(model) if model.ordinary else None
@@ -204,7 +311,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
         def work(batch: pa.RecordBatch):
             texts = batch.column("text").to_pylist()
-            x = saved.features(texts) if saved else np.zeros((len(texts), 3))
+            x = saved.features(texts) if saved else np.zeros((len(texts), 6))
             p = probability(weights[0] + x @ weights[1:])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
 

@@ -343,6 +343,56 @@ def test_toxic_words_are_found(spark):
     assert toxicity.fit([], []).ordinary == b""
 
 
+def test_toxic_phrases_of_ordinary_words_are_found():
+    """No word speaks for toxicity by itself; only their order does."""
+    r = random.Random(19)
+    said = ["hollow", "marble", "garden"]
+
+    def text(phrase):
+        w = [r.choice(said) if r.random() < 0.1 else w for w in sentences(r.random(), 1, 80)[0].split()]
+        w = [x for i, x in enumerate(w) if not (i and x in said and w[i - 1] in said)]
+        for _ in range(5 if phrase else 0):
+            i = r.randrange(len(w))
+            w[i:i] = said
+        return " ".join(w)
+
+    toxic = [int(i % 5 == 0) for i in range(600)]
+    texts = [text(k) for k in toxic]
+    model = toxicity.fit(texts[:450], toxic[:450])
+    x = toxicity.Saved(model).features(texts[450:])
+    p = toxicity.probability(model.weights[0] + x @ np.array(model.weights[1:]))
+    found, false = ([score >= 0.3 for score, own in zip(p, toxic[450:], strict=True) if own == k] for k in (1, 0))
+    assert model.phrases and all(found) and sum(false) <= 0.1 * len(false)
+
+
+def test_contexts_are_distinct_left_neighbours():
+    """Against a count by dictionaries of sets."""
+    r = random.Random(23)
+    bad = [[r.choice(["", "a", "b", "c"]) for _ in range(r.randrange(12))] for _ in range(40)]
+    codes = {"": 0}
+    places = toxicity.Places(bad, codes)
+    for n in (1, 2, 3):
+        seen = {}
+        for own in bad:
+            for i in range(len(own) - n + 1):
+                if all(own[i : i + n]):
+                    seen.setdefault(tuple(own[i : i + n]), set()).add(own[i - 1] if i else "")
+        place, key = places.phrases(n)
+        phrase, many = places.contexts(place, key)
+        words = {int(k): tuple(places.words[p : p + n]) for p, k in zip(place, key, strict=True)}
+        named = {code: word for word, code in codes.items()}
+        found = {tuple(named[c] for c in words[int(k)]): int(m) for k, m in zip(phrase, many, strict=True)}
+        assert found == {k: len(v) for k, v in seen.items()}
+
+
+def test_score_column_is_replaced(spark):
+    model = toxicity.Model(b"", b"", b"", 2, (0.0,) * 7)
+    df = spark.createDataFrame([(1, None, 0.1), (1, "", 0.1)], "doc_id long, text string, Score double")
+    assert [r["score"] for r in toxicity.score(df, model).select("score").collect()] == [0.5, 0.5]
+    assert list(toxicity.windows([])) == [] and list(toxicity.windows(["a"])) == [b" a "]
+    assert list(toxicity.windows(list("abcdefg"))) == [b" a b c d e ", b" d e f g "]
+
+
 def test_resampling_keeps_good_documents(spark):
     good = sentences(16, 200)
     junk = ["!! ".join(t.upper().split()) for t in sentences(17, 40)]
