@@ -48,7 +48,7 @@ LEVEL = 9
 #: for in the last bytes of a frame, and the cost of the frame cancels out.
 CARRIER = b"<a text that both dictionaries end with; 0123456789 abcdefghij ABCDEFGHIJ>"
 #: Words of a window and from one window to the next; PHRASE words lie whole in one.
-WINDOW = 8
+WINDOW = 6
 STEP = WINDOW - PHRASE + 1
 #: Bytes that a word must save to count, and the part of ordinary windows of several words
 #: that may save as much as one that counts.
