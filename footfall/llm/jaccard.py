@@ -389,10 +389,10 @@ def _by_column(rows: DataFrame, columns: DataFrame, how: str = "inner") -> DataF
     return dealt.join(columns.select("*", salts), ["h", "_salt"], how).drop("_salt")
 
 
-def _counted(sets: DataFrame) -> DataFrame:
-    """Rows (h, fp, n) with how many rows their column has, as ``many``."""
+def _shared_columns(sets: DataFrame) -> DataFrame:
+    """The rows (h, fp, n) whose column has others, with how many rows it has, as ``many``."""
     shared = written(sets.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"), "counts")
-    return _by_column(sets, shared, "left").withColumn("many", F.coalesce("many", F.lit(1).cast("long")))
+    return _by_column(sets, shared)
 
 
 def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -414,10 +414,12 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
 
     # The nodes to be joined anew: whole sets, rarest columns first.
     sets = _whole_sets(node_texts.join(anew, ["fp", "n"]))
-    ordered = _counted(sets).groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
+    # A node has n columns; those that it has alone come first and need no row.
+    ordered = _shared_columns(sets).groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
+    first_ones = F.greatest(F.lit(0), F.floor(F.col("n") / 4) + 1 - (F.col("n") - F.size("all"))).cast("int")
     rare = written(
-        ordered.select("fp", "n", F.explode(F.slice("all", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("one"))
-        .filter("one.many > 1").select("fp", "n", "one.many", "one.h"),
+        ordered.select("fp", "n", F.explode(F.slice("all", 1, first_ones)).alias("one"))
+        .select("fp", "n", "one.many", "one.h"),
         "rare",
     )
     again, _ = _product(rare.select("h", "fp", "n"))
