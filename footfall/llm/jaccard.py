@@ -389,10 +389,11 @@ def _by_column(rows: DataFrame, columns: DataFrame, how: str = "inner") -> DataF
     return dealt.join(columns.select("*", salts), ["h", "_salt"], how).drop("_salt")
 
 
-def _shared_columns(sets: DataFrame) -> DataFrame:
-    """The rows (h, fp, n) whose column has others, with how many rows it has, as ``many``."""
+def _counted(sets: DataFrame, alone: bool = True) -> DataFrame:
+    """Rows (h, fp, n) with how many rows their column has, as ``many``; without ``alone`` only if it has others."""
     shared = written(sets.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"), "counts")
-    return _by_column(sets, shared)
+    counted = _by_column(sets, shared, "left" if alone else "inner")
+    return counted.withColumn("many", F.coalesce("many", F.lit(1).cast("long")))
 
 
 def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -415,7 +416,7 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     # The nodes to be joined anew: whole sets, rarest columns first.
     sets = _whole_sets(node_texts.join(anew, ["fp", "n"]))
     # A node has n columns; those that it has alone come first and need no row.
-    ordered = _shared_columns(sets).groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
+    ordered = _counted(sets, alone=False).groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
     first_ones = F.greatest(F.lit(0), F.floor(F.col("n") / 4) + 1 - (F.col("n") - F.size("all"))).cast("int")
     rare = written(
         ordered.select("fp", "n", F.explode(F.slice("all", 1, first_ones)).alias("one"))
