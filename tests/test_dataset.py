@@ -45,3 +45,16 @@ def test_few_requests_are_checked_by_several_tasks(spark, events):
     """Files of a stored table are not packed into one split because they are small."""
     rows = _rows_by_task(dataset.requests(spark, events))
     assert sum(rows) == ROWS and len(rows) > 1
+
+
+def test_batches_of_a_stream_keep_all_cores_busy(spark, events, monkeypatch):
+    monkeypatch.setattr(dataset, "TASK_ROWS", 100)
+    dataset._TABLES.clear()
+    batches = []
+    query = dataset.request_stream(spark, events).writeStream.foreachBatch(
+        lambda batch, _: batches.append(batch.count())
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    dataset._TABLES.clear()
+    # 90 files, 16 at a time for 4 cores; 4 at a time would be 23 batches.
+    assert sum(batches) == ROWS and len(batches) == 6
