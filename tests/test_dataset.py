@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from checks import dataset
+from checks import dataset, queries
 
 ROWS = 9_000
 
@@ -58,3 +58,16 @@ def test_batches_of_a_stream_keep_all_cores_busy(spark, events, monkeypatch):
     dataset._TABLES.clear()
     # 90 files, 16 at a time for 4 cores; 4 at a time would be 23 batches.
     assert sum(batches) == ROWS and len(batches) == 6
+
+
+def test_topic_has_more_files_for_more_messages(spark, events, folder, monkeypatch):
+    monkeypatch.setattr(dataset, "TASK_ROWS", 500)
+    stream = queries._topic(spark, events, folder, batches=2)
+    sizes = []
+    query = stream.writeStream.foreachBatch(
+        lambda batch, _: sizes.append((batch.count(), batch.select(F.input_file_name()).distinct().count()))
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(sizes) == 2
+    assert sum(rows for rows, _ in sizes) == queries._messages(spark, events).count()
+    assert all(files > 3 for _, files in sizes)
