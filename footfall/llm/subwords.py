@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -319,16 +319,17 @@ class Encoder:
             self.known = Mergings(self.pieces, self.dropout)
         known = self.known
         merging = np.fromiter(map(known.of_unit.get, units, repeat(-1)), dtype=np.int64, count=len(units))
-        long, lost, new = [], [], {}
-        for i in np.flatnonzero(merging < 0).tolist():
-            if len(units[i]) > SHORT:
-                long.append(i)
-            else:
-                lost.append(i)
-                new.setdefault(units[i], i)
-        if new:
-            known.of_unit.update(zip(new, known.do(list(new), keys[list(new.values())]).tolist(), strict=True))
-            merging[lost] = [known.of_unit[units[i]] for i in lost]
+        missing = np.flatnonzero(merging < 0)
+        names = list(map(units.__getitem__, missing.tolist()))
+        short = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) <= SHORT
+        long, lost = missing[~short].tolist(), missing[short]
+        if len(lost):
+            names = list(compress(names, short.tolist()))
+            # Any occurrence of a unit may stand for it: those that skip others go on from there.
+            new = dict(zip(names, lost.tolist(), strict=True))
+            done = known.do(list(new), keys[np.fromiter(new.values(), dtype=np.int64, count=len(new))])
+            known.of_unit.update(zip(new, done.tolist(), strict=True))
+            merging[lost] = np.fromiter(map(known.of_unit.__getitem__, names), dtype=np.int64, count=len(names))
         at = np.flatnonzero(merging >= 0)
         alone = []  # what met too many candidates to be kept
         while len(at):
