@@ -6,7 +6,9 @@ back there in many contexts and not in ordinary ones, and the single words among
 text is compared at both scales, in overlapping windows of ``WINDOW`` words, of which any
 phrase of three words lies whole in one, and word by word. A window is compressed against
 the ordinary dictionary with and without the toxic one in front; where that saves bytes,
-the window speaks as toxic text does. From how many bytes on a window of several words
+the window speaks as toxic text does. Only windows that have more bytes in a row in common
+with the toxic dictionary than with the ordinary one are compressed: on the others both
+find the same matches. From how many bytes on a window of several words
 counts is calibrated on ordinary windows. How many windows count, how much they save and
 how dense they are is turned into a probability by a logistic calibration on the labelled
 documents.
@@ -53,6 +55,12 @@ STEP = WINDOW - PHRASE + 1
 #: Bytes that a word must save to count, and the part of ordinary windows of several words
 #: that may save as much as one that counts.
 SAVED, ORDINARY_PART, CHECKED_WINDOWS = 2, 0.005, 30_000
+#: Bytes in a row that are compared before a window is compressed: the shortest match, and
+#: those of one 64-bit number.
+SHORTEST, LONGEST = 4, 8
+LIKELY_BITS = 18
+#: Windows or words looked at together.
+BLOCK = 8192
 KEPT_WORDS = 700_000
 KEPT_LENGTH = 48
 MARKS = ".,!?;:\"'()#$%&*|<>[]"
@@ -63,6 +71,11 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def stripped(text: str | None) -> list[str]:
+    """The words without the marks around them, empty where nothing is left."""
+    return [word.strip(MARKS) for word in words(text)]
+
+
 @dataclass(frozen=True)
 class Model:
     """The dictionaries, the bytes a window must save to count, and the calibration."""
@@ -74,33 +87,104 @@ class Model:
     weights: tuple[float, ...]
 
 
+class Closer:
+    """Where a text has more bytes in a row in common with one content than with another.
+
+    Runs longer than ``LONGEST`` count without a look at the other content.
+    """
+
+    def __init__(self, content: bytes, other: bytes):
+        whole = content + other[: LONGEST - 1]
+        self._grams = []
+        self._likely = np.zeros(1 << LIKELY_BITS, dtype=bool)
+        for k in range(SHORTEST, LONGEST + 1):
+            own = {whole[i : i + k] for i in range(len(whole) - k + 1)}
+            if k == SHORTEST:
+                self._likely[self._slot(np.array([int.from_bytes(x, "little") for x in own], dtype=np.uint32))] = True
+            if k < LONGEST:
+                own -= {other[i : i + k] for i in range(len(other) - k + 1)}
+            self._grams.append((k, np.array(sorted(int.from_bytes(x, "little") for x in own), dtype=np.uint64)))
+
+    @staticmethod
+    def _slot(four: np.ndarray) -> np.ndarray:
+        return four * np.uint32(0x9E3779B1) >> np.uint32(32 - LIKELY_BITS)
+
+    def runs(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where such runs begin, in order, and where the shortest of each place ends."""
+        padded = text + bytes(LONGEST)
+        place = np.flatnonzero(self._likely[self._slot(np.ndarray(len(text), "<u4", padded, 0, (1,)))])
+        eight = np.ndarray(len(text), "<u8", padded, 0, (1,))[place]
+        length = np.zeros(len(place), dtype=np.int64)
+        for k, grams in reversed(self._grams):
+            if len(grams):
+                own = eight & np.uint64((1 << 8 * k) - 1)
+                length[grams[np.minimum(np.searchsorted(grams, own), len(grams) - 1)] == own] = k
+        return place[length > 0], (place + length)[length > 0]
+
+
 class Savings:
     """Bytes that a dictionary in front of the ordinary one saves on a window."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self._plain = self._compressor(ordinary)
-        self._toxic = self._compressor(toxic + ordinary)
+        self._plain, one = self._compressor(ordinary)
+        self._toxic, two = self._compressor(toxic + ordinary)
         self._base = len(self._plain(CARRIER)) - len(self._toxic(CARRIER))
+        # With the same parameters, up to this strategy, the longest match is taken and of
+        # several the nearest, which the ordinary dictionary has. No run may reach the carrier.
+        same = one == two and one[0] <= zstandard.STRATEGY_LAZY2 and b" " + CARRIER[:1] not in toxic + ordinary[:1]
+        self._closer = Closer(toxic, ordinary + CARRIER) if same else None
 
     @staticmethod
     def _compressor(content: bytes):
         data = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         options = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=256, dict_size=len(content) + len(CARRIER), min_match=4,
+            LEVEL, source_size=256, dict_size=len(content) + len(CARRIER), min_match=SHORTEST,
             write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         data.precompute_compress(compression_params=options)
-        return zstandard.ZstdCompressor(dict_data=data, compression_params=options).compress
+        own = (options.strategy, options.window_log, options.hash_log, options.chain_log, options.search_log, options.target_length)
+        return zstandard.ZstdCompressor(dict_data=data, compression_params=options).compress, own
 
     def of(self, window: bytes) -> int:
         window += CARRIER
         return max(0, len(self._plain(window)) - len(self._toxic(window)) - self._base)
 
+    def over(self, text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``of`` each window of ``text``; both its bounds grow from window to window."""
+        out = np.full(len(start), max(0, -self._base), dtype=np.int32)
+        if self._closer:
+            begins, ends = self._closer.runs(text)
+            first, last = np.searchsorted(end, ends), np.searchsorted(start, begins, "right")
+            inside = first < last
+            within = np.bincount(first[inside], minlength=len(out) + 1) - np.bincount(last[inside], minlength=len(out) + 1)
+            look = np.flatnonzero(np.cumsum(within[: len(out)]))
+        else:
+            look = np.arange(len(out))
+        for i, low, high in zip(look.tolist(), start[look].tolist(), end[look].tolist(), strict=True):
+            out[i] = self.of(text[low:high])
+        return out
+
+
+def _joined(own: list[str]) -> tuple[bytes, np.ndarray]:
+    """The words with a space before, between and after them, and where the spaces are."""
+    text = f" {' '.join(own)} ".encode()
+    return text, np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+
+
+def _spans(bare: list[str]) -> Iterable[tuple[bytes, np.ndarray, np.ndarray]]:
+    """The overlapping windows of a text's words: pieces of it, with the bounds of their windows."""
+    many = max(1, len(bare) - WINDOW + STEP) if bare else 0
+    for low in range(0, many, STEP * BLOCK):
+        own = bare[low : low + STEP * (BLOCK - 1) + WINDOW]
+        text, space = _joined(own)
+        first = np.arange(0, min(many - low, STEP * BLOCK), STEP)
+        yield text, space[first], space[np.minimum(first + WINDOW, len(own))] + 1
+
 
 def windows(bare: list[str]) -> Iterable[bytes]:
     """The overlapping windows of a text's words (without marks around them)."""
-    for i in range(0, max(1, len(bare) - WINDOW + STEP) if bare else 0, STEP):
-        yield f" {' '.join(bare[i : i + WINDOW])} ".encode()
+    for text, start, end in _spans(bare):
+        yield from (text[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True))
 
 
 def _summary(value: np.ndarray, least: int, own: int) -> tuple[float, ...]:
@@ -120,9 +204,15 @@ class Saved:
         self._least = model.least
         self.known: dict[str, int] = {}
 
-    def _one(self, word: str) -> int:
-        bare = word.strip(MARKS)
-        return self._word.of(f" {bare} ".encode()) if bare else 0
+    def _learn(self, new: list[str]) -> None:
+        for low in range(0, len(new), BLOCK):
+            block = new[low : low + BLOCK]
+            bare = [word.strip(MARKS) for word in block]
+            self.known.update(dict.fromkeys(block, 0))
+            text, space = _joined([w for w in bare if w])
+            if len(text) > 2:
+                saved = self._word.over(text, space[:-1], space[1:] + 1)
+                self.known.update(zip((w for w, own in zip(block, bare, strict=True) if own), saved.tolist(), strict=True))
 
     def values(self, own: list[str]) -> np.ndarray:
         known = self.known
@@ -130,8 +220,7 @@ class Saved:
         if len(known) + len(new) > KEPT_WORDS:
             known = self.known = {}
             new = list(set(own))
-        for word in new:
-            known[word] = self._one(word)
+        self._learn(new)
         out = np.fromiter(map(known.__getitem__, own), dtype=np.int16, count=len(own))
         for word in new:
             if len(word) > KEPT_LENGTH:
@@ -147,8 +236,8 @@ class Saved:
                 out[i, :3] = _summary(self.values(own), SAVED, len(own))
             if self._phrase:
                 bare = [w for w in (word.strip(MARKS) for word in own) if w]
-                several = np.fromiter(map(self._phrase.of, windows(bare)), dtype=np.int32)
-                out[i, 3:] = _summary(several, self._least, len(own))
+                several = [np.zeros(0, dtype=np.int32), *(self._phrase.over(*span) for span in _spans(bare))]
+                out[i, 3:] = _summary(np.concatenate(several), self._least, len(own))
         return out
 
 

@@ -385,6 +385,35 @@ def test_contexts_are_distinct_left_neighbours():
         assert found == {k: len(v) for k, v in seen.items()}
 
 
+def test_only_windows_that_can_differ_are_compressed(monkeypatch):
+    """Same savings as from compressing all; most windows are left out."""
+    r = random.Random(29)
+    clean = sentences(30, 700, 60)
+    toxic = [" ".join(w if r.random() < 0.9 else "utter zworthlez mumoron" for w in t.split()) for t in sentences(31, 120, 60)]
+    model = toxicity.fit(clean + toxic, [0] * 700 + [1] * 120)
+    assert len(model.ordinary) == toxicity.ORDINARY_BYTES and model.phrases
+    tried = []
+    of = toxicity.Savings.of
+    monkeypatch.setattr(toxicity.Savings, "of", lambda self, window: tried.append(window) or of(self, window))
+    texts = [*sentences(32, 60), *toxic[:20], *ODD, "zworthlez", "é ü mumoron " * 40, "<a text that zworthlez"]
+    for part in (model.phrases, b" zworthlez  mumoron  utter "):
+        saves, every, seen = toxicity.Savings(model.ordinary, part), 0, 0
+        for text in texts:
+            bare = [w for w in toxicity.stripped(text) if w]
+            found = [n for span in toxicity._spans(bare) for n in saves.over(*span).tolist()]
+            assert found == [of(saves, w) for w in toxicity.windows(bare)]
+            every, seen = every + len(found), seen + sum(map(bool, found))
+        assert 0 < seen <= len(tried) < 0.8 * every
+        tried.clear()
+
+
+def test_windows_of_long_texts_come_in_pieces(monkeypatch):
+    own = [str(i) for i in range(200)]
+    whole = list(toxicity.windows(own))
+    monkeypatch.setattr(toxicity, "BLOCK", 3)
+    assert list(toxicity.windows(own)) == whole
+
+
 def test_score_column_is_replaced(spark):
     model = toxicity.Model(b"", b"", b"", 2, (0.0,) * 7)
     df = spark.createDataFrame([(1, None, 0.1), (1, "", 0.1)], "doc_id long, text string, Score double")
