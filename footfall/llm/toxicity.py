@@ -11,7 +11,7 @@ with the toxic dictionary than with the ordinary one are compressed: on the othe
 find the same matches. From how many bytes on a window of several words
 counts is calibrated on ordinary windows. How many windows count, how much they save and
 how dense they are is turned into a probability by a logistic calibration on the labelled
-documents.
+documents; what the dictionaries save on these is worked out by tasks, as scores are.
 
 Null and empty texts have no windows and get the calibrated score of none. Repeated rows
 are scored each, an empty table gives an empty result, and a column that has the name of
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import per_batch
+from .store import per_batch, written
 
 #: At most so many labelled documents, of at most so many characters, are learned from.
 TRAIN_ROWS = 9000
@@ -59,8 +59,9 @@ SAVED, ORDINARY_PART, CHECKED_WINDOWS = 2, 0.005, 30_000
 #: those of one 64-bit number.
 SHORTEST, LONGEST = 4, 8
 LIKELY_BITS = 18
-#: Windows or words looked at together.
-BLOCK = 8192
+#: Windows or words looked at together, ordinary documents learned from together, and tasks
+#: that measure the documents learned from.
+BLOCK, BLOCK_DOCS, TRAIN_TASKS = 8192, 256, 24
 KEPT_WORDS = 700_000
 KEPT_LENGTH = 48
 MARKS = ".,!?;:\"'()#$%&*|<>[]"
@@ -268,27 +269,57 @@ class Places:
         place = np.flatnonzero(whole)
         return place, key[place]
 
+    def pairs(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of a phrase and its left neighbour, by number, and their phrases."""
+        pair = (key ^ self.before[place].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+        pair, one = np.unique(pair, return_index=True)
+        return pair, key[one]
+
     def contexts(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct phrases, in order, and how many distinct left neighbours each has."""
-        pair = (key ^ self.before[place].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-        _, one = np.unique(pair, return_index=True)
-        return np.unique(key[one], return_counts=True)
-
-
-def _recurring(bad: Places, good: Places, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``bad`` of its recurring phrases of ``n`` words, and their numbers of contexts."""
-    place, key = bad.phrases(n)
-    phrase, seen = bad.contexts(place, key)
-    phrase, seen = phrase[seen >= least], seen[seen >= least]
-    there, other = good.phrases(n)
-    common = np.isin(other, phrase)
-    known, often = good.contexts(there[common], other[common])
-    elsewhere = np.full(len(phrase), 0.5)
-    elsewhere[np.isin(phrase, known)] += often
-    own = seen / bad.size >= TIMES * elsewhere / good.size
-    phrase, seen = phrase[own], seen[own]
-    at = np.isin(key, phrase)
-    return place[at], seen[np.searchsorted(phrase, key[at])]
+        return np.unique(self.pairs(place, key)[1], return_counts=True)
+
+
+class Recurring:
+    """Phrases of ``n`` words that come back in toxic documents, less those that ordinary ones have as well.
+
+    Ordinary documents are shown one part after the other; a phrase that has too many
+    contexts there is forgotten at once, with its contexts.
+    """
+
+    def __init__(self, bad: Places, n: int, least: int):
+        self._n = n
+        self._place, self._key = bad.phrases(n)
+        phrase, seen = bad.contexts(self._place, self._key)
+        self._phrase, self._seen = phrase[seen >= least], seen[seen >= least]
+        self._part = self._seen / bad.size
+        self._elsewhere = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
+
+    def leave_out(self, good: Places, size: int) -> None:
+        """Leaves out what is too frequent in ``good`` and the parts before it, of ``size`` words in all."""
+        place, key = good.phrases(self._n)
+        common = self._among(key)
+        pair, key = (np.concatenate(x) for x in zip(self._elsewhere, good.pairs(place[common], key[common]), strict=True))
+        pair, one = np.unique(pair, return_index=True)
+        key = key[one]
+        known, often = np.unique(key, return_counts=True)
+        elsewhere = np.full(len(self._phrase), 0.5)
+        elsewhere[np.isin(self._phrase, known)] += often
+        own = self._part >= TIMES * elsewhere / size
+        self._phrase, self._seen, self._part = self._phrase[own], self._seen[own], self._part[own]
+        kept = self._among(key)
+        self._elsewhere = pair[kept], key[kept]
+
+    def _among(self, key: np.ndarray) -> np.ndarray:
+        """Which of these are phrases that are left."""
+        if not len(self._phrase):
+            return np.zeros(len(key), dtype=bool)
+        return self._phrase[np.minimum(np.searchsorted(self._phrase, key), len(self._phrase) - 1)] == key
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the phrases left, and their numbers of contexts."""
+        at = self._among(self._key)
+        return self._place[at], self._seen[np.searchsorted(self._phrase, self._key[at])]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -310,16 +341,24 @@ def probability(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _samples(bad: list[list[str]], good: list[list[str]]) -> tuple[list[bytes], list[bytes]]:
-    """Toxic words, each as often as it has contexts, and the windows around toxic phrases."""
+def _samples(bad: list[list[str]], good: list[str | None], size: int) -> tuple[list[bytes], list[bytes]]:
+    """Toxic words, each as often as it has contexts, and the windows around toxic phrases.
+
+    ``size`` is how many words the ordinary texts have.
+    """
     codes = {"": 0}
-    toxic, ordinary = Places(bad, codes), Places(good, codes)
+    toxic = Places(bad, codes)
     least = min(MOST_CONTEXTS, max(LEAST_CONTEXTS, len(bad) // DOCS_PER_CONTEXT))
+    recurring = [Recurring(toxic, n, least) for n in range(1, PHRASE + 1)]
+    for low in range(0, max(1, len(good)), BLOCK_DOCS):
+        ordinary = Places([stripped(t) for t in good[low : low + BLOCK_DOCS]], codes)
+        for phrases in recurring:
+            phrases.leave_out(ordinary, max(1, size))
     start = np.cumsum([0, *(len(own) for own in bad)])
     single: dict[str, int] = {}
     around: list[bytes] = []
-    for n in range(1, PHRASE + 1):
-        for place, contexts in zip(*(x.tolist() for x in _recurring(toxic, ordinary, n, least)), strict=True):
+    for n, phrases in enumerate(recurring, 1):
+        for place, contexts in zip(*(x.tolist() for x in phrases.places()), strict=True):
             document = int(toxic.document[place])
             own, i = bad[document], place - int(start[document])
             if n == 1:
@@ -337,23 +376,24 @@ def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b""
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    """A model of labelled texts."""
-    y = np.array(toxic, dtype=float)
-    share = (y.sum() + 1e-3) / (len(y) + 1.0)
+def learn(texts: list[str | None], toxic: list[int]) -> Model:
+    """A model of labelled texts before its calibration: every score is the share of toxic labels.
+
+    Ordinary texts, most of them, are cut into words one after the other, each time anew.
+    """
+    share = (sum(toxic) + 1e-3) / (len(toxic) + 1.0)
     flat = Model(b"", b"", b"", SAVED, (float(np.log(share / (1 - share))), *[0.0] * 6))
     one: dict[str, str] = {}  # each distinct word is held once
-    bad, good = (
-        [[one.setdefault(w, w) for w in (x.strip(MARKS) for x in words(t))] for t, k in zip(texts, toxic, strict=True) if k == v]
-        for v in (1, 0)
-    )
-    many = sum(-(-len(own) // ORDINARY_WORDS) for own in good)
-    places = ((own, i) for own in good for i in range(0, len(own), ORDINARY_WORDS))
+    bad = [[one.setdefault(w, w) for w in stripped(t)] for t, k in zip(texts, toxic, strict=True) if k == 1]
+    good = [t for t, k in zip(texts, toxic, strict=True) if k == 0]
+    lengths = [len(words(t)) for t in good]
+    many = sum(-(-n // ORDINARY_WORDS) for n in lengths)
+    places = ((own, i) for own in map(stripped, good) for i in range(0, len(own), ORDINARY_WORDS))
     long = [
         (" " + " ".join(own[i : i + ORDINARY_WORDS]) + " ").encode()
         for own, i in islice(places, 0, None, max(1, many // ORDINARY_WINDOWS))
     ]
-    single, around = _samples(bad, good)
+    single, around = _samples(bad, good, sum(lengths))
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, long, k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text for a dictionary
@@ -364,12 +404,22 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     least = SAVED
     if phrases:
         saves = Savings(ordinary, phrases).of
-        apart = max(1, sum(map(len, good)) // STEP // CHECKED_WINDOWS)
-        seen = [saves(w) for w in islice((w for own in good for w in windows([x for x in own if x])), 0, None, apart)]
+        apart = max(1, sum(lengths) // STEP // CHECKED_WINDOWS)
+        every = (w for own in map(stripped, good) for w in windows([x for x in own if x]))
+        seen = [saves(w) for w in islice(every, 0, None, apart)]
         least = max(SAVED, int(np.quantile(seen, 1 - ORDINARY_PART)) + 1) if seen else SAVED
-    del one, bad, good, long, single, around
-    model = Model(ordinary, toxic_part, phrases, least, flat.weights)
-    return replace(model, weights=tuple(_logistic(Saved(model).features(texts), y).tolist()))
+    return Model(ordinary, toxic_part, phrases, least, flat.weights)
+
+
+def calibrated(model: Model, x: np.ndarray, toxic: list[int]) -> Model:
+    """The model with weights for the features ``x`` of labelled texts."""
+    return replace(model, weights=tuple(_logistic(x, np.array(toxic, dtype=float)).tolist()))
+
+
+def fit(texts: list[str | None], toxic: list[int]) -> Model:
+    """A model of labelled texts."""
+    model = learn(texts, toxic)
+    return calibrated(model, Saved(model).features(texts), toxic) if model.ordinary else model
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
@@ -381,10 +431,32 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
     if usable is not None:
         own = own.filter(usable)
     drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id", "_toxic").limit(TRAIN_ROWS)
-    texts = docs.select("doc_id", F.col("text").alias("_text")).filter(F.length("_text") <= TRAIN_CHARS)
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("_text", "_toxic", "doc_id").toArrow()
-    ordered = sorted(zip(*[c.to_pylist() for c in rows.columns], strict=True), key=lambda r: (r[2], r[0], r[1]))
-    return fit([r[0] for r in ordered], [r[1] for r in ordered])
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS)
+    rows = written(texts.join(F.broadcast(drawn), "doc_id").repartition(TRAIN_TASKS), "toxicity-rows")
+    # In order, so that sums of the same rows are the same.
+    found = rows.orderBy("doc_id", "text", "_toxic").select("text", "_toxic").toArrow()
+    model = learn(*(found.column(c).to_pylist() for c in ("text", "_toxic")))
+    del found
+    if not model.ordinary:
+        return model
+    measured = written(_measured(rows, model, "_x"), "toxicity-measured")
+    measured = measured.orderBy("doc_id", "text", "_toxic").select("_x", "_toxic").toArrow()
+    return calibrated(model, np.array(measured.column("_x").to_pylist()), measured.column("_toxic").to_pylist())
+
+
+def _measured(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All columns of ``docs`` and the features of its texts."""
+
+    def make():
+        saved = Saved(model)
+
+        def work(batch: pa.RecordBatch):
+            x = pa.array(saved.features(batch.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], [*batch.schema.names, name])
+
+        return work
+
+    return docs.mapInArrow(per_batch(make), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.llm import (
-    chat, graph, host_rules, jaccard, language, packing, resampling, subwords, toxicity, url_rules, vectors,
+    chat, graph, host_rules, jaccard, language, packing, resampling, store, subwords, toxicity, url_rules,
+    vectors,
 )
 from footfall.llm.words import texts
 
@@ -414,6 +415,37 @@ def test_windows_of_long_texts_come_in_pieces(monkeypatch):
     assert list(toxicity.windows(own)) == whole
 
 
+def test_learning_sees_ordinary_texts_in_parts(monkeypatch):
+    """Ordinary documents are not held as words together, and what is learned stays the same."""
+    clean, most = sentences(33, 300), []
+    toxic = [f"{t} zworthlez {t[::-1]} zworthlez mumoron" for t in sentences(34, 60)]
+    places = toxicity.Places
+
+    def kept(documents, codes):
+        most.append(len(documents))
+        return places(documents, codes)
+
+    monkeypatch.setattr(toxicity, "Places", kept)
+    models = []
+    for many in (7, 1000):
+        monkeypatch.setattr(toxicity, "BLOCK_DOCS", many)
+        models.append(toxicity.learn(clean + toxic, [0] * 300 + [1] * 60))
+    assert models[0] == models[1] and models[0].toxic
+    assert most[0] == 60 and max(most[1:44]) == 7 and sum(most[1:44]) == 300
+
+
+def test_training_measures_documents_in_tasks(spark, monkeypatch):
+    """The driver compresses no document; the model is that of a local fit."""
+    clean, toxic = sentences(35, 120), [f"{t} zworthlez mumoron" for t in sentences(36, 30)]
+    rows = list(enumerate(clean + toxic))
+    labels = spark.createDataFrame([(i, int(i >= 120)) for i, _ in rows], "doc_id long, toxic int")
+    local = toxicity.fit([t for _, t in rows], [int(i >= 120) for i, _ in rows])
+    monkeypatch.setattr(toxicity.Saved, "features", None)
+    store.ready(spark)
+    trained = toxicity.train(docs(spark, rows), labels)
+    assert trained.ordinary and trained == local
+
+
 def test_score_column_is_replaced(spark):
     model = toxicity.Model(b"", b"", b"", 2, (0.0,) * 7)
     df = spark.createDataFrame([(1, None, 0.1), (1, "", 0.1)], "doc_id long, text string, Score double")
