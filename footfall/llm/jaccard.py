@@ -413,8 +413,10 @@ def link_nodes(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     ).distinct()
     node_texts = written(_texts_of(docs, members.join(wanted, ["fp", "n"])), "texts")
 
-    # The nodes to be joined anew: whole sets, rarest columns first.
-    sets = _whole_sets(node_texts.join(anew, ["fp", "n"]))
+    # The nodes to be joined anew: whole sets, rarest columns first. Each text makes many rows,
+    # so texts are dealt over all tasks first, however few files hold them.
+    dealt = node_texts.join(anew, ["fp", "n"]).repartition(partitions(docs.sparkSession), "fp", "n")
+    sets = _whole_sets(dealt)
     # A node has n columns; those that it has alone come first and need no row.
     ordered = _counted(sets, alone=False).groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("all"))
     first_ones = F.greatest(F.lit(0), F.floor(F.col("n") / 4) + 1 - (F.col("n") - F.size("all"))).cast("int")

@@ -386,6 +386,17 @@ def test_contexts_are_distinct_left_neighbours():
         assert found == {k: len(v) for k, v in seen.items()}
 
 
+def test_texts_joined_anew_are_dealt_over_all_tasks(spark, monkeypatch):
+    seen, whole = [], jaccard._whole_sets
+    monkeypatch.setattr(jaccard, "_whole_sets", lambda df: seen.append(df.rdd.getNumPartitions()) or whole(df))
+    monkeypatch.setattr(jaccard, "partitions", lambda spark: 7)
+    store.ready(spark)
+    text = sentences(37, 1)[0]
+    rows = [(i, f"{text} {more}") for i, more in enumerate(sentences(38, 12, 3))]
+    kept = jaccard.deduplicate(docs(spark, rows)).collect()
+    assert seen == [7] and [r["doc_id"] for r in kept] == [0]
+
+
 def test_only_windows_that_can_differ_are_compressed(monkeypatch):
     """Same savings as from compressing all; most windows are left out."""
     r = random.Random(29)
