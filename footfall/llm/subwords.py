@@ -6,8 +6,10 @@ seed, the document and the unit's place in its text, so a document is always cut
 each occurrence of a word on its own. Whatever is skipped, the pieces spell the text:
 decoding is lossless. Without dropout the pieces are those of the library.
 
-A merging of a unit is kept with the candidates that it met. It holds for every occurrence
-whose key skips the same ones of these; only occurrences that skip others are merged anew.
+Whether a candidate is skipped is asked when its turn comes, so a merging is told by the
+answers on its way. It is kept with them and holds for every occurrence that gets the same
+ones; an occurrence that parts from it goes on at the merging kept for the first answer in
+which they differ, or is merged anew.
 
 Characters without a piece become bytes; so does the library's own mark for blanks where a
 text holds it, which would else come back as a blank. Null texts have null ids and decode
@@ -21,7 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pooled import Grown, IdLists, distinct
 from .store import per_batch
 from .words import buffers, mix
 
 DROPOUT = 0.1
 SEED = 1
-#: Mergings that a task keeps, and the candidates that a kept one met, at most.
+#: Mergings that a worker keeps, and the candidates that a kept one met, at most.
 KEPT_UNITS = 400_000
 MET = 32
 #: Units up to this length are merged side by side, and kept.
 SHORT = 40
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 20
 SLOT_BITS = 19
+#: Units of like length are merged together, this many at most.
+CLASSES = np.array([5, 7, 9, 11, 13, 16, 20, 28])
+COLUMNS = 4096
+FEW = 256
 DECODED_ROWS = 256
 MARK = "▁"
 _NONE = np.int64(1) << 40
@@ -85,16 +92,41 @@ class Pieces:
         held, first, many = np.unique(slots, return_index=True, return_counts=True)
         self.at_slot[held], self.shared[held] = first, many > 1
         # A line break without a piece can be no part of one: texts may be cut there.
-        breaks = "" if "\n" in self.chars else r"\n"
+        self.cut_at_breaks = "\n" not in self.chars
+        breaks = r"\n" if self.cut_at_breaks else ""
         self.units = re.compile(rf" *[^ {breaks}]+| +" + (r"|\n+" if breaks else "")).findall
 
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What ``units`` finds in all texts, a blank before each that is not empty.
+
+        Those of text ``i`` are at ``ends[i]`` to ``ends[i + 1]``, the second result.
+        """
+        data, offsets = buffers(texts)
+        size = np.diff(offsets)
+        full = size > 0
+        data = np.insert(data[offsets[0] : offsets[-1]], (offsets[:-1] - offsets[0])[full], 0x20)
+        bounds = np.append(0, np.cumsum(size + full))
+        first = np.ones(len(data), dtype=bool)
+        blank = data == 0x20
+        if self.cut_at_breaks:
+            line = data == 0x0A
+            first[1:] = blank[1:] & ~blank[:-1] | line[1:] & ~line[:-1] | line[:-1] & ~line[1:]
+        else:
+            first[1:] = blank[1:] & ~blank[:-1]
+        first[bounds[:-1][full]] = True
+        starts = np.flatnonzero(first)
+        units = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)
+        )
+        return units, np.searchsorted(starts, bounds)
+
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair; -1 where there is none."""
-        key = np.where((left < 0) | (right < 0), -1, left << 20 | right)
+        key = left << 20 | right  # negative if one of them is
         slot = self._slot(key)
         at = self.at_slot[slot]
         found = self.pair_keys[at] == key
@@ -133,67 +165,105 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<i4").tobytes()
 
 
-def merge_side_by_side(
+def merge_classes(
     pieces: Pieces, units: list[str], keys: np.ndarray, dropout: float, met: list | None = None
-) -> list[bytes]:
-    """Packed ids of many short units: each round takes the best candidate of every unit.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of many short units, and where each unit's begin among them and how many they are.
 
-    ``met`` gets unit, place and whether it is skipped of all candidates that dropout looks at.
+    ``met`` gets unit, place and whether it is skipped of the candidates whose turn came.
     """
     lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-    points = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
-    ids = pieces.char_ids[points].astype(np.int64)
-    unit = np.repeat(np.arange(len(units)), lengths)
-    start = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    end = start + 1
-
-    def candidates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For the pairs that begin at these symbols: the piece, and rank then place."""
-        nxt = np.minimum(at + 1, len(ids) - 1)
-        piece = pieces.merged(ids[at], ids[nxt])
-        ok = (piece >= 0) & (at + 1 < len(ids)) & (unit[at] == unit[nxt])
+    points = pieces.char_ids[np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")]
+    begin = np.cumsum(lengths) - lengths
+    kind = np.searchsorted(CLASSES, lengths) if len(units) > FEW else np.zeros(len(units), dtype=np.int64)
+    done: list = []
+    for k in np.flatnonzero(np.bincount(kind)).tolist():
+        own = np.flatnonzero(kind == k)
+        for i in range(0, len(own), COLUMNS):
+            some = own[i : i + COLUMNS]
+            _merge_columns(pieces, some, lengths[some], begin[some], points, keys, dropout, met, done)
+    unit, many, ids, start = (np.concatenate(v) for v in zip(*done, strict=True))
+    first, count = np.empty(len(units), dtype=np.int64), np.empty(len(units), dtype=np.int64)
+    first[unit], count[unit] = np.cumsum(many) - many, many
+    strange = np.flatnonzero(ids < 0)
+    if len(strange):
+        more, size = [ids], len(ids)
+        for i in np.unique(np.repeat(unit, many)[strange]).tolist():
+            own = slice(first[i], first[i] + count[i])
+            spelled = pieces.spelled(ids[own].tolist(), start[own].tolist(), units[i])
+            first[i], count[i] = size, len(spelled)
+            size += len(spelled)
+            more.append(np.array(spelled, dtype=np.int32))
+        ids = np.concatenate(more)
+    return ids, first, count
+
+
+def _merge_columns(pieces, unit, lengths, begin, points, keys, dropout, met, done) -> None:
+    """Merges units of like length: a column for each, a row for each place in it.
+
+    Each round takes the best candidate of every unit. ``done`` gets units, how many symbols
+    each has, and these symbols' ids and places, unit by unit.
+    """
+    rows, m = int(lengths.max()), len(unit)
+    row = np.arange(rows + 1)[:, None]
+    inside = row < lengths
+    ids = np.full((rows + 1, m), -1, dtype=np.int64)
+    ids[inside] = points[(begin + row)[inside]]
+    end = np.where(inside, row + 1, 0)  # where the symbol that begins here ends; 0 where none begins
+    left = np.repeat(row - 1, m, axis=1)  # where the symbol before it begins
+    made = pieces.merged(ids[:-1].ravel(), ids[1:].ravel()).reshape(rows, m)
+    order = np.where(made >= 0, pieces.rank[made] << 16 | row[:-1], _NONE)
+    col = np.arange(m)
+
+    def leave(gone: np.ndarray) -> None:
+        symbols = np.take(end, gone, axis=1).T
+        which, start = np.nonzero(symbols)
+        done.append((unit[gone], np.bincount(which, minlength=len(gone)), ids[start, gone[which]].astype(np.int32), start))
+
+    while True:
+        best = order.min(axis=0)
+        live = best < _NONE
+        here = np.flatnonzero(live)
+        if len(here) < m * 0.7:
+            leave(np.flatnonzero(~live))
+            if not len(here):
+                return
+            ids, end, left, made, order = (np.take(v, here, axis=1) for v in (ids, end, left, made, order))
+            unit, best, m, here = unit[here], best[here], len(here), col[: len(here)]
+        elif len(here) < m:
+            best = best[here]
+        ids_, end_, left_, made_, order_ = (v.reshape(-1) for v in (ids, end, left, made, order))
+        start = best & 0xFFFF
+        at = start * m + here
+        second = end_[at] * m + here
+        stop, piece = end_[second], made_[at]
+        order_[at] = _NONE
         if dropout > 0:
-            seen = np.flatnonzero(ok)
-            places = places_of(start[at[seen]], end[nxt[seen]], piece[seen])
-            drop = skipped(keys[unit[at[seen]]], places, dropout)
-            ok[seen] = ~drop
+            places = places_of(start, stop, piece)
+            drop = skipped(keys[unit[here]], places, dropout)
             if met is not None:
-                met.append((unit[at[seen]], places, drop))
-        return piece, np.where(ok, pieces.rank[np.maximum(piece, 0)] << 16 | start[at], _NONE)
-
-    done_unit, done_id, done_start = [], [], []
-    made, order = candidates(np.arange(len(ids)))
-    while len(ids):
-        first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-        best = np.minimum.reduceat(order, first)
-        size = np.diff(np.append(first, len(ids)))
-        live = np.repeat(best < _NONE, size)
-        if not live.all():
-            for held, values in ((done_unit, unit), (done_id, ids), (done_start, start)):
-                held.append(values[~live])
-            ids, unit, start, end, made, order = (v[live] for v in (ids, unit, start, end, made, order))
-            best, size = best[best < _NONE], size[best < _NONE]
-            if not len(ids):
-                break
-        at = np.flatnonzero(order == np.repeat(best, size))
-        ids[at], end[at] = made[at], end[at + 1]
-        keep = np.ones(len(ids), dtype=bool)
-        keep[at + 1] = False
-        now = (np.cumsum(keep) - 1)[at]
-        ids, unit, start, end, made, order = (v[keep] for v in (ids, unit, start, end, made, order))
-        for changed in (now, now[(now > 0) & (unit[np.maximum(now - 1, 0)] == unit[now])] - 1):
-            made[changed], order[changed] = candidates(changed)
-    unit, ids, start = (np.concatenate(v) for v in (done_unit, done_id, done_start))
-    sort = np.lexsort((start, unit))
-    edges = np.searchsorted(unit[sort], np.arange(len(units) + 1))
-    ids, start = ids[sort], start[sort]
-    strange = np.unique(unit[sort][ids < 0])
-    data, bounds = ids.astype("<i4").tobytes(), (4 * edges).tolist()
-    out = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-    for i in strange.tolist():
-        own = slice(edges[i], edges[i + 1])
-        out[i] = packed(pieces.spelled(ids[own].tolist(), start[own].tolist(), units[i]))
-    return out
+                met.append((unit[here], places, drop))
+            keep = np.flatnonzero(~drop)
+            start, at, second, stop, piece, here = (v[keep] for v in (start, at, second, stop, piece, here))
+        order_[second[second < rows * m]] = _NONE
+        ids_[at], end_[at], end_[second] = piece, stop, 0
+        after = stop * m + here
+        left_[after] = start
+        before = left_[at]
+        some = np.flatnonzero(before >= 0)
+        before = before[some] * m + here[some]
+        changed = np.concatenate([at, before])
+        new = pieces.merged(ids_[changed], np.concatenate([ids_[after], piece[some]]))
+        made_[changed] = new
+        order_[changed] = np.where(new >= 0, pieces.rank[new] << 16 | changed // m, _NONE)
+
+
+def merge_side_by_side(
+    pieces: Pieces, units: list[str], keys: np.ndarray, dropout: float, met: list | None = None
+) -> list[bytes]:
+    """Packed ids of many short units; ``met`` as in ``merge_classes``."""
+    ids, first, count = merge_classes(pieces, units, keys, dropout, met)
+    return [packed(ids[a : a + n]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
 
 
 def merge_agenda(pieces: Pieces, unit: str, key: int, dropout: float) -> bytes:
@@ -233,66 +303,52 @@ def merge_agenda(pieces: Pieces, unit: str, key: int, dropout: float) -> bytes:
     return packed(pieces.spelled([ids[i] for i in alive], alive, unit))
 
 
-class _Grown:
-    """An array that grows at its end."""
-
-    def __init__(self, dtype):
-        self.held, self.size = np.zeros(1 << 12, dtype=dtype), 0
-
-    def add(self, values: np.ndarray) -> None:
-        end = self.size + len(values)
-        if end > len(self.held):
-            self.held = np.concatenate([self.held, np.zeros(max(end, len(self.held)), dtype=self.held.dtype)])
-        self.held[self.size : end] = values
-        self.size = end
-
-
 class Mergings:
     """Mergings that were done: what each gave, the candidates it met and which it skipped."""
 
     def __init__(self, pieces: Pieces, dropout: float):
         self.pieces, self.dropout = pieces, dropout
-        self.ids: list[bytes] = []
         self.of_unit: dict[str, int] = {}
-        #: By merging and the skips that an occurrence had in place of its own: one that is nearer.
+        #: By merging and the first candidate that an occurrence treats otherwise: one that does too.
         self.nearer: dict[int, int] = {}
-        self.places = _Grown(np.uint64)
-        self.first, self.count, self.skips = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
+        self.ids, self.places = IdLists(np.int32), Grown(np.uint64)
+        self.first, self.count, self.skips = Grown(np.int64), Grown(np.int64), Grown(np.int64)
 
     def do(self, units: list[str], keys: np.ndarray) -> np.ndarray:
         """Merges the units and returns the numbers of their mergings.
 
-        One that met more than ``MET`` candidates has a count of -1 and no ids.
+        One that met more than ``MET`` candidates has a count of -1.
         """
         met: list = []
-        coded = merge_side_by_side(self.pieces, units, keys, self.dropout, met)
+        numbers = self.ids.add(*merge_classes(self.pieces, units, keys, self.dropout, met))
         unit, places, drop = (np.concatenate(v) for v in zip(*met, strict=True)) if met else (np.zeros(0, np.int64),) * 3
         count = np.bincount(unit, minlength=len(units))
-        keep = count[unit] <= MET
-        order = np.argsort(unit[keep], kind="stable")
-        unit, places, drop = unit[keep][order], places[keep][order], drop[keep][order]
-        many, count = count > MET, np.where(count > MET, 0, count)
+        order = np.argsort(unit, kind="stable")
+        many = count > MET
+        if many.any():
+            order = order[~many[unit[order]]]
+        unit, places, drop = unit[order], places[order], drop[order]
+        count[many] = 0
         first = np.cumsum(count) - count
         bits = drop.astype(np.int64) << (np.arange(len(unit)) - first[unit])
         sums = np.append(0, np.cumsum(bits))
-        numbers = len(self.ids) + np.arange(len(units))
         self.first.add(self.places.size + first)
         self.skips.add(sums[first + count] - sums[first])
-        self.places.add(places)
+        self.places.add(places.astype(np.uint64))
         self.count.add(np.where(many, -1, count))
-        self.ids += [b"" if m else c for c, m in zip(coded, many.tolist(), strict=True)]
         return numbers
 
     def skipped_by(self, keys: np.ndarray, mergings: np.ndarray) -> np.ndarray:
         """Which of its merging's candidates each occurrence skips, as bits."""
         count = self.count.held[mergings]
         ends = np.cumsum(count)
-        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+        first = ends - count
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(first, count)
         drop = skipped(
             np.repeat(keys, count), self.places.held[place + np.repeat(self.first.held[mergings], count)], self.dropout
         )
         sums = np.append(0, np.cumsum(drop.astype(np.int64) << place))
-        return sums[ends] - sums[ends - count]
+        return sums[ends] - sums[first]
 
 
 class Encoder:
@@ -303,61 +359,84 @@ class Encoder:
 
     def encode(self, texts: list[str], documents: Iterable[int]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; the documents are told apart by the numbers."""
-        split = [self.pieces.units(" " + t) if t else [] for t in texts]
-        units = list(chain.from_iterable(split))
-        ends = np.cumsum([0, *map(len, split)])
+        ids, ends = self.ids(pa.array(texts, pa.large_string()), np.array(documents, dtype=np.int64))
+        return [packed(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def ids(self, texts: pa.Array, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many there are before each text and in all."""
+        units, ends = self.pieces.split(texts)
         size = np.diff(ends)
-        keys = np.repeat(keys_of(np.array(documents, dtype=np.int64), self.seed), size)
+        keys = np.repeat(keys_of(documents, self.seed), size)
         keys = mix(keys + (np.arange(len(units)) - np.repeat(ends[:-1], size)).astype(np.uint64))
-        coded = self._merged(units, keys) if units else []
-        bounds = ends.tolist()
-        return [b"".join(coded[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        if not len(units):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(ends), dtype=np.int64)
+        ids, bounds = self._merged(units, keys)
+        return ids, bounds[ends]
 
-    def _merged(self, units: list[str], keys: np.ndarray) -> list[bytes]:
-        """Packed ids of each occurrence of a unit, under its own key."""
+    def _merged(self, units: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences of units, each under its own key, and their bounds."""
         if len(self.known.ids) > KEPT_UNITS:
             self.known = Mergings(self.pieces, self.dropout)
         known = self.known
-        merging = np.fromiter(map(known.of_unit.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        name, names = distinct(units)
+        merging = np.fromiter(map(known.of_unit.get, names, repeat(-1)), dtype=np.int64, count=len(names))
         missing = np.flatnonzero(merging < 0)
-        names = list(map(units.__getitem__, missing.tolist()))
-        short = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) <= SHORT
-        long, lost = missing[~short].tolist(), missing[short]
-        if len(lost):
-            names = list(compress(names, short.tolist()))
+        new = list(map(names.__getitem__, missing.tolist()))
+        short = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) <= SHORT
+        if short.any():
             # Any occurrence of a unit may stand for it: those that skip others go on from there.
-            new = dict(zip(names, lost.tolist(), strict=True))
-            done = known.do(list(new), keys[np.fromiter(new.values(), dtype=np.int64, count=len(new))])
-            known.of_unit.update(zip(new, done.tolist(), strict=True))
-            merging[lost] = np.fromiter(map(known.of_unit.__getitem__, names), dtype=np.int64, count=len(names))
+            one = np.empty(len(names), dtype=np.int64)
+            one[name] = np.arange(len(name))
+            new, lost = list(compress(new, short.tolist())), missing[short]
+            merging[lost] = known.do(new, keys[one[lost]])
+            known.of_unit.update(zip(new, merging[lost].tolist(), strict=True))
+        merging = merging[name]
         at = np.flatnonzero(merging >= 0)
         alone = []  # what met too many candidates to be kept
         while len(at):
             full = known.count.held[merging[at]] < 0
-            alone.append(at[full])
-            at = at[~full]
-            bits = known.skipped_by(keys[at], merging[at])
-            differ = bits != known.skips.held[merging[at]]
-            at, bits = at[differ], bits[differ]
-            way = merging[at] << MET | bits
+            if full.any():
+                alone.append(at[full])
+                at = at[~full]
+            differ = known.skipped_by(keys[at], merging[at]) ^ known.skips.held[merging[at]]
+            some = np.flatnonzero(differ)
+            at, differ = at[some], differ[some]
+            way = merging[at] << MET | differ & -differ
             nearer = np.fromiter(map(known.nearer.get, way.tolist(), repeat(-1)), dtype=np.int64, count=len(at))
             lost = np.flatnonzero(nearer < 0)
             if len(lost):
                 ways, one, back = np.unique(way[lost], return_index=True, return_inverse=True)
                 one = at[lost[one]]
-                done = known.do([units[i] for i in one.tolist()], keys[one])
+                done = known.do(list(map(names.__getitem__, name[one].tolist())), keys[one])
                 known.nearer.update(zip(ways.tolist(), done.tolist(), strict=True))
                 nearer[lost] = done[back]
             merging[at] = nearer
-        coded = list(map(known.ids.__getitem__, merging.tolist())) if known.ids else [b""] * len(units)
+        kept = known.ids.state()
         rest = np.concatenate(alone) if alone else np.zeros(0, dtype=np.int64)
         if len(rest):
-            direct = merge_side_by_side(self.pieces, [units[i] for i in rest.tolist()], keys[rest], self.dropout)
-            for i, ids in zip(rest.tolist(), direct, strict=True):
-                coded[i] = ids
-        for i in long:
-            coded[i] = merge_agenda(self.pieces, units[i], int(keys[i]), self.dropout)
-        return coded
+            merging[rest] = known.ids.add(
+                *merge_classes(self.pieces, [names[i] for i in name[rest].tolist()], keys[rest], self.dropout)
+            )
+        long = np.flatnonzero(merging < 0)
+        if len(long):
+            merging[long] = known.ids.add_each([
+                np.frombuffer(merge_agenda(self.pieces, names[i], int(k), self.dropout), dtype="<i4")
+                for i, k in zip(name[long].tolist(), keys[long].tolist(), strict=True)
+            ])
+        found = known.ids.given(merging)
+        known.ids.back_to(kept)
+        return found
+
+
+# A worker process serves many tasks: it builds the tables of a model once and keeps its mergings.
+_ENCODERS: dict[tuple[str, float, int], Encoder] = {}
+
+
+def _encoder(path: str, dropout: float, seed: int) -> Encoder:
+    if (path, dropout, seed) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, dropout, seed] = Encoder(path, dropout, seed)
+    return _ENCODERS[path, dropout, seed]
 
 
 def _spelled(table: pa.Array, ids: pa.ListArray) -> pa.Array:
@@ -382,7 +461,7 @@ def encode(
     own = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_document"))
 
     def make():
-        encoder = Encoder(path, dropout, seed)
+        encoder = _encoder(path, dropout, seed)
         table = pa.array(encoder.pieces.bytes, pa.binary())
 
         def work(batch: pa.RecordBatch):
@@ -392,14 +471,12 @@ def encode(
                 end = int(np.searchsorted(sizes, sizes[low] + RUN_BYTES, side="right")) - 1
                 some = batch.slice(low, max(end, low + 1) - low)
                 low += some.num_rows
-                texts = some.column("text").to_pylist()
-                coded = encoder.encode([t or "" for t in texts], some.column("_document").to_numpy())
-                values = np.frombuffer(b"".join(coded), dtype="<i4")
-                ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
-                null = pa.array([t is None for t in texts])
+                text = some.column("text")
+                values, ends = encoder.ids(text, some.column("_document").to_numpy())
+                null = text.is_null()
                 columns = [
-                    some.column("doc_id"), some.column("text"),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=null),
+                    some.column("doc_id"), text,
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), mask=null),
                 ]
                 if decoded:
                     columns.append(_spelled(table, columns[2]))

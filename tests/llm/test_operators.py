@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.llm import (
-    chat, graph, host_rules, jaccard, language, packing, resampling, store, subwords, toxicity, url_rules,
+    chat, graph, host_rules, jaccard, language, packing, pooled, resampling, store, subwords, toxicity, url_rules,
     vectors,
 )
 from footfall.llm.words import texts
@@ -301,6 +301,56 @@ def test_each_occurrence_of_a_word_is_cut_on_its_own(spark, monkeypatch):
     assert subwords.Encoder(path, dropout=0.3).encode(texts, numbers) == first
 
 
+def test_mergings_are_told_by_the_answers_on_their_way():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = subwords.Pieces(path)
+    met = []
+    word = " international"
+    ids = subwords.merge_side_by_side(pieces, [word], np.zeros(1, np.uint64), 1e-12, met)[0]
+    # Only candidates whose turn comes are asked about: each of them leaves a symbol less.
+    assert sum(len(m[0]) for m in met) == len(word) - len(ids) // 4
+    encoder = subwords.Encoder(path, dropout=0.3)
+    encoder.encode(["".join([word] * 3000).lstrip()] * 2, [0, 1])
+    known = encoder.known
+    ways = {
+        (known.places.held[a : a + n].tobytes(), skips)
+        for a, n, skips in zip(
+            *(v.held[: len(known.ids)].tolist() for v in (known.first, known.count, known.skips)), strict=True
+        )
+    }
+    assert len(ways) == len(known.ids) > 50  # no way is merged twice
+    size = len(known.ids)
+    encoder.encode(["".join([word] * 3000).lstrip()], [1])
+    assert len(known.ids) == size and encoder.known is known
+    assert subwords._encoder(path, 0.3, 7) is subwords._encoder(path, 0.3, 7)
+
+
+def test_merging_by_length_equals_the_agenda():
+    pieces = subwords.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(5)
+    letters = list("aeinorst\u00fc\u2603\u2581")
+    units = ["".join(r.choice(letters, int(n))) for n in r.integers(1, subwords.SHORT + 1, 9000)]
+    keys = subwords.keys_of(np.arange(len(units)), 3)
+    side = subwords.merge_side_by_side(pieces, units, keys, 0.2)
+    for i in range(0, len(units), 13):
+        assert side[i] == subwords.merge_agenda(pieces, units[i], int(keys[i]), 0.2)
+
+
+@pytest.mark.parametrize("breaks", [True, False])
+def test_units_are_cut_as_the_pattern_says(breaks):
+    pieces = subwords.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces.cut_at_breaks = breaks
+    find = re.compile(r" *[^ \n]+| +|\n+" if breaks else r" *[^ ]+| +").findall
+    own = ["", "  lead\n trail  ", "\n\n a\n", " ", "\n", "a\x00b\tc", "", None, *ODD, *sentences(12, 3)]
+    texts = pa.array(["skipped", *own], pa.string()).slice(1)
+    units, ends = pieces.split(texts)
+    expected = [find(" " + t) if t else [] for t in own]
+    assert [units.slice(a, b - a).to_pylist() for a, b in zip(ends, ends[1:], strict=False)] == expected
+    which, names = pooled.distinct(units)
+    assert [names[i] for i in which] == units.to_pylist() and len(set(names)) == len(names)
+    assert pooled.distinct(units.slice(0, 0))[1] == []
+
+
 def test_marginals_by_brute_force():
     r = np.random.default_rng(0)
     first, k = np.array([0, 0, 1, 6, 136, 136]), 3
