@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pooled import IdLists, distinct
 from .store import partitions, per_batch, written
+from .words import buffers
 
 CAPACITY = 2048
 END_ID = 0
@@ -49,7 +52,9 @@ class ChunkTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        #: The number of each known chunk, and its ids by that number.
+        self.known: dict[str, int] = {}
+        self.lists = IdLists(np.dtype("<u4"))
         #: A digit is a token of its own: many chunks are encoded as one text with it between.
         self.mark = self._ids(MARK)[0]
         probes = ["a", "Ab", "\u00e9\u2603", "x.,y", "<|a|>"]
@@ -61,52 +66,82 @@ class ChunkTokens:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(code.ids, dtype="<u4") for code in coded]
+
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if MARK not in c and len(c) <= KEPT_LENGTH]
-        groups = [plain[i : i + MARKED] for i in range(0, len(plain), MARKED)]
+        """Numbers the chunks, which hold no mark, in their order."""
+        groups = [chunks[i : i + MARKED] for i in range(0, len(chunks), MARKED)]
         coded = self.tokenizer.encode_batch_fast(
-            [f" {MARK} ".join(group) for group in groups], add_special_tokens=False
+            [f" {MARK} ".join(group) + f" {MARK}" for group in groups], add_special_tokens=False
         )
-        for group, code in zip(groups, coded, strict=True):
-            ids = np.array(code.ids, dtype="<u4")
-            marks = np.flatnonzero(ids == self.mark)
-            data = ids.tobytes()
-            for chunk, a, b in zip(group, [-1, *marks.tolist()], [*marks.tolist(), len(ids)], strict=True):
-                self.known[chunk] = data[4 * a + 4 : 4 * b]
-        rest = [c for c in chunks if MARK in c or len(c) > KEPT_LENGTH]
-        for chunk, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(code.ids, dtype="<u4").tobytes()
+        ids = np.fromiter(chain.from_iterable(code.ids for code in coded), dtype="<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(chunks):
+            raise ValueError(f"{len(chunks)} chunks gave {len(marks)} marks")
+        first = np.append(0, marks[:-1] + 1)
+        numbers = self.lists.add(ids[ids != self.mark], first - np.arange(len(marks)), marks - first)
+        self.known.update(zip(chunks, numbers.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        ids, ends = self.ids(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many there are before each text and in all."""
         if not self.chunked:
-            coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(code.ids, dtype="<u4").tobytes() for code in coded]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = [c for c in set().union(*split) if c not in known]
-        if len(known) + len(new) > self.kept:
-            known = self.known = {"": b""}
-            new = [c for c in set().union(*split) if c]
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for chunk in new:
-            if len(chunk) > KEPT_LENGTH:
-                del known[chunk]
-        return out
-
-
-def _runs(texts: list[str], limit: int = 1 << 20):
-    """Consecutive texts of ``limit`` characters together, or one longer text."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if i > begin and size + len(text) > limit:
-            yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+            coded = self._coded([t or "" for t in texts.to_pylist()])
+            return np.concatenate([np.zeros(0, dtype="<u4"), *coded]), np.cumsum([0, *map(len, coded)])
+        chunks, ends = _chunks(texts)
+        which, names = distinct(chunks)
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        missing = np.flatnonzero(number < 0)
+        if len(self.known) + len(missing) > self.kept:
+            self.known, self.lists = {}, IdLists(np.dtype("<u4"))
+            missing = np.arange(len(names))
+        new = list(map(names.__getitem__, missing.tolist()))
+        plain = [c for c in new if MARK not in c and len(c) <= KEPT_LENGTH]
+        for i in range(0, len(plain), 4096):
+            self._learn(plain[i : i + 4096])
+        rest = [c for c in new if MARK in c and len(c) <= KEPT_LENGTH]
+        if rest:
+            self.known.update(zip(rest, self.lists.add_each(self._coded(rest)).tolist(), strict=True))
+        kept = self.lists.state()
+        own = {}
+        if long := [c for c in new if len(c) > KEPT_LENGTH]:
+            own = dict(zip(long, self.lists.add_each(self._coded(long)).tolist(), strict=True))
+        number[missing] = [own[c] if c in own else self.known[c] for c in new]
+        ids, bounds = self.lists.given(number[which])
+        self.lists.back_to(kept)
+        return ids, bounds[ends]
+
+
+def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What stands between blanks and line ends in all texts; text ``i`` has ``ends[i]`` to ``ends[i + 1]``."""
+    data, offsets = buffers(texts)
+    offsets, data = offsets - offsets[0], data[offsets[0] : offsets[-1]]
+    solid = (data != 0x20) & (data != 0x0A)
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    inner = offsets[offsets < len(data)]
+    first[inner] = solid[inner]
+    starts = np.flatnonzero(first)
+    before = np.append(0, np.cumsum(solid))
+    chunks = pa.LargeStringArray.from_buffers(
+        len(starts), pa.py_buffer(before[np.append(starts, len(data))]), pa.py_buffer(data[solid])
+    )
+    return chunks, np.searchsorted(starts, offsets)
+
+
+def _runs(offsets: np.ndarray, limit: int = 1 << 20):
+    """Consecutive texts of ``limit`` bytes together, or one longer text."""
+    begin = 0
+    while begin < len(offsets) - 1:
+        end = max(int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1, begin + 1)
+        yield begin, end
+        begin = end
 
 
 # A worker process serves many tasks: it reads a tokenizer once, and keeps what it learned,
@@ -124,30 +159,28 @@ def _tokens(path: str, kept: int) -> ChunkTokens:
 def _tokenising(path: str, capacity: int, with_ids: bool, kept: int):
     def make():
         tokens = _tokens(path, kept)
-        end = np.array([END_ID], dtype="<u4").tobytes()
 
         def work(batch: pa.RecordBatch):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for low, high in _runs(texts):
-                rows, starts, cut = [], [], []
-                for i, code in enumerate(tokens.encode(texts[low:high]), low):
-                    code += end
-                    for s in range(0, len(code), 4 * capacity):
-                        rows.append(i)
-                        starts.append(s // 4)
-                        cut.append(code[s : s + 4 * capacity])
-                lengths = [len(piece) // 4 for piece in cut]
+            text = batch.column("text")
+            for low, high in _runs(buffers(text)[1]):
+                ids, ends = tokens.ids(text.slice(low, high - low))
+                ids, ends = np.insert(ids, ends[1:], END_ID), ends + np.arange(len(ends))
+                size = np.diff(ends)
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                bounds = np.append(ends[row] + start, len(ids))
+                data, at = memoryview(ids.tobytes()), (4 * bounds).tolist()
                 columns = [
-                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                    pa.array([s // capacity for s in starts], pa.int32()),
-                    pa.array(starts, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array([zlib.crc32(piece) for piece in cut], pa.int64()),
+                    batch.column("doc_id").take(pa.array(low + row)),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(np.diff(bounds)),
+                    pa.array([zlib.crc32(data[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()),
                 ]
                 if with_ids:
-                    values = np.frombuffer(b"".join(cut), dtype="<u4").astype(np.int32)
-                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [*PIECE, "ids"][: len(columns)])
 
         return work

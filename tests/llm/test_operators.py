@@ -638,6 +638,25 @@ def test_deduplicating_keeps_columns_of_any_name(spark):
     assert jaccard.deduplicate(df.limit(0)).count() == 0
 
 
+def test_chunks_of_a_run_are_coded_once():
+    own = ["", None, " \n", "a b\n\nb", "0 a0 \ta", "x" * 100 + " a", "a\x00b", *ODD, *sentences(34, 4)]
+    texts = pa.array(["skipped", *own], pa.string()).slice(1)
+    chunks, ends = packing._chunks(texts)
+    assert [chunks.slice(a, b - a).to_pylist() for a, b in zip(ends, ends[1:], strict=False)] == [
+        [c for c in (t or "").replace("\n", " ").split(" ") if c] for t in own
+    ]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tokens = packing.ChunkTokens(public_tokenizers.path(name))
+        plain = [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in own]
+        for _ in range(2):
+            ids, ends = tokens.ids(texts)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == plain
+        assert tokens.encode([""]) == [b""] and tokens.encode([]) == []
+        if tokens.chunked:  # a number for every chunk that is kept, and its ids once
+            assert sorted(tokens.known.values()) == list(range(len(tokens.lists)))
+            assert set(tokens.known) == {c for c in chunks.to_pylist() if len(c) <= packing.KEPT_LENGTH}
+
+
 def test_pieces_do_not_depend_on_what_workers_keep(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     table = docs(spark, list(enumerate([*sentences(33, 40), *ODD])))
